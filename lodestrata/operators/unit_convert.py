@@ -5,40 +5,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.units import UnitIndex, stated_unit
 from lodestrata.session import broadcast_if_small
 
-#: The first number of a cell, with what stands before it, its sign and its digits.
-NUMBER = r"\A([^0-9]*?)([-−–]?)([0-9][0-9.,]*+(?:[eE][-+]?[0-9]{1,3}+)?+)(?!\^)"
+#: A cell up to the end of its first number (no power of ten like 10^3), and that number with its sign.
+NUMBER = r"\A[^0-9]*[0-9][0-9.,]*+(?:[eE][-+]?[0-9]{1,3}+)?+(?!\^)"
+_SIGNED = r"[-−–]?[0-9][0-9.,]*(?:[eE][-+]?[0-9]+)?\z"
 #: What may follow the number before a unit: an uncertainty and footnote marks.
 _AFTER = r"\A\s*(?:(?:±|\+/-|\+-)\s*[0-9.,]++(?:[eE][-+]?[0-9]{1,3}+)?+)?[\s*†‡§]*(?:\((?:[0-9]\s*)?(?:σ|sigma|s\.?d\.?)\))?[\s*†‡§]*"
 
 
-def number_of(cell: Column) -> Column:
-    """The first number of a cell as a double, or null: cells opening with < or >, negative numbers and texts give null.
+def with_number(df: DataFrame, cell: str) -> DataFrame:
+    """``df`` with ``_number``, the first number of a cell as a double, and ``_s_value``, what the cell says after it.
 
-    A comma before groups of exactly three digits is a thousands mark, any other a decimal mark.
+    Cells opening with < or >, negative numbers and texts give a null number. A comma before groups of exactly three digits is
+    a thousands mark, any other a decimal mark. An uncertainty and footnote marks after the number are passed over.
     """
-    digits = F.regexp_replace(F.regexp_extract(cell, NUMBER, 3), r"[.,]+\z", "")
-    mantissa = F.regexp_extract(digits, r"\A[0-9.,]+", 0)
-    exponent = F.regexp_extract(digits, r"[eE].*\z", 0)
+    upto = F.regexp_extract(F.col(cell), NUMBER, 0)
+    df = df.withColumn("_upto", upto).withColumn("_rest", F.expr(f"substring(`{cell}`, length(_upto) + 1)"))
+    df = df.withColumn("_digits", F.when(F.col("_upto").rlike(r"\A[0-9]+\z"), F.col("_upto")).otherwise(F.regexp_extract("_upto", _SIGNED, 0)))
+    d = F.regexp_replace("_digits", r"[.,]+(?=\z|[eE])", "")
     plain = (
-        F.when(~F.contains(mantissa, F.lit(",")), mantissa)
-        .when(mantissa.rlike(r"\A[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?\z"), F.replace(mantissa, F.lit(",")))
-        .otherwise(F.replace(mantissa, F.lit(","), F.lit(".")))
+        F.when(~F.contains("_digits", F.lit(",")), F.col("_digits"))
+        .when(d.rlike(r"\A[0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]*)?(?:[eE].*)?\z"), F.replace(d, F.lit(",")))
+        .otherwise(F.replace(d, F.lit(","), F.lit(".")))
     )
-    value = F.expr("1D") * F.concat(plain, exponent).try_cast("double")
-    negative = F.regexp_extract(cell, NUMBER, 2) != ""
-    return F.when((digits != "") & ~F.ltrim(cell).rlike(r"\A[<>≤≥]") & ~negative, value)
-
-
-def text_after_number(cell: Column) -> Column:
-    """What a cell says after its first number, an uncertainty and footnote marks; null if nothing."""
-    rest = F.trim(F.regexp_replace(F.regexp_replace(cell, NUMBER, ""), _AFTER, ""))
-    return F.when(rest != "", rest)
+    negative = F.col("_digits").rlike(r"\A[-−–]")
+    number = F.when((F.col("_digits") != "") & ~negative & ~F.ltrim(cell).rlike(r"\A[<>]"), plain.try_cast("double"))
+    rest = F.when(F.trim("_rest") == "", None).otherwise(F.trim(F.regexp_replace("_rest", _AFTER, "")))
+    return df.withColumn("_number", number).withColumn("_s_value", F.when(rest != "", rest)).drop("_upto", "_rest", "_digits")
 
 
 def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -72,7 +70,7 @@ def convert_units(
     every row, repeated rows included.
     """
     sources = {"value": "_s_value", "unit": unit, "header": header, "note": note}
-    shaped = rows.withColumn("_s_value", text_after_number(F.col(value))).withColumn("_number", number_of(F.col(value)))
+    shaped = with_number(rows, value)
     known = alias_dictionary(shaped, sources)
     known = broadcast_if_small(known, max_broadcast_rows) if max_broadcast_rows else known
     out = shaped
