@@ -5,12 +5,14 @@ from __future__ import annotations
 from lodestrata.llm.canonical_mapping import site_and_sheet_types
 from lodestrata.llm.chunked_encoding import encode_corpus
 from lodestrata.llm.eval_leakage import find_leaks
+from lodestrata.llm.personal_data import find_personal_data
 from lodestrata.session import read
 
 QUERIES = {
     "p3_found": lambda s, d: site_and_sheet_types(read(s, d, "mineral_sites"), read(s, d, "golden_sheet"), read(s, d, "deposit_types")),
     "p8_ids": lambda s, d: encode_corpus(read(s, d, "documents")),
     "p9_found": lambda s, d: find_leaks(read(s, d, "documents"), read(s, d, "eval_items")),
+    "p10_found": lambda s, d: find_personal_data(read(s, d, "documents")),
 }
 
 SQL: dict[str, str] = {}
