@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Cyrillic and Greek letters drawn like Latin ones.
-LOOK_ALIKES = str.maketrans(
-    "аеорсухіјѕԁһѵкмтвнгАВЕКМНОРСТУХІЈЅαοεικνρτυχγωΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡ",
-    "aeopcyxijsdhvkmtbhrABEKMHOPCTYXIJSaoeiknptuxywABEZHIKMNOPTYXig",
-)
+#: Cyrillic and Greek letters drawn like Latin ones, and those.
+_DRAWN_LIKE = "аеорсухіјѕԁһѵкмтвнгАВЕКМНОРСТУХІЈЅαοεικνρτυχγωΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡ"
+_LATIN = "aeopcyxijsdhvkmtbhrABEKMHOPCTYXIJSaoeiknptuxywABEZHIKMNOPTYXig"
+LOOK_ALIKES = str.maketrans(_DRAWN_LIKE, _LATIN)
+_LOOK_ALIKE = re.compile(f"[{_DRAWN_LIKE}]")
 _INVISIBLE = re.compile("[­​-‏⁠-⁤﻿‪-‮]")
 _MARKUP = re.compile(r"<[/!]?[A-Za-z][^<>]{0,200}>|&nbsp;|&#160;")
 _HYPHEN = re.compile(r"(?<=[^\W\d_])[-‐-―−]\s*(?=[^\W\d_])")
@@ -40,7 +40,8 @@ def words_of(text: str) -> list[str]:
     if "<" in text or "&" in text:
         text = _MARKUP.sub(" ", text)
     if not text.isascii():
-        text = _COMBINING.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)).translate(LOOK_ALIKES))
+        text = _COMBINING.sub("", unicodedata.normalize("NFKD", _INVISIBLE.sub("", text)))
+        text = text.translate(LOOK_ALIKES) if _LOOK_ALIKE.search(text) else text
         if not text.isascii():
             return _WORD.findall(_HYPHEN.sub("", text).casefold())
     text = text.lower()
@@ -70,7 +71,9 @@ class LeakIndex:
         keys = [self.keys(x) for x in self.ids]
         seen = Counter(int(h) for ks in keys for h in set(ks.tolist()))
         need = passage - shingle + 1
-        keep = need - max(1, need - shingle * edits) + 1
+        self.least = max(1, need - shingle * edits)
+        keep = need - self.least + 1
+        self.sets = [set(ks.tolist()) for ks in keys]
         postings: dict[int, set[int]] = defaultdict(set)
         for n, ks in enumerate(keys):
             rank = sorted(range(len(ks)), key=lambda j: (seen[int(ks[j])], int(ks[j])))
@@ -116,10 +119,14 @@ class LeakIndex:
         """Item ids whose passage the document's word ids carry; at and place as ``candidates`` gives them."""
         if at is None:
             at, place = self.candidates(ids)
+        keys = self.keys(ids).tolist()
         spots: dict[int, list[int]] = defaultdict(list)
         for i, p in zip(at.tolist(), place.tolist()):
             for n in self.postings[p]:
-                spots[n].append(i)
+                # position and length: enough of the item's shingles must stand within a passage's reach of the hit
+                known, here = self.sets[n], keys[max(0, i - self.passage - self.edits) : i + self.passage + self.edits]
+                if sum(map(known.__contains__, here)) >= self.least:
+                    spots[n].append(i)
         runs = [(n, self.best_run(n, ids, where)) for n, where in spots.items()]
         runs = sorted(((n, r) for n, r in runs if r[0] >= self.passage and r[1] >= 0.8 * r[0]), key=lambda x: (-x[1][1], x[0]))
         kept: list[tuple[int, tuple]] = []
@@ -169,7 +176,7 @@ class LeakIndex:
 
 def find_leaks(
     docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", question: str = "question",
-    passage: int = 15, shingle: int = 3, edits: int = 4, block_words: int = 1_000_000,
+    passage: int = 15, shingle: int = 3, edits: int = 3, block_words: int = 1_000_000,
 ) -> DataFrame:
     """``(doc_id, item_id)``, each once: documents that carry at least ``passage`` words in a row of an item's question.
 
