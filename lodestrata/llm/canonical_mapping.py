@@ -35,9 +35,36 @@ def edit_distance(a: str, b: str) -> int:
     return rows[-1][-1]
 
 
+def levenshtein(a: str, b: str) -> int:
+    """Levenshtein distance, a column of the matrix at a time in the bits of an integer."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    n = len(a)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    up, down, score = full, 0, n
+    for c in b:
+        eq = at.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq | down
+        rise, fall = down | (full & ~(x | up)), up & x
+        if rise & top:
+            score += 1
+        elif fall & top:
+            score -= 1
+        rise = (rise << 1 | 1) & full
+        fall = fall << 1 & full
+        carried = eq | down
+        up, down = fall | (full & ~(carried | rise)), rise & carried
+    return score
+
+
 class BKTree:
-    """Burkhard-Keller tree: the child at distance d holds the entries at d from its parent, so that the triangle inequality
-    leaves only children within the threshold of the query's distance to visit."""
+    """Burkhard-Keller tree over Levenshtein distance: the child at distance d holds the entries at d from its parent, so that
+    the triangle inequality leaves only children within the threshold of the query's distance to visit."""
 
     def __init__(self, entries):
         self.root = None
@@ -50,22 +77,28 @@ class BKTree:
             return
         node = self.root
         while True:
-            d = edit_distance(entry, node[0])
+            d = levenshtein(entry, node[0])
             if d not in node[1]:
                 node[1][d] = (entry, {})
                 return
             node = node[1][d]
 
-    def within(self, query: str, threshold: int) -> list[tuple[int, str]]:
-        """Every entry at most ``threshold`` from the query, nearest first, ties in order of the entries."""
+    def near(self, query: str, threshold: int) -> list[str]:
+        """Every entry at most ``threshold`` from the query by Levenshtein distance."""
         out, stack = [], [self.root] if self.root else []
         while stack:
             entry, children = stack.pop()
-            d = edit_distance(query, entry)
+            d = levenshtein(query, entry)
             if d <= threshold:
-                out.append((d, entry))
+                out.append(entry)
             stack += [c for k, c in children.items() if d - threshold <= k <= d + threshold]
-        return sorted(out)
+        return out
+
+    def within(self, query: str, threshold: int) -> list[tuple[int, str]]:
+        """Every entry at most ``threshold`` from the query by Damerau-Levenshtein distance, nearest first, ties in order of the
+        entries. A swap counts one there and at most two in the tree's metric, so twice the threshold misses none."""
+        hits = ((edit_distance(query, e), e) for e in self.near(query, 2 * threshold))
+        return sorted(h for h in hits if h[0] <= threshold)
 
 
 def nearest_entries(values: DataFrame, reference: DataFrame, threshold: int, shard_rows: int = 20_000, broadcast_rows: int = 20_000) -> DataFrame:
