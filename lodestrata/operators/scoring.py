@@ -98,8 +98,8 @@ def plausibility(cells: DataFrame) -> DataFrame:
 
 def agreement(votes: DataFrame, item: list[str], value: str, voters: int) -> DataFrame:
     """Share of the most frequent non-null value of each item among all ``voters``, rounded to one decimal of a percent."""
-    counts = votes.where(F.col(value).isNotNull()).groupBy(*item, value).agg(F.count(F.lit(1)).alias("k"))
-    return counts.groupBy(*item).agg(F.max("k").alias("votes")).withColumn("agreement", F.round(100.0 * F.col("votes") / F.lit(voters), 1))
+    counts = votes.where(F.col(value).isNotNull()).groupBy(*item, value).agg(F.count(F.lit(1)).alias("_votes"))
+    return counts.groupBy(*item).agg(F.max("_votes").alias("votes")).withColumn("agreement", F.round(100.0 * F.col("votes") / F.lit(voters), 1))
 
 
 def ranking_metrics(scores: DataFrame, record: str, option: str, score: str, truth: str) -> DataFrame:
