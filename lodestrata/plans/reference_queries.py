@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lodestrata.functions import censored
 from lodestrata.functions.elements import NAMES, SYMBOLS, UNIT_ENDINGS, header_symbol
 from lodestrata.operators import einsum as es
-from lodestrata.operators import graph, linkage, relational, rollup, scoring, shaping, taxonomy, text
+from lodestrata.operators import export, graph, linkage, model_calls, relational, rollup, scoring, shaping, taxonomy, text
 from lodestrata.session import read
+from lodestrata.streaming.events import sessions, windowed_counts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -690,3 +691,51 @@ def graph_edges(s, d):
 def graph_stats(s, d):
     nodes, edges = graph.sample_graph(read(s, d, "golden_sheet"), _GEL)
     return graph.statistics(nodes, graph.valid_edges(edges, nodes))
+
+
+# ---- exports, model answers, windows
+
+
+@query("SELECT record_id, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 'EPSG:4326' END AS crs, coalesce(len(deposit_type_candidate), -1)::INT AS candidates, coalesce(len(commodities), 0)::INT AS inventory FROM mineral_sites")
+def site_documents(s, d):
+    docs = export.site_documents(read(s, d, "golden_sheet"), read(s, d, "mineral_sites"), ["zn", "fe", "cd", "ge"])
+    return docs.select("record_id", F.col("location_info.crs").alias("crs"), F.coalesce(F.size("deposit_type_candidate"), F.lit(-1)).alias("candidates"), F.size("mineral_inventory").alias("inventory"))
+
+
+@query()
+def turtle_statements(s, d):
+    return export.triples(export.site_documents(read(s, d, "golden_sheet"), read(s, d, "mineral_sites"), ["zn", "fe"]))
+
+
+@query()
+def graphml_elements(s, d):
+    nodes, edges = graph.sample_graph(read(s, d, "golden_sheet"), _GEL)
+    return export.graphml(nodes, edges)
+
+
+@query(
+    "WITH r AS (SELECT file_id, line_no, line, row_number() OVER (PARTITION BY file_id ORDER BY line_no) AS n, count(*) OVER (PARTITION BY file_id) AS c FROM raw_appendix) SELECT file_id, md5(substr('line_no | line' || chr(10) || string_agg(line_no || ' | ' || coalesce(line, ''), chr(10) ORDER BY n) || CASE WHEN max(c) > 25 THEN chr(10) || '... ' || (max(c) - 25) || ' more rows' ELSE '' END, 1, 5000)) AS preview FROM r WHERE n <= 25 GROUP BY 1"
+)
+def sheet_previews(s, d):
+    t = export.text_table(read(s, d, "raw_appendix").select("file_id", "line_no", "line"), ["file_id"], "line_no", ["line_no", "line"])
+    return t.select("file_id", F.md5(F.encode("text", "UTF-8")).alias("preview"))
+
+
+@query()
+def model_answer_rows(s, d):
+    e = read(s, d, "events")
+    prompts = e.select("event_id", F.lit("extract").alias("system"), "props", F.col("props").alias("user"))
+    answers = e.select(model_calls.prompt_key(F.lit("extract"), F.col("props")).alias("prompt_key"), F.concat(F.lit('Sure: {"samples": ['), "props", F.lit("]}")).alias("answer")).dropDuplicates(["prompt_key"])
+    return model_calls.answer_rows(model_calls.answer_from_table(prompts, answers), "samples", "k int", ["event_id"])
+
+
+@query("SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS start, time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE AS \"end\", event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY ALL")
+def windowed_events(s, d):
+    return windowed_counts(read(s, d, "events")).withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query(
+    "WITH a AS (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), b AS (SELECT *, sum((p IS NULL OR ts >= p + INTERVAL 30 MINUTE)::INT) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM a) SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM b GROUP BY user_id, g"
+)
+def session_events(s, d):
+    return sessions(read(s, d, "events"))
