@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 NUMBER_COLUMNS = ["Fe", "Zn", "Cu", "S", "Cd", "Mn", "Total"]
 EMPTY_WORDS = ["", "-", "bdl", "n.d."]
 DELIMITERS = [",", ";", "\t", "|"]
-#: Placeholders for a quote and a delimiter inside a quoted field once the quoting is known to be sound.
-_HELD = "\u0001"
 
 
 def _class(delim: str) -> str:
@@ -28,16 +26,12 @@ def quoting_is_sound(line: Column, delim: str) -> Column:
 
 
 def split_fields(line: Column, delim: str) -> Column:
-    """Field texts of a soundly quoted line. Quoted segments sit at the odd places once the line is cut at quotes."""
-    parts = F.split(F.replace(line, F.lit('""'), F.lit("\u0002")), '"', -1)
-    held = F.transform(
-        parts,
-        lambda p, i: F.when(i % 2 == 1, F.replace(p, F.lit(delim), F.lit(_HELD))).otherwise(
-            F.replace(p, F.lit("\u0002"), F.lit(""))
-        ),
-    )
-    fields = F.split(F.array_join(held, ""), _class(delim) if delim == "\t" else f"[{_class(delim)}]", -1)
-    return F.transform(fields, lambda f: F.replace(F.replace(f, F.lit(_HELD), F.lit(delim)), F.lit("\u0002"), F.lit('"')))
+    """Field texts of a soundly quoted line: each field with the delimiter after it, then unquoted."""
+    d = _class(delim)
+    pattern = rf'("[^"]*+(?:""[^"]*+)*+"|[^"{d}]*+)[{d}]'
+    raw = F.regexp_extract_all(F.concat(line, F.lit(delim)), F.lit(pattern), 1)
+    inner = lambda f: F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda f: F.when(F.startswith(f, F.lit('"')), inner(f)).otherwise(f))
 
 
 def classify_rows(
