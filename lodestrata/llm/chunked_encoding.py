@@ -29,7 +29,7 @@ SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 _WINDOW = 24
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
 _ASCII = np.zeros(128, dtype=np.uint8)
 for _c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789":
     _ASCII[ord(_c)] = 1
@@ -46,12 +46,17 @@ def sure_cuts(codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero((kind[:-1] == 1) & (kind[1:] == 2)) + 1
 
 
+def power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse modulo 2**64."""
+    return tuple(np.cumprod(np.full(n, b, dtype=np.uint64)) for b in (np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))))
+
+
 def is_sure(text: str, p: int) -> bool:
     a, b = ord(text[p - 1]), ord(text[p])
     return a < 128 and b < 128 and _ASCII[a] == 1 and _ASCII[b] == 2
 
 
-def chunk_bounds(text: str, mean: int, least: int, most: int, powers: np.ndarray) -> list[int]:
+def chunk_bounds(text: str, mean: int, least: int, most: int, powers: tuple[np.ndarray, np.ndarray]) -> list[int]:
     """Ends of the chunks of a text, the last one its length."""
     n = len(text)
     if n <= least:
@@ -61,11 +66,10 @@ def chunk_bounds(text: str, mean: int, least: int, most: int, powers: np.ndarray
     ends: list[int] = []
     at = 0
     if n > _WINDOW:
-        if n > len(powers):
-            powers = np.cumprod(np.full(n + 1, _BASE, dtype=np.uint64))
-        # each code point times a power of the base; a window's sum, scaled back, depends on its content alone
-        sums = np.cumsum(codes.astype(np.uint64) * powers[:n][::-1])
-        window = (sums[_WINDOW:] - sums[:-_WINDOW]) * powers[: n - _WINDOW]
+        up, down = powers if n <= len(powers[0]) else power_table(n)
+        # code point k times base**-k; a window's sum times base**start depends on its content alone, not on its place
+        sums = np.cumsum(codes.astype(np.uint64) * down[:n])
+        window = (sums[_WINDOW:] - sums[:-_WINDOW]) * up[: n - _WINDOW]
         hits = np.flatnonzero((window >> np.uint64(40)) % np.uint64(mean) == 0) + _WINDOW + 1
     else:
         hits = np.empty(0, dtype=np.int64)
@@ -172,7 +176,7 @@ def encode_corpus(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        powers = np.cumprod(np.full(65536, _BASE, dtype=np.uint64))
+        powers = power_table(65536)
         row = part << 33
         seen: dict[bytes, int] = {}
         emitted: set[tuple[bytes, int]] = set()

@@ -131,8 +131,8 @@ class _Filler:
 
     def email(self) -> str:
         w, v = self.word(), self.word()
-        user = self.r.choice([w, f"{w}.{v}", f"{w[0]}{v}", f"{w}_{v[0]}{self.digits(1)}"]) + self.r.choice(["", "", "+ore"])
-        host = self.word() + self.r.choice(["", "-geo"])
+        user = self.r.choice([w, f"{w}.{v}", f"{w[0]}{v}", f"{w}_{v[0]}{self.digits(1)}", f"{w[0]}.{v}", f"{w[0]}.{v[0]}"]) + self.r.choice(["", "", "+ore"])
+        host = self.r.choice([self.word(), self.word(), self.word(1, 1), "abcq"[self.r.randint(0, 3)]]) + self.r.choice(["", "-geo"])
         end = self.r.choice([["test"], ["example", "com"], ["invalid"], ["example"], ["example", "org"]])
         x = self.r.random()
         if x < 0.7:

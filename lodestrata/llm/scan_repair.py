@@ -187,7 +187,7 @@ def labelled_pages(papers: int = 160, seed: int = 11) -> list[list[tuple[str, st
                 rows.append((("## " if marked else "") + f"Table {r.randint(1, 6)}. Spot results, n = {n}", "cell"))
                 rows += [(str(r.randint(20, 400)) + r.choice(["", " "]), "cell") for _ in range(n)] + [("", "break")]
             elif x < 0.4 and marked:
-                rows += [("![](_page_0_Figure_1.jpeg)", "cell"), ("", "break")]
+                rows += [("![](_page_0_Figure_1.jpeg)", "title"), ("", "break")]
         if r.random() < 0.4:
             furniture()
         pages.append(rows)
