@@ -73,8 +73,12 @@ def features(lines: list[str]) -> np.ndarray:
             form = 7
         elif dense and (letters < 0.45 * dense and small < 1 and not re.search(r"\d", p) or (len(p.split()) >= 3 and max(map(len, p.split())) <= 3 and small == 0)):
             form = 8
+        elif small <= 1 and len(re.findall(r"[\[\]|\\/^~*&=#_{}<>]", p)) >= 2 and not any(x in _PROSE_WORDS for x in lower):
+            form = 8
         elif words and caps >= 0.7 * len(words) and letters > 4:
             form = 9
+        elif 2 <= len(words) <= 6 and p[-1:].isdigit() and sum(w[0].isupper() for w in words) >= 0.6 * len(words):
+            form = 10
         elif small == 0 and len(words) <= 2 or re.search(r"(?:\||,)\s*\d+$|\s\d{1,4}$", p) and sum(x in _PROSE_WORDS for x in lower) == 0 and len(words) <= 6:
             form = 10
         elif any(x in _PROSE_WORDS for x in lower) or small >= 3:
@@ -89,10 +93,10 @@ def features(lines: list[str]) -> np.ndarray:
             in_table = 2
         else:
             in_table = 0
-            if form not in (0, 5, 6):
+            if form in (2, 7, 11):
                 left = 0
         end = p[-1:]
-        repeats = seen[m] if form in (3, 4, 5, 6, 9, 10, 12) else 1
+        repeats = seen[m] if form in (3, 4, 5, 6, 9, 10, 12) or len(p) < 0.7 * width and end.isalnum() else 1
         out.append(
             (
                 form,
@@ -136,8 +140,9 @@ def labelled_pages(papers: int = 160, seed: int = 11) -> list[list[tuple[str, st
         marked = r.random() < 0.4
         fragment = not marked and r.random() < 0.3
         width = r.randint(52, 80)
-        journal = f"{name()} {name()} {r.randint(1, 90)}" if r.random() < 0.6 else f"{word().upper()} BULLETIN {r.randint(1, 90)}"
-        heads = [lambda: journal, lambda: f"{journal} | {r.randint(1, 900)}", lambda: f"{word().upper()} IN {word().upper()} FROM {word().upper()}", lambda: f"{word().upper()} AND {word().upper()}   {r.randint(1, 900)}", lambda: f"{word().upper()} ET AL.", lambda: f"{r.randint(1, 900)}   {word().upper()} IN {word().upper()} FROM {word().upper()}", lambda: f"\x0c{journal}, {word().upper()}"]
+        journal = r.choice([f"{name()} {name()} {r.randint(1, 90)}", f"{name()} of {name()} {name()} {r.randint(1, 90)}", f"J. {name()} {name()} {r.randint(1, 90)}"]) if r.random() < 0.7 else f"{word().upper()} BULLETIN {r.randint(1, 90)}"
+        lead, tail = r.choice(["\x0c", ""]), r.choice(["", " ET AL.", f" AND {word().upper()}"])
+        heads = [lambda: journal, lambda: f"{journal} | {r.randint(1, 900)}", lambda: f"{word().upper()} IN {word().upper()} FROM {word().upper()}", lambda: f"{word().upper()} AND {word().upper()}   {r.randint(1, 900)}", lambda: f"{word().upper()} ET AL.", lambda: f"{word().upper()} ET AL.   {r.randint(1, 900)}", lambda: f"{r.randint(1, 900)}   {word().upper()} IN {word().upper()} FROM {word().upper()}", lambda: f"{lead}{journal}, {word().upper()}{tail}"]
         feet = [lambda: str(r.randint(1, 900)), lambda: f"- {r.randint(1, 900)} -", lambda: f"-{r.randint(1, 900)}-", lambda: f"Page {r.randint(1, 20)} of 20", lambda: f"Page {r.randint(1, 900)}", lambda: r.choice(["i", "ii", "iii", "iv", "v", "vi", "ix"]), lambda: f"Downloaded by guest on {r.randint(1, 28)} May {r.randint(1990, 2022)}", lambda: f"© {r.randint(1980, 2022)} {name()} Press"]
         noise = lambda: " ".join("".join(r.choice("oIlW^|[]~\\/=DTAMN_*&#}1") for _ in range(r.randint(1, 4))) for _ in range(r.randint(3, 8)))
         head, foot = r.choice(heads), r.choice(feet)
