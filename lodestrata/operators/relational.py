@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.session import input_partitions
+
 
 def join_nullsafe(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match null keys. On clashing column names the left one stays, the right one goes.
@@ -60,7 +62,8 @@ def with_position(df: DataFrame, order: list[Column], name: str = "row_index") -
 
     The order is split into ranges; only the count of each range is held in one place.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    parts = input_partitions(df.sparkSession)  # a fixed number, which adaptive execution leaves as it is in both uses
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
     within = ranged.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = within.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_b"))
