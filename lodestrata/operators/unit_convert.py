@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.units import UnitIndex, stated_unit
-from lodestrata.session import broadcast_if_small
+from lodestrata.session import broadcast_if_small, checkpointed
 
 #: A cell up to the end of its first number (no power of ten like 10^3), and that number with its sign.
 NUMBER = r"\A[^0-9]*[0-9][0-9.,]*+(?:[eE][-+]?[0-9]{1,3}+)?+(?!\^)"
@@ -71,7 +71,7 @@ def convert_units(
     """
     sources = {"value": "_s_value", "unit": unit, "header": header, "note": note}
     shaped = with_number(rows, value)
-    known = alias_dictionary(shaped, sources)
+    known = checkpointed(alias_dictionary(shaped, sources))
     known = broadcast_if_small(known, max_broadcast_rows) if max_broadcast_rows else known
     out = shaped
     for s, c in sources.items():
@@ -88,8 +88,6 @@ def measured_ppb(measurements: DataFrame) -> DataFrame:
     """``(meas_id, value_ppb)`` of the measurements in a known unit other than plain ppm, each once."""
     m = measurements.select("meas_id", "original_value", "unit", "column_header", "note")
     c = convert_units(m, "original_value", "unit", "column_header", "note")
-    return (
-        c.where(F.col("_number").isNotNull() & F.col("_ppb").isNotNull() & ~F.col("_plain_ppm"))
-        .select("meas_id", F.round(F.col("_number") * F.col("_ppb")).cast("bigint").alias("value_ppb"))
-        .distinct()
-    )
+    # one null check on the product: a filter on _number alone would be pushed to the scan with its whole parsing written out
+    value = F.round(F.col("_number") * F.col("_ppb")).cast("bigint")
+    return c.where(~F.coalesce("_plain_ppm", F.lit(True))).select("meas_id", value.alias("value_ppb")).where("value_ppb IS NOT NULL").distinct()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +26,24 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that Python tasks find it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_lodestrata_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    files = sorted(root.rglob("*.py"))
+    digest = hashlib.sha1(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
+    path = Path(SparkFiles.getRootDirectory()) / f"lodestrata-{digest}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._lodestrata_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
