@@ -80,7 +80,7 @@ def classify_rows(
         schema = ", ".join(f"c{i} STRING" for i in range(n)) + ", _corrupt STRING"
         row = F.from_csv(
             F.col("_l"), schema,
-            {"sep": d, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "maxCharsPerColumn": "-1"},
+            {"sep": d, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "escape": '"', "maxCharsPerColumn": "-1", "inputBufferSize": "8192"},
         )
         return F.struct(
             F.array(*[F.coalesce(row[f"c{i}"], F.lit("")) for i in range(n)]).alias("cells"), row["_corrupt"].alias("corrupt")
@@ -119,6 +119,8 @@ def classify_rows(
         .when(F.size(at) != F.col("n_cols"), "column_count")
         .when(first_bad | sample_bad | numbers_bad, "invalid_value")
     )
+    # a column that isn't deterministic keeps filters on the reason from being pushed to the scan with all parsing written out
+    reason = F.when(F.spark_partition_id() >= 0, reason)
     return cells.withColumn("reason", reason).select("line_id", "file_id", "line_no", "line", "fields", "parsed", "reason")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import censored
 from lodestrata.functions.elements import NAMES, SYMBOLS, UNIT_ENDINGS, header_symbol
 from lodestrata.operators import einsum as es
-from lodestrata.operators import export, graph, linkage, model_calls, relational, rollup, scoring, shaping, taxonomy, text
+from lodestrata.operators import enrichment, export, graph, linkage, model_calls, relational, rollup, scoring, shaping, taxonomy, text
 from lodestrata.session import read
 from lodestrata.streaming.events import sessions, windowed_counts
 
@@ -739,3 +739,90 @@ def windowed_events(s, d):
 )
 def session_events(s, d):
     return sessions(read(s, d, "events"))
+
+
+# ---- metadata and lookups
+
+
+@query(
+    "WITH m AS (SELECT doc_id, arg_min(deposit_name, row_id) FILTER (deposit_name IS NOT NULL) AS deposit_name, arg_min(mineral, row_id) FILTER (mineral IS NOT NULL) AS mineral FROM golden_sheet GROUP BY 1) "
+    "SELECT e.row_id, e.last_update, coalesce(e.deposit_name, m.deposit_name) AS deposit_name, coalesce(e.mineral, m.mineral) AS mineral FROM extraction_sheet e LEFT JOIN m USING (doc_id)"
+)
+def metadata_override(s, d):
+    g = read(s, d, "golden_sheet").select("doc_id", "row_id", "deposit_name", "mineral")
+    meta = linkage.coalesce_merge(g.where("doc_id IS NOT NULL"), ["doc_id"], ["row_id"], ["deposit_name", "mineral"])
+    rows = read(s, d, "extraction_sheet").select("doc_id", "row_id", "last_update", "deposit_name", "mineral")
+    return enrichment.override_metadata(rows, meta, "doc_id", ["deposit_name", "mineral"]).drop("doc_id")
+
+
+@query(
+    "SELECT rec_id, nullif(list_aggregate(list_transform(list_sort(list_transform(list_filter(deposit_type_candidate, lambda c: c.observed_name IS NOT NULL), lambda c: {'s': -coalesce(c.confidence, 0), 'n': c.observed_name})), lambda c: printf('%s (%.2f)', c.n, round(-c.s, 2))), 'string_agg', ' | '), '') AS alternatives FROM mineral_sites"
+)
+def candidate_alternatives(s, d):
+    return read(s, d, "mineral_sites").select("rec_id", enrichment.candidates_text(F.col("deposit_type_candidate")).alias("alternatives"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)source:|et al\\.?,?\\s+\\(?[0-9]{4}') THEN 'cited_study:' || substr(trim(text, ' '), 1, 50) ELSE 'this_study' END AS tag FROM documents"
+)
+def source_tags(s, d):
+    return read(s, d, "documents").select("doc_id", enrichment.source_tag(F.col("text")).alias("tag"))
+
+
+_MINERALS = [("pyrite", "pyrite"), ("chalcopyrite", "chalcopyrite"), ("arsenopyrite", "arsenopyrite"), ("sphalerite", "sphalerite"), ("galena", "galena")]
+
+
+@query("SELECT doc_id, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '\\b{w}\\b') THEN '{v}'" for w, v in sorted(_MINERALS, key=lambda x: -len(x[0]))) + " ELSE map {'cpy': 'chalcopyrite', 'sph': 'sphalerite', 'as': 'arsenopyrite'}[list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda t: t IN ('cpy', 'sph', 'as'))[1]] END AS mineral FROM documents")
+def word_lookups(s, d):
+    return read(s, d, "documents").select("doc_id", enrichment.word_lookup(F.col("text"), _MINERALS, [("cpy", "chalcopyrite"), ("sph", "sphalerite"), ("as", "arsenopyrite")]).alias("mineral"))
+
+
+@query()
+def value_verification(s, d):
+    texts = read(s, d, "pdf_content").where("full_text IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("content_id", "full_text"))["full_text"].alias("full_text"))
+    return enrichment.verify_values(read(s, d, "golden_sheet").select("doc_id", "row_id", "zn_ppm"), texts, "doc_id", "row_id", "zn_ppm", "full_text")
+
+
+_BUDGET = _SCORE_SQL.replace("SELECT doc_id, text,", "SELECT doc_id, paper_id, page_no, text,").replace("b AS (SELECT doc_id,", "b AS (SELECT doc_id, paper_id,").replace("c AS (SELECT doc_id,", "c AS (SELECT doc_id, paper_id,")
+
+
+@query(_BUDGET.rstrip() + ", w AS (SELECT *, doc_id % 10 = 0 AS must, row_number() OVER (PARTITION BY paper_id ORDER BY doc_id % 10 = 0 DESC, score DESC NULLS LAST, doc_id) AS n FROM c) SELECT paper_id, doc_id FROM w WHERE must OR (n <= 10 AND score IS NOT NULL)")
+def page_budgets(s, d):
+    p = read(s, d, "documents").where("text IS NOT NULL").select("paper_id", "doc_id", F.round(text.page_score(F.col("text")), 6).alias("score"), (F.col("doc_id") % 10 == 0).alias("must"), F.lit(60).alias("expected"))
+    return enrichment.page_budget(p, "paper_id", "doc_id", "score", "must", "expected").select("paper_id", "doc_id")
+
+
+_T1 = ["sample_name", "deposit_name", "mineral", "analytical_method"]
+_FOLDED = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' ')"
+
+
+@query(
+    "WITH t AS (SELECT doc_id, min((row_id, " + ", ".join(f"coalesce({f}, chr(0))" for f in _T1) + ")) AS r FROM golden_sheet GROUP BY 1), p AS (SELECT doc_id, min((row_id, " + ", ".join(f"coalesce({f}, chr(0))" for f in _T1) + ")) AS r FROM extraction_sheet GROUP BY 1), "
+    "f AS (SELECT t.doc_id, unnest([" + ", ".join(f"nullif(t.r[{i}], chr(0))" for i in range(2, 6)) + "]) AS t, unnest([" + ", ".join(f"nullif(p.r[{i}], chr(0))" for i in range(2, 6)) + "]) AS p FROM t LEFT JOIN p ON t.doc_id = p.doc_id), "
+    "g AS (SELECT doc_id, t, " + _FOLDED.format("t") + " AS a, " + _FOLDED.format("coalesce(p, '')") + " AS b FROM f WHERE t IS NOT NULL), s AS (SELECT doc_id, CASE WHEN a = b THEN 1 WHEN b = '' THEN 0 ELSE len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(string_split(a, ' ') || string_split(b, ' '))) END AS s FROM g) "
+    "SELECT t.doc_id, round(coalesce(avg(s), 0), 6) AS t1, count(s)::INT AS fields FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY 1"
+)
+def tier1_metadata(s, d):
+    return enrichment.metadata_scores(read(s, d, "extraction_sheet"), read(s, d, "golden_sheet"), "doc_id", "row_id", _T1).withColumn("t1", F.round("t1", 6))
+
+
+_QE = ["zn_ppm", "fe_ppm", "cd_ppm", "ge_ppm"]
+
+
+@query(
+    "WITH a AS (SELECT doc_id, count(*) AS rows, " + " + ".join(f"(count({e}) > 0)::INT" for e in _QE) + " AS elements, " + " + ".join(f"(count(DISTINCT {e}) = 1 AND count({e}) > 1)::INT" for e in _QE) + " AS uniform, count(sample_name) / count(*) AS named FROM extraction_sheet GROUP BY 1) "
+    "SELECT doc_id, rows, elements, CASE WHEN rows >= 5 THEN 40 ELSE 0 END + CASE WHEN elements >= 3 THEN 30 WHEN elements > 0 THEN 15 ELSE 0 END + CASE WHEN named >= 0.5 THEN 20 ELSE 0 END + CASE WHEN uniform = 0 THEN 10 ELSE 0 END AS score FROM a"
+)
+def quick_quality(s, d):
+    return enrichment.quick_quality(read(s, d, "extraction_sheet"), ["doc_id"], "sample_name", _QE)
+
+
+@query("SELECT event_id, event_type, label FROM events JOIN (VALUES ('click', 5, 'five'), ('click', NULL, 'any click'), ('error', 7, 'seven')) r(t, u, label) ON event_type = t AND (u IS NULL OR user_id = u)")
+def rule_labels(s, d):
+    rules = s.createDataFrame([("click", 5, "five"), ("click", None, "any click"), ("error", 7, "seven")], "event_type string, user_id bigint, label string")
+    return enrichment.rule_match(read(s, d, "events").select("event_id", "event_type", "user_id"), rules, "event_type", "user_id").select("event_id", "event_type", "label")
+
+
+@query("SELECT event_id, '{}' AS record FROM events")
+def keys_dropped(s, d):
+    return read(s, d, "events").select("event_id", enrichment.without_keys(F.col("props"), ["k"]).alias("record"))
