@@ -49,6 +49,7 @@ def plan(equation: str, sizes: dict[str, int]) -> tuple[float, object]:
 def einsum(equation: str, *tensors: DataFrame, sizes: dict[str, int] | None = None) -> DataFrame:
     """The contraction as ``(output indices…, v)``; absent entries are zero, null values count as zero, a null index is left out.
 
+    Operands without a common index are multiplied out, as the equation asks; the planner leaves that for last where it can.
     An index no other operand or the output needs is summed before any join. ``sizes`` default to 1000 an index.
     """
     left, out = equation.split("->")

@@ -78,10 +78,12 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(e)
 
 
-def node_table(nodes: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def node_table(nodes: DataFrame, keys: list[str] | None = None, max_keys: int = 2000) -> DataFrame:
     """Nodes with one column a property key, the sorted union of all keys unless given (keys of a graph are few by nature)."""
     if keys is None:
-        keys = [r[0] for r in nodes.select(F.explode(F.map_keys("properties")).alias("k")).distinct().orderBy("k").limit(2000).collect()]
+        keys = [r[0] for r in nodes.select(F.explode(F.map_keys("properties")).alias("k")).distinct().orderBy("k").limit(max_keys + 1).collect()]
+        if len(keys) > max_keys:
+            raise ValueError(f"more than {max_keys} property keys")
     return nodes.select("id", "type", *[F.try_element_at("properties", F.lit(k)).alias(k) for k in keys])
 
 

@@ -141,9 +141,11 @@ def prioritised_lookup(hits: DataFrame, key: list[str], stage: str) -> DataFrame
     return hits.withColumn("_s", F.min(stage).over(Window.partitionBy(*key))).where(F.col(stage) == F.col("_s")).drop("_s")
 
 
-def prefix_join(left: DataFrame, right: DataFrame, text: str, prefix: str, max_rows: int = 50_000) -> DataFrame:
+def prefix_join(left: DataFrame, right: DataFrame, text: str, prefix: str, max_rows: int = 50_000, max_lengths: int = 1000) -> DataFrame:
     """Rows of left with the longest prefix of right their text starts with, by equi-join on the prefix lengths that occur."""
-    lengths = [r[0] for r in right.select(F.length(prefix).alias("n")).where("n > 0").distinct().orderBy("n").limit(1000).collect()]
+    lengths = [r[0] for r in right.select(F.length(prefix).alias("n")).where("n > 0").distinct().orderBy("n").limit(max_lengths + 1).collect()]
+    if len(lengths) > max_lengths:
+        raise ValueError(f"prefixes of more than {max_lengths} lengths")
     cut = left.withColumn("_p", F.explode_outer(F.array_distinct(F.array(*[F.substring(text, 1, n) for n in lengths])) if lengths else F.array(F.lit(None).cast("string"))))
     r = broadcast_if_small(right.select(F.col(prefix).alias("_r")).distinct(), max_rows)
     hits = cut.join(r, F.col("_p") == F.col("_r"), "left")

@@ -55,7 +55,7 @@ def header_rows(grid: DataFrame, first: int = 20, least: int = 2) -> DataFrame:
 def column_profile(grid: DataFrame) -> DataFrame:
     """Per column below the header: name, symbol, filled share, uniqueness, numeric share; what roles are chosen by."""
     heads = header_rows(grid)
-    body = cells_of(grid).join(F.broadcast(heads), ["source_id", "sheet"])
+    body = cells_of(grid).join(heads, ["source_id", "sheet"])
     names = body.where("row_idx = header_row").select("source_id", "sheet", "col_idx", F.trim("cell").alias("raw_name"))
     t = F.nullif(F.trim("cell"), F.lit(""))
     stats = body.where("row_idx > header_row").groupBy("source_id", "sheet", "col_idx").agg(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import broadcast_if_small
+
 
 def hierarchy(types: DataFrame, levels: list[str], leaf: str) -> DataFrame:
     """Each group of the levels with its count and sorted leaves."""
@@ -70,4 +72,4 @@ def crosswalk(records: DataFrame, types: DataFrame, record: str, text: str) -> D
     """``(record, type_ids)``: types whose model number the record's text names; records without any have an empty list."""
     named = records.select(record, F.explode_outer(model_numbers(F.col(text))).alias("_n"))
     t = types.where("usgs_num IS NOT NULL").select(F.lower("usgs_num").alias("_n"), "type_id")
-    return named.join(F.broadcast(t), "_n", "left").groupBy(record).agg(F.array_sort(F.collect_set("type_id")).alias("type_ids"))
+    return named.join(broadcast_if_small(t, 50_000), "_n", "left").groupBy(record).agg(F.array_sort(F.collect_set("type_id")).alias("type_ids"))

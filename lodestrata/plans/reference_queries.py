@@ -421,8 +421,11 @@ def _class_scores(s: SparkSession, d: str) -> DataFrame:
     e = read(s, d, "embeddings").select("vec_id", "label", "embedding")
     dims = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = dims.groupBy(F.col("label").alias("option")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("mean"))
+    # the means fold into one row, which meets every vector
+    listed = means.agg(F.collect_list(F.struct("option", "mean")).alias("all"))
     dot = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
-    return e.crossJoin(F.broadcast(means)).select("vec_id", "label", "option", F.round(dot, 6).alias("score"))
+    each = e.join(F.broadcast(listed)).select("vec_id", "label", "embedding", F.explode("all").alias("m")).select("vec_id", "label", "embedding", "m.option", "m.mean")
+    return each.select("vec_id", "label", "option", F.round(dot, 6).alias("score"))
 
 
 _SCORES = "WITH x AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label AS option, i, avg(x) AS m FROM x GROUP BY ALL), s AS (SELECT vec_id, label, option, round(sum(x.x * m.m), 6) AS score FROM x JOIN m USING (i) GROUP BY ALL)"
@@ -756,7 +759,7 @@ def metadata_override(s, d):
 
 
 @query(
-    "SELECT rec_id, nullif(list_aggregate(list_transform(list_sort(list_transform(list_filter(deposit_type_candidate, lambda c: c.observed_name IS NOT NULL), lambda c: {'s': -coalesce(c.confidence, 0), 'n': c.observed_name})), lambda c: printf('%s (%.2f)', c.n, round(-c.s, 2))), 'string_agg', ' | '), '') AS alternatives FROM mineral_sites"
+    "SELECT rec_id, nullif(list_aggregate(list_transform(list_sort(list_transform(list_filter(deposit_type_candidate, lambda c: c.observed_name IS NOT NULL), lambda c: {'s': -coalesce(c.confidence, 0), 'n': c.observed_name})), lambda c: printf('%s (%.2f)', c.n, round((-c.s)::DECIMAL(18, 6), 2))), 'string_agg', ' | '), '') AS alternatives FROM mineral_sites"
 )
 def candidate_alternatives(s, d):
     return read(s, d, "mineral_sites").select("rec_id", enrichment.candidates_text(F.col("deposit_type_candidate")).alias("alternatives"))
