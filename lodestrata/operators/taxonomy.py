@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,35 +18,77 @@ def hierarchy(types: DataFrame, levels: list[str], leaf: str) -> DataFrame:
     return types.groupBy(*levels).agg(F.count(F.lit(1)).alias("n_types"), F.array_join(F.array_sort(F.collect_set(leaf)), "; ").alias("types"))
 
 
-def keyword_score(text: Column, name: Column, group: Column, environment: Column) -> Column:
-    """.4 for the type's name in the text, .2 for its group, .1 for its environment, up to .2 for its name's words; capped at 1."""
-    low = F.lower(text)
-    words = F.filter(F.split(F.lower(name), r"[^a-z]+"), lambda w: F.length(w) > 3)
-    hit = F.size(F.filter(words, lambda w: F.contains(low, w)))
-    overlap = F.when(F.size(words) > 0, F.least(F.lit(0.2), hit / F.size(words) * 0.3)).otherwise(0.0)
-    score = (
-        F.when(F.contains(low, F.lower(name)), 0.4).otherwise(0.0)
-        + F.when(F.contains(low, F.lower(group)), 0.2).otherwise(0.0)
-        + F.when(F.contains(low, F.lower(environment)), 0.1).otherwise(0.0)
-        + F.when(overlap > 0.05, overlap).otherwise(0.0)
-    )
-    return F.round(F.least(F.lit(1.0), score), 3)
+#: What the name, the group, the environment and the words of a type's name add to its score.
+NAME_SCORE, GROUP_SCORE, ENVIRONMENT_SCORE, WORDS_SCORE, WORDS_MOST, WORDS_LEAST = 0.4, 0.2, 0.1, 0.3, 0.2, 0.05
+
+
+class TypeScorer:
+    """Keyword scores of all types for a text: every term of the list is looked for in one pass over the text.
+
+    .4 for the type's name in the text, .2 for its group, .1 for its environment, up to .2 for its name's words; capped at 1.
+    """
+
+    def __init__(self, types: list[tuple[str, str, str, str]]):
+        self.ids = np.array([t[0] for t in types])
+        terms: dict[str, int] = {}
+        index = lambda t: terms.setdefault(t.lower(), len(terms))
+        self.name, self.group, self.environment = (np.array([index(t[k] or "\x00") for t in types], dtype=int) for k in (1, 2, 3))
+        words = [[index(w) for w in re.split(r"[^a-z]+", (t[1] or "").lower()) if len(w) > 3] for t in types]
+        self.counts = np.maximum(1, np.array([len(w) for w in words]))
+        self.terms = list(terms)
+        self.weights = np.zeros((len(terms), len(types)))
+        for j, ws in enumerate(words):
+            for w in ws:
+                self.weights[w, j] += 1
+        try:
+            import ahocorasick
+
+            self.automaton = ahocorasick.Automaton()
+            for t, i in terms.items():
+                self.automaton.add_word(t, i)
+            self.automaton.make_automaton()
+        except ImportError:
+            self.automaton = None
+
+    def found(self, text: str) -> np.ndarray:
+        hit = np.zeros(len(self.terms))
+        low = text.lower()
+        at = [i for _, i in self.automaton.iter(low)] if self.automaton else [i for i, t in enumerate(self.terms) if t in low]
+        hit[at] = 1
+        return hit
+
+    def scores(self, text: str) -> np.ndarray:
+        hit = self.found(text)
+        words = np.minimum(WORDS_MOST, hit @ self.weights / self.counts * WORDS_SCORE)
+        raw = NAME_SCORE * hit[self.name] + GROUP_SCORE * hit[self.group] + ENVIRONMENT_SCORE * hit[self.environment] + np.where(words > WORDS_LEAST, words, 0.0)
+        return np.floor(np.minimum(1.0, raw) * 1000 + 0.5 + 1e-9) / 1000
 
 
 def score_types(docs: DataFrame, types: DataFrame, doc: str, text: str, top: int = 10, least: float = 0.05, max_types: int = 5000) -> DataFrame:
-    """The best-scoring types of each document. The type list is a bounded dimension, folded into one array sent to every task."""
-    if types.limit(max_types + 1).count() > max_types:
+    """``(doc, rank, type_id, score)``: the best-scoring types of each document, ties by id. The type list is a bounded dimension."""
+    listed = [tuple(r) for r in types.where("type_id IS NOT NULL").select("type_id", "deposit_type", "deposit_group", "deposit_environment").orderBy("type_id").limit(max_types + 1).collect()]
+    if len(listed) > max_types:
         raise ValueError(f"more than {max_types} types")
-    listed = types.agg(F.collect_list(F.struct("type_id", "deposit_type", "deposit_group", "deposit_environment")).alias("all"))
-    scored = docs.where(F.col(text).isNotNull()).join(F.broadcast(listed)).select(
-        doc,
-        F.filter(
-            F.transform("all", lambda t: F.struct((-keyword_score(F.col(text), t["deposit_type"], t["deposit_group"], t["deposit_environment"])).alias("s"), t["type_id"].alias("type_id"))),
-            lambda x: x["s"] < -least,
-        ).alias("hits"),
-    )
-    best = scored.select(doc, F.posexplode(F.slice(F.array_sort("hits"), 1, top)).alias("i", "x"))
-    return best.select(doc, (F.col("i") + 1).alias("rank"), F.col("x.type_id").alias("type_id"), (-F.col("x.s")).alias("score"))
+    kind = dict(docs.dtypes)[doc]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = TypeScorer(listed)
+        for b in batches:
+            at, ranks, ids, values = [], [], [], []
+            for i, t in enumerate(b.column("t").to_pylist()):
+                s = scorer.scores(t)
+                order = [j for j in np.argsort(-s, kind="stable")[:top] if s[j] > least]
+                at += [i] * len(order)
+                ranks += range(1, len(order) + 1)
+                ids += scorer.ids[order].tolist()
+                values += s[order].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [b.column("d").take(pa.array(at, pa.int64())), pa.array(ranks, pa.int32()), pa.array(ids, pa.string()), pa.array(values, pa.float64())],
+                names=["d", "rank", "type_id", "score"],
+            )
+
+    source = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t"))
+    return source.mapInArrow(run, f"d {kind}, rank int, type_id string, score double").withColumnRenamed("d", doc)
 
 
 def validate(values: DataFrame, picklist: DataFrame, value: str, entry: str, max_rows: int = 10_000) -> DataFrame:
