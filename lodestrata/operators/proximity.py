@@ -78,7 +78,7 @@ class VantageTree:
             stack.append((outer, q[(d + r >= lo) & (d - r <= far)]))
 
 
-def _pairs_of_cell(ids, lat, lon, own, km: float, radius: float, block: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _pairs_of_cell(ids, lat, lon, own, km: float, radius: float, block: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(smaller id, larger id) within km, the smaller one the cell's own, in blocks of bounded memory."""
     xyz = unit_vectors(lat, lon)
     chord = 2 * np.sin(min(np.pi / 2, km / radius / 2)) * (1 + 1e-9) + 1e-12
@@ -97,15 +97,26 @@ def _pairs_of_cell(ids, lat, lon, own, km: float, radius: float, block: int = 2_
                 yield ids[a[keep]], ids[b[keep]]
 
 
+def _spaced(xyz: np.ndarray, least: float) -> np.ndarray:
+    """Places of vectors kept in order so that no two kept ones are nearer than ``least``."""
+    kept: list[int] = []
+    for i, x in enumerate(xyz):
+        if not kept or ((xyz[kept] - x) ** 2).sum(axis=1).min() >= least * least:
+            kept.append(i)
+    return np.array(kept, dtype=int)
+
+
 def near_pairs(
-    points: DataFrame, km: float, radius: float = EARTH_KM, points_per_cell: int = 256, max_pivots: int = 4096
+    points: DataFrame, km: float, radius: float = EARTH_KM, points_per_cell: int = 256, max_pivots: int = 4096, block_points: int = 20_000
 ) -> DataFrame:
     """Every pair of ``points(id, lat, lon)`` at most ``km`` apart, as ``(id_a, id_b)`` with id_a < id_b, each once.
 
-    Ids are unique; points at one place are ordinary points. Pivots are at most ``max_pivots`` points in hash order (a bound
-    on what the driver holds and every task is sent); only the cells' sizes depend on them, never the result. Cells are read
-    one at a time from sorted partitions and pairs leave in bounded batches, so a place that holds a third of all points
-    costs time but no memory. An empty table gives an empty result.
+    Ids are unique; points at one place are ordinary points. Pivots are at most ``max_pivots`` points in hash order, none nearer
+    than ``km`` to another, so that a point is copied to few cells however dense the place is (a bound on what the driver holds
+    and every task is sent); only the cells' sizes depend on them, never the result. The own points of a cell with more than
+    ``block_points`` are shared out to blocks, each with all the cell's members, so a place that holds a third of all points is
+    many tasks. Cells are read one at a time from sorted partitions and pairs leave in bounded batches. An empty table gives an
+    empty result.
     """
     spark = points.sparkSession
     n = points.count()
@@ -113,25 +124,39 @@ def near_pairs(
     pivots = points.orderBy(F.xxhash64("id"), "id").limit(k).select("lat", "lon").toPandas()
     pv = unit_vectors(pivots["lat"].to_numpy(), pivots["lon"].to_numpy())
     chord = 2 * np.sin(min(np.pi / 2, km / radius / 2)) * (1 + 1e-9) + 1e-12
+    pv = pv[_spaced(pv, chord)]
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distances(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, 2 - 2 * (unit_vectors(lat, lon) @ pv.T)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = np.zeros(len(pv), dtype=np.int64)
         for b in batches:
             lat, lon = b.column("lat").to_numpy(), b.column("lon").to_numpy()
             for s in range(0, len(lat), 2048):
-                x = unit_vectors(lat[s : s + 2048], lon[s : s + 2048])
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pv.T)))
+                sizes += np.bincount(distances(lat[s : s + 2048], lon[s : s + 2048]).argmin(axis=1), minlength=len(pv))
+        full = np.flatnonzero(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(sizes[full])], names=["cell", "n"])
+
+    blocks = np.ones(max(1, len(pv)), dtype=np.int64)
+    for r in points.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect() if n else []:
+        blocks[r["cell"]] = -(-r["n"] // block_points)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, lat, lon = (b.column(c).to_numpy() for c in ("id", "lat", "lon"))
+            for s in range(0, len(lat), 2048):
+                d = distances(lat[s : s + 2048], lon[s : s + 2048])
                 home = d.argmin(axis=1)
-                least = d[np.arange(len(x)), home]
+                least = d[np.arange(len(d)), home]
                 # 1e-7 covers the rounding of the dot products
                 row, cell = np.nonzero(d <= (least + 2 * chord + 1e-7)[:, None])
+                copies = blocks[cell]
+                block = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
+                row, cell = np.repeat(row, copies), np.repeat(cell, copies)
+                own = (home[row] == cell) & ((ids[s + row] * 0x9E3779B1 & 0x7FFFFFFF) % blocks[cell] == block)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cell.astype(np.int32)),
-                        pa.array(home[row] == cell),
-                        b.column("id").slice(s, len(x)).take(pa.array(row)),
-                        pa.array(lat[s + row]),
-                        pa.array(lon[s + row]),
-                    ],
+                    [pa.array(cell * 100_000 + block), pa.array(own), pa.array(ids[s + row]), pa.array(lat[s + row]), pa.array(lon[s + row])],
                     names=["cell", "own", "id", "lat", "lon"],
                 )
 
@@ -169,8 +194,8 @@ def near_pairs(
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["id_a", "id_b"])
 
-    parts = max(input_partitions(spark), min(k, n // 4096))
-    cells = points.mapInArrow(assign, "cell int, own boolean, id bigint, lat double, lon double")
+    parts = max(input_partitions(spark), min(int(blocks.sum()), n // 4096))
+    cells = points.mapInArrow(assign, "cell bigint, own boolean, id bigint, lat double, lon double")
     return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(join, "id_a bigint, id_b bigint")
 
 

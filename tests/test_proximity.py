@@ -29,7 +29,16 @@ def test_pairs_equal_brute_force(spark):
 
 def test_one_hot_place(spark):
     p = pd.DataFrame({"id": range(400), "lat": [1.0] * 400, "lon": [2.0] * 400})
-    assert near_pairs(spark.createDataFrame(p), 2.0, points_per_cell=16).count() == 400 * 399 // 2
+    for block in (20_000, 64):
+        got = near_pairs(spark.createDataFrame(p), 2.0, points_per_cell=16, block_points=block)
+        assert got.count() == got.distinct().count() == 400 * 399 // 2
+
+
+def test_dense_place_in_blocks_equals_brute_force(spark):
+    r = np.random.default_rng(6)
+    p = pd.DataFrame({"id": np.arange(1500) * 3, "lat": r.normal(10, 0.02, 1500), "lon": r.normal(20, 0.02, 1500)})
+    got = near_pairs(spark.createDataFrame(p), 2.0, points_per_cell=8, block_points=100).collect()
+    assert len(got) == len({(x.id_a, x.id_b) for x in got}) and {(x.id_a, x.id_b) for x in got} == brute(p, 2.0)
 
 
 def test_unusable_and_empty(spark):
