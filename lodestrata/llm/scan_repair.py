@@ -401,12 +401,12 @@ def corrections(counts: DataFrame, ratio: float = 20.0) -> DataFrame:
         .otherwise(F.col("m") >= ratio * F.col("n"))
     )
     clean = ~F.col("variant").rlike(r"[0-9@$|!]")
-    hits = spelt.join(known, "variant").where(enough & clean)
+    hits = spelt.join(known.hint("merge"), "variant").where(enough & clean)
     best = hits.groupBy("word").agg(F.max(F.struct((-F.col("changes")).alias("c"), F.col("m"), F.col("variant"))).alias("b"))
     found = best.select("word", F.col("b.variant").alias("fixed"))
     usual = (
         counts.where(symbol & (F.length(F.regexp_replace("word", r"[^\p{L}]", "")) >= 5) & ~F.col("word").rlike(r"[0-9]{2}|[0-9]-|-[0-9]|/|@.*\.|[^\p{L}0-9@$|!-]"))
-        .join(found, "word", "left_anti")
+        .join(found.hint("merge"), "word", "left_anti")
         .select("word", F.translate("word", "0159@$|!", "olsgasll").alias("fixed"))
         .where(~F.col("fixed").rlike(r"[0-9@$|!]"))
     )
@@ -431,7 +431,7 @@ def repair_events(papers: DataFrame, max_broadcast_rows: int = 50_000) -> DataFr
     halves = halves.withColumn("joined", F.concat("first", "second")).withColumn("kept", F.concat("first", F.lit("-"), "second"))
 
     def counted(df: DataFrame, c: str, name: str) -> DataFrame:
-        return df.join(counts.select(F.col("word").alias(f"_{name}"), F.col("n").alias(name)), F.lower(c) == F.col(f"_{name}"), "left").drop(f"_{name}")
+        return df.join(counts.select(F.col("word").alias(f"_{name}"), F.col("n").alias(name)).hint("merge"), F.lower(c) == F.col(f"_{name}"), "left").drop(f"_{name}")
 
     for c, name in (("joined", "n_joined"), ("kept", "n_kept"), ("first", "n_first"), ("second", "n_second")):
         halves = counted(halves, c, name)
