@@ -60,7 +60,7 @@ def name_links(pred: DataFrame, truth: DataFrame, name: str, doc: list[str]) ->
         cut = F.transform(name_prefixes(norm), lambda p: F.struct(p.alias("k"), F.lit(True).alias("cut")))
         return n.select(*doc, other, F.explode(F.concat(own, cut)).alias("x")).select(*doc, other, F.col("x.k").alias("k"), F.col("x.cut").alias(f"cut_{other}"))
 
-    both = side(pred, "pred_name").join(side(truth, "truth_name"), [*doc, "k"]).where(~(F.col("cut_pred_name") & F.col("cut_truth_name")))
+    both = side(pred, "pred_name").join(side(truth, "truth_name").hint("merge"), [*doc, "k"]).where(~(F.col("cut_pred_name") & F.col("cut_truth_name")))
     stage = F.when(F.col("pred_name") == F.col("truth_name"), 1).when(~F.col("cut_pred_name") & ~F.col("cut_truth_name"), 2).otherwise(3)
     return both.groupBy(*doc, "pred_name", "truth_name").agg(F.min(stage).alias("stage"))
 
@@ -98,7 +98,7 @@ def fingerprint_links(pred: DataFrame, truth: DataFrame, doc: list[str], pred_id
         return tidy.select(*doc, ident, F.col("x.e").alias("e"), F.col("x.v").alias(f"v_{ident}"), F.explode(F.array(b - 1, b, b + 1) if shifted else F.array(b)).alias("bucket"))
 
     a, b = spread(pred, pred_id, True), spread(truth, truth_id, False)
-    near = a.join(b, [*doc, "e", "bucket"]).where(F.abs(F.col(f"v_{pred_id}") - F.col(f"v_{truth_id}")) <= within * F.col(f"v_{truth_id}"))
+    near = a.join(b.hint("merge"), [*doc, "e", "bucket"]).where(F.abs(F.col(f"v_{pred_id}") - F.col(f"v_{truth_id}")) <= within * F.col(f"v_{truth_id}"))
     hits = near.groupBy(*doc, pred_id, truth_id).agg(F.count_distinct("e").alias("hits"))
     have = lambda df, i: df.select(*doc, i, F.array(*[F.when(F.col(e) > 0, F.lit(e)) for e in elements]).alias(f"have_{i}"))
     both = hits.join(have(pred, pred_id), [*doc, pred_id]).join(have(truth, truth_id), [*doc, truth_id])

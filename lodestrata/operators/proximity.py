@@ -270,7 +270,7 @@ def containing_regions(
             out[x.index.get_indexer(at)] = inside_rings(parse_rings(t), x[at].to_numpy(), y[at].to_numpy())
         return type(x)(out)
 
-    return placed.join(squares, ["gx", "gy"]).where(within("wkt", "lon", "lat")).select("id", "region_id")
+    return placed.join(squares.hint("merge"), ["gx", "gy"]).where(within("wkt", "lon", "lat")).select("id", "region_id")
 
 
 def surroundings(usmin: DataFrame, sedau: DataFrame, tracts: DataFrame, km: float = 2.0) -> DataFrame:

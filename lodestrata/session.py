@@ -65,9 +65,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """``df`` with a broadcast hint only when it has at most ``max_rows`` rows; the count reads no more than the bound."""
+    """``df`` with a broadcast hint only when it has at most ``max_rows`` rows, else with a sort-merge hint: estimates know nothing
+    of what explode or Python add, and would broadcast unawares. The count reads no more than the bound."""
     few = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
-    return F.broadcast(df) if few else df
+    return F.broadcast(df) if few else df.hint("merge")
 
 
 def input_partitions(spark: SparkSession, per_core: int = 3) -> int:
