@@ -1,7 +1,7 @@
 """Records of several site indexes that describe the same place, paired without a common key.
 
 Names are read into a core, a qualifier (direction, level, number) and a feature; cores one edit from a better attested one are
-taken for it. Candidate pairs agree in core and qualifier, or, where a name is missing or a stock phrase, lie at one spot.
+taken for it. Candidate pairs agree in core and qualifier (and in position, where very many do), or, where a name is missing or a stock phrase, lie at one spot.
 Each gets a prior log-odds from its partial evidence: spelling, feature, great-circle distance under the usual entry errors,
 commodities, country and state. Loopy belief propagation with one-to-one factors (a place of one index is at most one place of
 another, entered once or more) then exchanges messages through joins until they settle, and gives each pair its marginal
@@ -34,7 +34,9 @@ QUALIFIERS = {
     "N": "n north nth northern", "S": "s south sth southern", "E": "e east est eastern", "W": "w west wst western", "UP": "up upr upper uppr", "LOW": "low lwr lower lowr", "MID": "mid middle mdl central",
 }
 ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
-STOCK = {"", "na", "none", "null", "nan", "unnamed", "unknown", "noname", "oldadit", "oldshaft", "adit", "shaft", "pit", "quarry", "notnamed", "tobedetermined", "various", "untitled", "oldpit", "testpits", "testpit", "openworkings", "trench", "trenches", "showing", "outcrop"}
+STOCK = {"", "na", "none", "null", "nan", "unnamed", "unknown", "noname", "oldadit", "oldshaft", "adit", "shaft", "pit", "quarry", "notnamed", "tobedetermined", "various", "untitled", "oldpit", "testpits", "testpit", "openworkings", "trench", "trenches", "showing", "outcrop", "open", "opencut", "openpit", "gravelpit", "sandpit", "claypit", "borrowpit"} | set(ROMAN)
+#: Records that bear one ordinary name: a place or two, entered once or more in each index.
+USUAL_BEARERS = 8
 _WORDS: dict[str, tuple[str, str]] = {s: ("F", f) for f, ss in FEATURES.items() for s in ss.split()}
 _WORDS |= {s: ("Q", q) for q, ss in QUALIFIERS.items() for s in ss.split()}
 _WORDS |= {s: ("D", s) for s in SITE_WORDS}
@@ -209,11 +211,29 @@ def _km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * 6371.0088 * F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), h))))
 
 
+def cells(lat: Column, lon: Column, side: float, reach: float = 0.0) -> Column:
+    """The cubes of ``side`` km in space that lie within ``reach`` km of the point (in each direction): no poles, no date line, no narrowing."""
+    y, x = F.radians(lat), F.radians(lon)
+    axes = [F.cos(y) * F.cos(x) * 6371.0088, F.cos(y) * F.sin(x) * 6371.0088, F.sin(y) * 6371.0088]
+    far = reach * 1.0001
+    i, j, k = (F.sequence(F.floor((c - far) / side), F.floor((c + far) / side)) for c in axes)
+    cube = lambda p, q, r: F.struct(p.alias("cx"), q.alias("cy"), r.alias("cz"))
+    return F.flatten(F.transform(i, lambda p: F.flatten(F.transform(j, lambda q: F.transform(k, lambda r: cube(p, q, r))))))
+
+
+def _slips(lat: Column, lon: Column) -> list[tuple[Column, Column]]:
+    """What a lost or added sign, swapped coordinates, or both make of a point."""
+    return [(-lat, lon), (lat, -lon), (-lat, -lon), (lon, lat), (-lon, lat), (lon, -lat)]
+
+
 def _prior(named: bool) -> Column:
-    """Log-odds of a candidate pair (records a and b) from its partial evidence; unknown evidence adds nothing."""
+    """Log-odds of a candidate pair (records a and b) from its partial evidence; unknown evidence adds nothing.
+
+    A name says the less the more records bear it (``a.n``); beside a position it never counts for less than a look at the spot.
+    """
     la, oa, lb, ob = (F.col(c) for c in ("a.lat", "a.lon", "b.lat", "b.lon"))
     plain = _km(la, oa, lb, ob)
-    slips = F.least(*[_km(la, oa, y, x) for y, x in ((-lb, ob), (lb, -ob), (-lb, -ob), (ob, lb), (-ob, lb), (ob, -lb))])
+    slips = F.least(*[_km(la, oa, y, x) for y, x in _slips(lb, ob)])
     shared = F.size(F.array_intersect("a.goods", "b.goods"))
     goods = F.when((F.size("a.goods") == 0) | (F.size("b.goods") == 0), 0.0).when(shared == 0, -4.5).when(shared == F.least(F.size("a.goods"), F.size("b.goods")), 1.5).otherwise(-1.0)
     region = F.when(F.col("a.country") == F.col("b.country"), 0.5).when(F.col("a.country") != F.col("b.country"), -2.0).otherwise(0.0)
@@ -222,16 +242,43 @@ def _prior(named: bool) -> Column:
         place = F.when(plain.isNull(), 0.0).when(plain <= 1.0, 2.5).when(plain <= 2.5, 1.0).when(plain <= 6, -1.5).when(slips <= 3, 0.5).when(plain <= 30, -4.0).otherwise(-5.0)
         feature = F.when((F.col("a.feature") == "") | (F.col("b.feature") == ""), 0.0).when(F.col("a.feature") == F.col("b.feature"), 1.0).otherwise(-4.0)
         spelling = F.when(F.col("a.core") == F.col("b.core"), 3.0).otherwise(2.0)
-        return spelling + place + feature + goods + region + state
+        toll = F.log(F.greatest(F.lit(1.0), F.col("a.n") / USUAL_BEARERS))
+        return spelling - F.when(plain.isNull(), toll).otherwise(F.least(toll, F.lit(4.5))) + place + feature + goods + region + state
     return F.lit(-1.0) + 3.0 * F.exp(-plain / 0.05) + goods + region + state
 
 
-def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_degrees: float = 0.001, stock_parts: int = 5) -> DataFrame:
+def _hot_pairs(hot: DataFrame, reach: float = 6.0, salts: int = 32) -> DataFrame:
+    """Joined pairs (a, b) of records of one over-shared name: those within ``reach`` km as written or after a slip, by position
+    cell; and those of which one has no coordinates, the name's other records shared out to ``salts`` groups.
+
+    Any other pair of such a name has a prior of at most -1.4 (over 400 bearers, all other evidence for it), so nothing likely is left out.
+    """
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.qual") == F.col("b.qual")) & (F.col("a.src") < F.col("b.src"))
+    located = hot.where("lat IS NOT NULL")
+    points = F.array(*[F.struct(y.alias("y"), x.alias("x")) for y, x in [(F.col("lat"), F.col("lon")), *_slips(F.col("lat"), F.col("lon"))]])
+    here = located.withColumn("c", cells(F.col("lat"), F.col("lon"), 4 * reach)[0])
+    there = located.withColumn("v", F.explode(points)).withColumn("c", F.explode(cells(F.col("v.y"), F.col("v.x"), 4 * reach, reach)))
+    near = here.alias("a").join(there.alias("b").hint("merge"), same & (F.col("a.c") == F.col("b.c"))).where(_km(F.col("a.lat"), F.col("a.lon"), F.col("b.v.y"), F.col("b.v.x")) <= reach)
+    shared = lambda df: df.withColumn("salt", F.pmod(F.xxhash64("rec_id"), F.lit(salts)).cast("int"))
+    void = hot.where("lat IS NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    out = _weighed(near)
+    for a, b in ((void, shared(hot)), (shared(located), void)):
+        out = out.unionByName(_weighed(a.alias("a").join(b.alias("b").hint("merge"), same & (F.col("a.salt") == F.col("b.salt")))))
+    return out
+
+
+def _weighed(joined: DataFrame) -> DataFrame:
+    """Joined named records a and b as candidate pairs with their prior."""
+    return joined.select(*[F.col(f"{s}.{c}").alias(f"{n}_{s}") for c, n in (("rec_id", "rec"), ("src", "src"), ("sig", "sig")) for s in ("a", "b")], _prior(True).alias("w"))
+
+
+def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_degrees: float = 0.001, wide_parts: int = 5) -> DataFrame:
     """``(rec_a, rec_b, src_a, src_b, sig_a, sig_b, w)``: candidate pairs of different sources with their prior log-odds.
 
-    Named records meet on (canonical core, qualifier). A core found in ``stock_parts`` or more parts of the world is a stock phrase,
-    and a pair of core and qualifier that more than ``hot`` records share says nothing about a place: such records, like those
-    without a name, meet others by position only.
+    Named records meet on (canonical core, qualifier); where more than ``hot`` records share these, by position under the usual
+    entry errors, and records without coordinates with all of them. A name found in ``wide_parts`` or more parts of the world, or
+    shared so often, stands for several places, which compete: the part, or the spot, belongs to the signature. Only listed stock
+    phrases say nothing; such records, like those without a name and those of an over-shared one, meet others at one spot.
     """
     flat = parsed.select("*", F.explode("names").alias("x")).select("rec_id", "src", "lat", "lon", "goods", "country", "state", "x.core", "x.qual", "x.feature", "x.alias")
     flat = flat.where(~F.col("core").isin(*STOCK) & (F.length("core") >= 3))
@@ -240,20 +287,22 @@ def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_degrees: float = 0.0
     lone = checkpointed(lone_cores(cores, known)).select(F.col("core").alias("key"), F.col("canonical").alias("other"))
     flat = flat.join(broadcast_if_small(known, 100_000), "core", "left").withColumn("key", F.coalesce("canonical", "core")).drop("canonical")
     flat = flat.join(broadcast_if_small(lone, 100_000), "key", "left").withColumn("key", F.coalesce("other", "key")).drop("other")
-    # a name borne in many parts of the world is a stock phrase; absolute values in order make a swap or a lost sign no new part
-    part = F.struct(F.round(F.least(F.abs("lat"), F.abs("lon"))).alias("p"), F.round(F.greatest(F.abs("lat"), F.abs("lon"))).alias("q"))
-    spread = flat.groupBy("key").agg(F.approx_count_distinct(F.when(F.col("lat").isNotNull(), part)).alias("parts"), F.count(F.lit(1)).alias("n"))
-    stock = broadcast_if_small(checkpointed(spread.where(F.col("parts") >= stock_parts).select("key")), 100_000)
-    flat = flat.join(stock, "key", "left_anti")
-    busy = flat.groupBy("key", "qual").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key", "qual")
-    busy = broadcast_if_small(checkpointed(busy), 100_000)
-    names = checkpointed(flat.join(busy, ["key", "qual"], "left_anti"))
+    # absolute values in order make a swap or a lost sign no new part of the world
+    low, high = F.least(F.abs("lat"), F.abs("lon")), F.greatest(F.abs("lat"), F.abs("lon"))
+    part = F.struct(F.round(low).alias("p"), F.round(high).alias("q"))
+    borne = flat.groupBy("key", "qual").agg(F.approx_count_distinct(F.when(F.col("lat").isNotNull(), part)).alias("parts"), F.count(F.lit(1)).alias("n"))
+    common = broadcast_if_small(checkpointed(borne.where((F.col("parts") >= wide_parts) | (F.col("n") > min(hot, USUAL_BEARERS)))), 100_000)
+    flat = flat.join(common, ["key", "qual"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    digits = F.when(F.col("n") > hot, 2).when(F.col("parts") >= wide_parts, 0)
+    spot = F.when(digits == 2, F.concat_ws(" ", F.round(low, 2), F.round(high, 2))).when(digits == 0, F.concat_ws(" ", F.round(low), F.round(high)))
+    alone = F.when(digits.isNotNull() & F.col("lat").isNull(), F.concat(F.lit("#"), F.col("rec_id").cast("string")))
+    names = checkpointed(flat.withColumn("sig", F.concat_ws("|", "key", "qual", F.coalesce(alone, spot))).drop("parts"))
+    few, many = names.where(F.col("n") <= hot), names.where(F.col("n") > hot)
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.qual") == F.col("b.qual")) & (F.col("a.src") < F.col("b.src"))
-    sig = lambda s: F.concat_ws("|", f"{s}.key", f"{s}.qual")
     columns = [F.col("a.rec_id").alias("rec_a"), F.col("b.rec_id").alias("rec_b"), F.col("a.src").alias("src_a"), F.col("b.src").alias("src_b")]
-    by_name = names.alias("a").join(names.alias("b").hint("merge"), on).select(*columns, sig("a").alias("sig_a"), sig("b").alias("sig_b"), _prior(True).alias("w"))
+    by_name = _weighed(few.alias("a").join(few.alias("b").hint("merge"), on)).unionByName(_hot_pairs(many))
 
-    named = names.select("rec_id").distinct()
+    named = few.select("rec_id").distinct()
     blank = parsed.join(named.hint("merge"), "rec_id", "left_anti").where("lat IS NOT NULL")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     # a coordinate rounded to two decimals or fewer says nothing at this scale

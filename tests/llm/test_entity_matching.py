@@ -65,3 +65,19 @@ def test_a_name_that_a_third_of_all_records_bear(spark):
     rows = [(i, ("sedau", "usmin", "site")[i % 3], "Common Stock" if i % 3 else "Common Stock Mine", None, None, 10 + i * 0.01, 20.0 + 0.00013, None) for i in range(600)]
     df = spark.createDataFrame([(*r, "c") for r in rows], S)
     assert match_entities(df).where(F.col("confidence") >= 0.5).count() == 0
+
+
+def test_an_over_shared_name_still_tells_under_entry_errors(spark):
+    """210 places of one name, each in two indexes: coordinates rounded, swapped, sign-flipped, 800 m off, 20 m off, or missing."""
+    slip = [lambda y, x: (round(y, 2), round(x, 2)), lambda y, x: (x, y), lambda y, x: (-y, x), lambda y, x: (y + 0.0072, x), lambda y, x: (y + 0.0002, x)]
+    rows = []
+    for i in range(210):
+        y, x = 10.01234 + i % 20 * 0.5, 30.04321 + i // 20 * 0.5
+        rows += [(i, "sedau", "Harrowdel Hill", None, None, y, x, "zinc"), (1000 + i, "usmin", "Harrowdel Hill Mine", None, None, *slip[i % 5](y, x), "Zn")]
+    rows += [(500, "sedau", "Harrowdel Hill", None, None, None, None, "tin"), (1500, "usmin", "Harrowdel Hill", None, None, -40.01234, 100.04321, "Sn")]
+    assert pairs(spark, rows) == {(i, 1000 + i) for i in range(210)} | {(500, 1500)}
+
+
+def test_a_name_borne_in_many_areas_is_a_name(spark):
+    rows = [r for i in range(6) for r in ((i, "sedau", "Talmerin", None, None, 5.0 + 7 * i, 20.0 + 9 * i, "zinc"), (10 + i, "usmin", "Talmerin", None, None, 5.004 + 7 * i, 20.0 + 9 * i, "Zn"))]
+    assert pairs(spark, rows) == {(i, 10 + i) for i in range(6)}
