@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import BooleanType, IntegerType
 
 from lodestrata.llm.canonical_mapping import SYMBOLS, edit_distance
 from lodestrata.session import broadcast_if_small, checkpointed
@@ -226,7 +226,7 @@ def _slips(lat: Column, lon: Column) -> list[tuple[Column, Column]]:
     return [(-lat, lon), (lat, -lon), (-lat, -lon), (lon, lat), (-lon, lat), (lon, -lat)]
 
 
-def _prior(named: bool) -> Column:
+def _prior(named: bool, spelling: Column | None = None) -> Column:
     """Log-odds of a candidate pair (records a and b) from its partial evidence; unknown evidence adds nothing.
 
     A name says the less the more records bear it (``a.n``); beside a position it never counts for less than a look at the spot.
@@ -241,7 +241,7 @@ def _prior(named: bool) -> Column:
     if named:
         place = F.when(plain.isNull(), 0.0).when(plain <= 1.0, 2.5).when(plain <= 2.5, 1.0).when(plain <= 6, -1.5).when(slips <= 3, 0.5).when(plain <= 30, -4.0).otherwise(-5.0)
         feature = F.when((F.col("a.feature") == "") | (F.col("b.feature") == ""), 0.0).when(F.col("a.feature") == F.col("b.feature"), 1.0).otherwise(-4.0)
-        spelling = F.when(F.col("a.core") == F.col("b.core"), 3.0).otherwise(2.0)
+        spelling = spelling if spelling is not None else F.when(F.col("a.core") == F.col("b.core"), 3.0).otherwise(2.0)
         toll = F.log(F.greatest(F.lit(1.0), F.col("a.n") / USUAL_BEARERS))
         return spelling - F.when(plain.isNull(), toll).otherwise(F.least(toll, F.lit(4.5))) + place + feature + goods + region + state
     return F.lit(-1.0) + 3.0 * F.exp(-plain / 0.05) + goods + region + state
@@ -267,16 +267,41 @@ def _hot_pairs(hot: DataFrame, reach: float = 6.0, salts: int = 32) -> DataFrame
     return out
 
 
-def _weighed(joined: DataFrame) -> DataFrame:
+@F.pandas_udf(IntegerType())
+def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(x, y) for x, y in zip(a, b)])
+
+
+def _misspelt_pairs(names: DataFrame, reach: float = 6.0) -> DataFrame:
+    """Candidate pairs of records within ``reach`` km whose names differ in key and agree in qualifier, the cores at most two edits
+    apart, of whatever length and however often met. They meet in position cells on few columns; what is left gets its evidence back."""
+    slim = names.where("lat IS NOT NULL").select("rec_id", "src", "key", "core", "qual", "lat", "lon")
+    here = slim.withColumn("c", cells(F.col("lat"), F.col("lon"), 4 * reach)[0])
+    there = slim.withColumn("c", F.explode(cells(F.col("lat"), F.col("lon"), 4 * reach, reach)))
+    on = (F.col("a.c") == F.col("b.c")) & (F.col("a.qual") == F.col("b.qual")) & (F.col("a.src") < F.col("b.src")) & (F.col("a.key") != F.col("b.key"))
+    met = here.alias("a").join(there.alias("b").hint("merge"), on).where(F.abs(F.length("a.core") - F.length("b.core")) <= 2)
+    met = met.where(_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= reach)
+    met = met.where(F.levenshtein("a.core", "b.core", 4) >= 0)  # two swaps of neighbours count four there
+    ids = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in ("rec_id", "core", "qual")]
+    close = checkpointed(met.select(*ids).distinct().withColumn("edits", edits("core_a", "core_b")).where("edits <= 2"))
+    for s in ("a", "b"):
+        side = names.select(F.struct(*names.columns).alias(s))
+        close = close.join(side.hint("merge"), (F.col(f"rec_id_{s}") == F.col(f"{s}.rec_id")) & (F.col(f"core_{s}") == F.col(f"{s}.core")) & (F.col(f"qual_{s}") == F.col(f"{s}.qual")))
+    # an edit in a short core says less of a slip and more of another name
+    spelling = 2.0 - 6.0 * F.greatest(F.lit(0.0), F.col("edits") / F.least(F.length("core_a"), F.length("core_b")) - 1 / 6)
+    return _weighed(close, spelling)
+
+
+def _weighed(joined: DataFrame, spelling: Column | None = None) -> DataFrame:
     """Joined named records a and b as candidate pairs with their prior."""
-    return joined.select(*[F.col(f"{s}.{c}").alias(f"{n}_{s}") for c, n in (("rec_id", "rec"), ("src", "src"), ("sig", "sig")) for s in ("a", "b")], _prior(True).alias("w"))
+    return joined.select(*[F.col(f"{s}.{c}").alias(f"{n}_{s}") for c, n in (("rec_id", "rec"), ("src", "src"), ("sig", "sig")) for s in ("a", "b")], _prior(True, spelling).alias("w"))
 
 
 def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_degrees: float = 0.001, wide_parts: int = 5) -> DataFrame:
     """``(rec_a, rec_b, src_a, src_b, sig_a, sig_b, w)``: candidate pairs of different sources with their prior log-odds.
 
     Named records meet on (canonical core, qualifier); where more than ``hot`` records share these, by position under the usual
-    entry errors, and records without coordinates with all of them. A name found in ``wide_parts`` or more parts of the world, or
+    entry errors, and records without coordinates with all of them. Records near each other also meet on cores up to two edits apart. A name found in ``wide_parts`` or more parts of the world, or
     shared so often, stands for several places, which compete: the part, or the spot, belongs to the signature. Only listed stock
     phrases say nothing; such records, like those without a name and those of an over-shared one, meet others at one spot.
     """
@@ -300,7 +325,7 @@ def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_degrees: float = 0.0
     few, many = names.where(F.col("n") <= hot), names.where(F.col("n") > hot)
     on = (F.col("a.key") == F.col("b.key")) & (F.col("a.qual") == F.col("b.qual")) & (F.col("a.src") < F.col("b.src"))
     columns = [F.col("a.rec_id").alias("rec_a"), F.col("b.rec_id").alias("rec_b"), F.col("a.src").alias("src_a"), F.col("b.src").alias("src_b")]
-    by_name = _weighed(few.alias("a").join(few.alias("b").hint("merge"), on)).unionByName(_hot_pairs(many))
+    by_name = _weighed(few.alias("a").join(few.alias("b").hint("merge"), on)).unionByName(_hot_pairs(many)).unionByName(_misspelt_pairs(names))
 
     named = few.select("rec_id").distinct()
     blank = parsed.join(named.hint("merge"), "rec_id", "left_anti").where("lat IS NOT NULL")

@@ -81,3 +81,15 @@ def test_an_over_shared_name_still_tells_under_entry_errors(spark):
 def test_a_name_borne_in_many_areas_is_a_name(spark):
     rows = [r for i in range(6) for r in ((i, "sedau", "Talmerin", None, None, 5.0 + 7 * i, 20.0 + 9 * i, "zinc"), (10 + i, "usmin", "Talmerin", None, None, 5.004 + 7 * i, 20.0 + 9 * i, "Zn"))]
     assert pairs(spark, rows) == {(i, 10 + i) for i in range(6)}
+
+
+def test_misspelt_names_meet_where_they_lie(spark):
+    """One edit in a short core, two edits from an attested core, two edits of seven letters, across a degree line and the date line."""
+    names = [("Velka", "Velka Mine", "Velca"), ("Torambel", "Torambel", "Toranbal"), ("Kisarun", "", "Kasaron"), ("Dovrin", "", "Dorvni")]
+    at = [(10.0, 20.0), (-30.00001, 45.0), (60.0, 100.99999), (5.0, 179.9999)]
+    rows = []
+    for i, ((a, more, b), (y, x)) in enumerate(zip(names, at)):
+        rows += [(i, "sedau", a, None, None, y, x, "zinc"), (10 + i, "usmin", b, None, None, y + 0.0021, x + 0.0002 if i < 3 else -179.9999, "Zn")]
+        rows += [(20 + i, "site", more, None, None, y, x + 0.001, "zinc")] if more else []
+    rows += [(40, "sedau", "Velka", None, None, 40.0, 20.0, "zinc"), (41, "usmin", "Tarko", None, None, 40.0, 20.001, "Zn"), (42, "usmin", "Velca North", None, None, 40.0, 20.001, "Zn")]
+    assert pairs(spark, rows) == {(i, 10 + i) for i in range(4)} | {(0, 20), (10, 20), (1, 21), (11, 21)}
