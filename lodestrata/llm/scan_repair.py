@@ -293,20 +293,28 @@ def recase(token: str, fixed: str, opens: bool) -> str:
     return fixed
 
 
-def read_text(text: str, model: LineModel) -> list[tuple[int, str, list[tuple[str, bool]], list[tuple[str, str]]]]:
-    """Per line (number from 1, state, words with 'opens a sentence', words split here as (first half, second half))."""
+def walk(text: str, model: LineModel) -> tuple[list[str], list[tuple[int, int, str, str | None, bool]]]:
+    """The state of each line, and the running text: (line from 0, paragraph from 1, token, second half if the layout split it, opens a sentence).
+
+    A paragraph goes on over furniture, but where blank lines stand there too and a sentence has ended, and over blank lines within a
+    sentence whose next word is lower-case; a word split in two holds it together anyway.
+    """
     lines = text.split("\n")
     states = [STATES[s] for s in model.label(lines)]
-    out = [(i + 1, s, [], []) for i, s in enumerate(states)]
+    found: list[tuple[int, int, str, str | None, bool]] = []
     body = [i for i, s in enumerate(states) if s == "body"]
-    carried, opens = None, True  # second half of a word split at the end of the line before
+    carried, opens, paragraph = None, True, 1  # carried: second half of a word split at the end of the line before
     for k, i in enumerate(body):
         tokens = lines[i].split()
+        gap = set(states[body[k - 1] + 1 : i]) if k else set()
         if carried is not None:
             tokens = tokens[1:]
             carried = None
-        elif k == 0 or body[k - 1] + 1 < i and any(states[j] in ("break", "title", "cell") for j in range(body[k - 1] + 1, i)) and not any(states[j] == "furniture" for j in range(body[k - 1] + 1, i)):
-            opens = True
+        else:
+            if gap & {"title", "cell"} or "break" in gap and (opens or "furniture" not in gap and not tokens[0].lstrip(_STRIP)[:1].islower()):
+                paragraph += 1
+            if k == 0 or gap & {"break", "title", "cell"} and "furniture" not in gap:
+                opens = True
         follows = lines[body[k + 1]].split() if k + 1 < len(body) else []
         j = 0
         while j < len(tokens):
@@ -316,30 +324,59 @@ def read_text(text: str, model: LineModel) -> list[tuple[int, str, list[tuple[st
             if len(t) > 1 and (t[-1] in _MARKS or t[-1] == "–" and at_end) and t[-2].isalpha() and right and right[0].isalpha() and not any(c.isdigit() for c in t):
                 first, second = t[:-1].lstrip(_STRIP), right.strip(_STRIP)
                 if second.lower() not in ("and", "or", "to") and first:
-                    out[i][3].append((first + t[-1], second))
+                    found.append((i, paragraph, t, right, opens))
                     opens = right.rstrip(")\"'")[-1:] in (".", "!", "?")
                     if at_end:
                         carried = second
                     j += 1 if at_end else 2
                     continue
-            w = t.strip(_STRIP)
-            if w:
-                out[i][2].append((w, opens))
+            found.append((i, paragraph, t, None, opens))
             opens = t.rstrip(")\"'")[-1:] in (".", "!", "?")
             j += 1
+    return states, found
+
+
+def halves_of(token: str, right: str) -> tuple[str, str]:
+    """Both halves of a split word without the punctuation around it, the first with its mark."""
+    return token[:-1].lstrip(_STRIP) + token[-1], right.strip(_STRIP)
+
+
+def read_text(text: str, model: LineModel) -> list[tuple[int, str, list[tuple[str, bool]], list[tuple[str, str]]]]:
+    """Per line (number from 1, state, words with 'opens a sentence', words split here as (first half, second half))."""
+    states, found = walk(text, model)
+    out = [(i + 1, s, [], []) for i, s in enumerate(states)]
+    for i, _, t, right, opens in found:
+        if right is not None:
+            out[i][3].append(halves_of(t, right))
+        elif w := t.strip(_STRIP):
+            out[i][2].append((w, opens))
     return out
 
 
+def mended(text: str, model: LineModel, fixes: dict[tuple[str, bool], str], joins: dict[tuple[str, str], str]) -> list[str]:
+    """The paragraphs of a text, ``fixes`` of (word, opens) and ``joins`` of (first, second half) put in their places."""
+    out: dict[int, list[str]] = {}
+    for _, paragraph, t, right, opens in walk(text, model)[1]:
+        if right is not None:
+            both = halves_of(t, right)
+            t = t[: len(t) - len(t.lstrip(_STRIP))] + joins.get(both, "".join(both)) + right[len(right.rstrip(_STRIP)) :]
+        elif (w := t.strip(_STRIP)) and (fixed := fixes.get((w, opens))):
+            t = t.replace(w, fixed, 1)
+        out.setdefault(paragraph, []).append(t)
+    return [" ".join(p) for p in out.values()]
+
+
 def paper_texts(papers: DataFrame) -> DataFrame:
-    """``(content_id, field, pos, text)`` of every text of every paper; null texts and null paragraphs are left out."""
+    """``(content_id, field, pos, text, h)`` of every text of every paper, h a key of all four; null texts and null paragraphs are left out."""
     one = lambda f: papers.select("content_id", F.lit(f).alias("field"), F.lit(0).alias("pos"), F.col(f).alias("text"))
     paragraphs = papers.select("content_id", F.posexplode("relevant_paragraphs").alias("p", "x")).select(
         "content_id", F.lit("paragraph").alias("field"), (F.col("p") + 1).cast("int").alias("pos"), F.col("x.paragraph").alias("text")
     )
-    return one("full_text").unionByName(one("marker_markdown")).unionByName(paragraphs).where("text IS NOT NULL AND text != ''")
+    texts = one("full_text").unionByName(one("marker_markdown")).unionByName(paragraphs).where("text IS NOT NULL AND text != ''")
+    return texts.withColumn("h", F.sha2(F.to_json(F.struct("content_id", "field", "pos", "text")), 256))
 
 
-_LINES = "content_id bigint, field string, pos int, line_no int, state string, words array<struct<w:string,opens:boolean>>, splits array<struct<first:string,second:string>>"
+_LINES = "h string, content_id bigint, field string, pos int, line_no int, state string, words array<struct<w:string,opens:boolean>>, splits array<struct<first:string,second:string>>"
 
 
 def read_lines(texts: DataFrame) -> DataFrame:
@@ -350,17 +387,17 @@ def read_lines(texts: DataFrame) -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 64):
                 rows = b.slice(s, 64).to_pylist()
-                out = {k: [] for k in ("content_id", "field", "pos", "line_no", "state", "words", "splits")}
+                out = {k: [] for k in ("h", "content_id", "field", "pos", "line_no", "state", "words", "splits")}
                 for r in rows:
                     for n, state, words, splits in read_text(r["text"], model):
                         if state == "break":
                             continue
-                        for k, v in zip(out, (r["content_id"], r["field"], r["pos"], n, state, [{"w": w, "opens": o} for w, o in words], [{"first": a, "second": c} for a, c in splits])):
+                        for k, v in zip(out, (r["h"], r["content_id"], r["field"], r["pos"], n, state, [{"w": w, "opens": o} for w, o in words], [{"first": a, "second": c} for a, c in splits])):
                             out[k].append(v)
                 yield pa.RecordBatch.from_pydict(
                     out,
                     schema=pa.schema([
-                        ("content_id", pa.int64()), ("field", pa.string()), ("pos", pa.int32()), ("line_no", pa.int32()), ("state", pa.string()),
+                        ("h", pa.string()), ("content_id", pa.int64()), ("field", pa.string()), ("pos", pa.int32()), ("line_no", pa.int32()), ("state", pa.string()),
                         ("words", pa.list_(pa.struct([("w", pa.string()), ("opens", pa.bool_())]))),
                         ("splits", pa.list_(pa.struct([("first", pa.string()), ("second", pa.string())]))),
                     ]),
@@ -413,15 +450,12 @@ def corrections(counts: DataFrame, ratio: float = 20.0) -> DataFrame:
     return found.unionByName(usual)
 
 
-def repair_events(papers: DataFrame, max_broadcast_rows: int = 50_000) -> DataFrame:
-    """``(content_id, field, pos, line_no, kind, fixed)``: furniture lines, broken words and misread words or numbers of each text.
+_WHERE = ["content_id", "field", "pos", "line_no"]
 
-    Repeated papers and paragraphs count like any other; null and empty texts give nothing; texts are read whole. Word counts
-    cover all texts; the table of corrections is broadcast up to ``max_broadcast_rows`` rows and joined by shuffle beyond.
-    """
-    lines = checkpointed(read_lines(paper_texts(papers)))
-    where = ["content_id", "field", "pos", "line_no"]
-    furniture = lines.where("state = 'furniture'").select(*where, F.lit("furniture").alias("kind"), F.lit("").alias("fixed"))
+
+def word_repairs(lines: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Of labelled ``lines``: the words split there, ``broken`` where the mark is no part of the word, and the misread words with what is right."""
+    where = ["h", *_WHERE]
     words = lines.where("state = 'body'").select(*where, F.explode("words").alias("x")).select(*where, "x.w", "x.opens", F.lower("x.w").alias("word"))
     counts = checkpointed(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
@@ -440,9 +474,7 @@ def repair_events(papers: DataFrame, max_broadcast_rows: int = 50_000) -> DataFr
         (zero("n_joined") == 0) & (zero("n_first") > 30) & (zero("n_second") > 30) & (F.length("first") > 3) & (F.length("second") > 3)
     )
     soft = ~F.col("mark").isin("-", "–")
-    broken = halves.where((soft | ~compound) & ((F.col("mark") != "–") | (zero("n_joined") > 1))).select(
-        *where, F.lit("broken_word").alias("kind"), F.col("joined").alias("fixed")
-    )
+    halves = halves.withColumn("broken", (soft | ~compound) & ((F.col("mark") != "–") | (zero("n_joined") > 1)))
 
     @F.pandas_udf("string")
     def numbers(w):
@@ -456,5 +488,46 @@ def repair_events(papers: DataFrame, max_broadcast_rows: int = 50_000) -> DataFr
     numeric = odd.withColumn("fixed", numbers("w")).where("fixed IS NOT NULL")
     fixes = broadcast_if_small(checkpointed(corrections(counts)), max_broadcast_rows)
     spelt = words.join(fixes, "word").withColumn("fixed", cased("w", "fixed", "opens")).where(~F.col("w").rlike(r"^[0-9.,]*[0-9OoQlI|ZSB][0-9OoQlI|ZSB.,]*$") | ~F.col("w").rlike(r"[0-9]"))
-    misread = numeric.select(*where, F.lit("misread").alias("kind"), "fixed").unionByName(spelt.select(*where, F.lit("misread").alias("kind"), "fixed"))
-    return furniture.unionByName(broken).unionByName(misread).distinct()
+    columns = [*where, "w", "opens", "fixed"]
+    return halves, numeric.select(columns).unionByName(spelt.select(columns))
+
+
+def repair_events(papers: DataFrame, max_broadcast_rows: int = 50_000) -> DataFrame:
+    """``(content_id, field, pos, line_no, kind, fixed)``: furniture lines, broken words and misread words or numbers of each text.
+
+    Repeated papers and paragraphs count like any other; null and empty texts give nothing; texts are read whole. Word counts
+    cover all texts; the table of corrections is broadcast up to ``max_broadcast_rows`` rows and joined by shuffle beyond.
+    """
+    lines = checkpointed(read_lines(paper_texts(papers)))
+    furniture = lines.where("state = 'furniture'").select(*_WHERE, F.lit("furniture").alias("kind"), F.lit("").alias("fixed"))
+    halves, misread = word_repairs(lines, max_broadcast_rows)
+    broken = halves.where("broken").select(*_WHERE, F.lit("broken_word").alias("kind"), F.col("joined").alias("fixed"))
+    return furniture.unionByName(broken).unionByName(misread.select(*_WHERE, F.lit("misread").alias("kind"), "fixed")).distinct()
+
+
+def repaired_paragraphs(papers: DataFrame, max_broadcast_rows: int = 50_000) -> DataFrame:
+    """``(content_id, field, pos, paragraph_no, text)``: the running text of each text in continuous paragraphs, numbered from 1.
+
+    Furniture, titles, table cells and line breaks are left out; split words are whole (compounds keep their hyphen), misread ones
+    corrected, as ``repair_events`` has them. Equal texts in the same place of a paper are given once; texts without body lines give nothing.
+    """
+    texts = paper_texts(papers)
+    halves, misread = word_repairs(checkpointed(read_lines(texts)), max_broadcast_rows)
+    glued = F.when(F.col("broken"), F.col("joined")).otherwise(F.concat("first", "mark", "second"))
+    joins = halves.select("h", F.struct(F.concat("first", "mark").alias("first"), "second", glued.alias("glued")).alias("x")).groupBy("h").agg(F.collect_set("x").alias("joins"))
+    fixes = misread.select("h", F.struct("w", "opens", "fixed").alias("x")).groupBy("h").agg(F.collect_set("x").alias("fixes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = line_model()
+        for b in batches:
+            for s in range(0, b.num_rows, 64):
+                out: list[tuple] = []
+                for r in b.slice(s, 64).to_pylist():
+                    fixed = {(x["w"], x["opens"]): x["fixed"] for x in r["fixes"] or ()}
+                    whole = {(x["first"], x["second"]): x["glued"] for x in r["joins"] or ()}
+                    out += [(r["content_id"], r["field"], r["pos"], n, p) for n, p in enumerate(mended(r["text"], model, fixed, whole), 1)]
+                kinds = [("content_id", pa.int64()), ("field", pa.string()), ("pos", pa.int32()), ("paragraph_no", pa.int32()), ("text", pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, (_, kind) in enumerate(kinds)], schema=pa.schema(kinds))
+
+    known = texts.dropDuplicates(["h"]).join(fixes.hint("merge"), "h", "left").join(joins.hint("merge"), "h", "left")
+    return known.mapInArrow(run, "content_id bigint, field string, pos int, paragraph_no int, text string")

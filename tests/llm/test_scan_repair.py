@@ -1,6 +1,6 @@
 import pytest
 
-from lodestrata.llm.scan_repair import STATES, LineModel, corrections, features, labelled_pages, line_model, read_number, read_text, recase, repair_events, variants
+from lodestrata.llm.scan_repair import STATES, LineModel, corrections, features, labelled_pages, line_model, read_number, read_text, recase, repair_events, repaired_paragraphs, variants
 
 
 def test_held_out_lines():
@@ -58,3 +58,23 @@ def test_table_cells_are_no_page_numbers():
     x = features(text.split("\n"))
     states = [STATES[s] for s in line_model().label(text.split("\n"))]
     assert len(x) == len(states) and states[1:4] == ["cell"] * 3 and states[8] == "furniture"
+
+
+def test_paragraphs(spark):
+    """The running text comes out whole: over furniture, with words mended and corrected, paragraph by paragraph."""
+    body = "Grades decline along the fault and the chlorite is found in the vein.\nThe fine-grained sphalerite occurs with chlorite along the fault.\nAnalyses of the chlorite were made in the laboratory.\n"
+    rows = [(i, None, "f", 1, body, None, None, "clash") for i in range(24)]
+    bad = (
+        "RESULTS\n\nGrades decline a1ong the fault (and the cblorite) in 192B is found in anal-\nJ. Basin Metals 24 | 617\nDownloaded by guest on 3 March 2016\n\nyses of the fine-\n"
+        "grained sphalerite with chlor­\nite, along the fault of the hill.\n\nThe second part of the text is about the vein and\nthe fault of the hill.\n"
+    )
+    rows += [(None, None, "f", 1, bad, "", [(None, 0.1), ("Chlorite occurs with sphalerite a1ong the fault of the vein.", None)], "c")] * 2 + [(91, None, "f", 1, None, " \n", [], "c")]
+    df = repaired_paragraphs(spark.createDataFrame(rows, S))
+    got = sorted((r.field, r.pos, r.paragraph_no, r.text) for r in df.where("content_id IS NULL").collect())
+    assert df.columns == ["content_id", "field", "pos", "paragraph_no", "text"] and df.where("content_id = 91").count() == 0
+    assert got == [
+        ("full_text", 0, 1, "Grades decline along the fault (and the chlorite) in 1928 is found in analyses of the fine-grained sphalerite with chlorite, along the fault of the hill."),
+        ("full_text", 0, 2, "The second part of the text is about the vein and the fault of the hill."),
+        ("paragraph", 2, 1, "Chlorite occurs with sphalerite along the fault of the vein."),
+    ]
+    assert df.where("content_id = 1").first().text == body.strip().replace("\n", " ")
