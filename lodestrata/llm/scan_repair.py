@@ -261,7 +261,7 @@ _SYMBOL = re.compile(r"[0-9@$|!]")
 
 
 def variants(word: str) -> dict[str, int]:
-    """What a lower-cased word may stand for, with the number of places changed: every reading of its digits and symbols, then one letter (two for long words)."""
+    """What a lower-cased word may stand for, with the number of places changed: every reading of its digits and symbols, then one confusion of letters."""
     if len(word) > 40:
         return {}
     starts = {word: 0}
@@ -273,7 +273,7 @@ def variants(word: str) -> dict[str, int]:
             options = [(o + x, n + (x != c)) for o, n in options for x in (reads or [c])][:64]
         starts = {o: n for o, n in options if not _SYMBOL.search(o)}
     out = {w: n for w, n in starts.items() if w != word}
-    for w, n in list(starts.items())[:8]:
+    for w, n in list(starts.items()):
         for a, b in _CONFUSED:
             i = w.find(a)
             while i >= 0:
@@ -409,8 +409,9 @@ def read_lines(texts: DataFrame) -> DataFrame:
 def corrections(counts: DataFrame, ratio: float = 20.0) -> DataFrame:
     """``(word, fixed)`` for each counted word that is a misreading of a better attested one.
 
-    ``counts`` has (word, n), lower case. A word of letters must be ``ratio`` times rarer than the word it is taken for (more for
-    short ones); one with digits or symbols in it needs a known reading, or enough letters for the usual one.
+    ``counts`` has (word, n), lower case. A word of letters must be ``ratio`` times rarer than the word it is taken for, fifteen times
+    that under five letters; each letter over five halves it, down to 3, as chance neighbours get rarer. One with digits or symbols
+    needs a known reading, or enough letters for the usual one. Only ratios count, so a corpus and many copies of it are read alike.
     """
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -431,12 +432,8 @@ def corrections(counts: DataFrame, ratio: float = 20.0) -> DataFrame:
     known = counts.select(F.col("word").alias("variant"), F.col("n").alias("m"))
     symbol = F.col("word").rlike(r"[0-9@$|!]")
     length = F.length("word")
-    enough = (
-        F.when(symbol, F.when(length < 5, F.col("m") >= 20).otherwise(F.col("m") >= F.greatest(F.lit(2), F.col("n"))))
-        .when(length < 5, F.col("m") >= 15 * ratio * F.col("n"))
-        .when(F.col("m") < 10, F.lit(False))
-        .otherwise(F.col("m") >= ratio * F.col("n"))
-    )
+    rarer = F.when(length < 5, 15 * ratio).otherwise(F.greatest(F.lit(3.0), ratio * F.pow(F.lit(0.5), length - 5)))
+    enough = F.col("m") >= F.col("n") * F.when(symbol, F.when(length < 5, 5.0).otherwise(1.0)).otherwise(rarer)
     clean = ~F.col("variant").rlike(r"[0-9@$|!]")
     hits = spelt.join(known.hint("merge"), "variant").where(enough & clean)
     best = hits.groupBy("word").agg(F.max(F.struct((-F.col("changes")).alias("c"), F.col("m"), F.col("variant"))).alias("b"))
@@ -484,7 +481,7 @@ def word_repairs(lines: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame,
     def cased(w, fixed, opens):
         return type(w)([recase(*x) for x in zip(w, fixed, opens)])
 
-    odd = words.where(F.col("w").rlike(r"[0-9]") & F.col("w").rlike(r"[OoQlI|ZSB]") & (F.length("w") < 16))
+    odd = words.where(F.col("w").rlike(r"[0-9]") & F.col("w").rlike(r"[OoQlI|ZSB]"))
     numeric = odd.withColumn("fixed", numbers("w")).where("fixed IS NOT NULL")
     fixes = broadcast_if_small(checkpointed(corrections(counts)), max_broadcast_rows)
     spelt = words.join(fixes, "word").withColumn("fixed", cased("w", "fixed", "opens")).where(~F.col("w").rlike(r"^[0-9.,]*[0-9OoQlI|ZSB][0-9OoQlI|ZSB.,]*$") | ~F.col("w").rlike(r"[0-9]"))

@@ -78,3 +78,10 @@ def test_paragraphs(spark):
         ("paragraph", 2, 1, "Chlorite occurs with sphalerite along the fault of the vein."),
     ]
     assert df.where("content_id = 1").first().text == body.strip().replace("\n", " ")
+
+
+def test_corrections_follow_ratios_not_corpus_size(spark):
+    words = [("antimony", 16), ("anfimony", 1), ("klelrknevmia", 1), ("kleirknevmia", 9), ("goethite", 2), ("gocthite", 1), ("sph@lerite", 1), ("sphalerite", 1)]
+    for times in (1, 50):
+        c = spark.createDataFrame([(w, n * times) for w, n in words], "word string, n bigint")
+        assert {r.word: r.fixed for r in corrections(c).collect()} == {"anfimony": "antimony", "klelrknevmia": "kleirknevmia", "sph@lerite": "sphalerite"}
