@@ -297,7 +297,7 @@ def _weighed(joined: DataFrame, spelling: Column | None = None) -> DataFrame:
     return joined.select(*[F.col(f"{s}.{c}").alias(f"{n}_{s}") for c, n in (("rec_id", "rec"), ("src", "src"), ("sig", "sig")) for s in ("a", "b")], _prior(True, spelling).alias("w"))
 
 
-def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_degrees: float = 0.001, wide_parts: int = 5) -> DataFrame:
+def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_km: float = 0.1, wide_parts: int = 5) -> DataFrame:
     """``(rec_a, rec_b, src_a, src_b, sig_a, sig_b, w)``: candidate pairs of different sources with their prior log-odds.
 
     Named records meet on (canonical core, qualifier); where more than ``hot`` records share these, by position under the usual
@@ -329,13 +329,11 @@ def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_degrees: float = 0.0
 
     named = few.select("rec_id").distinct()
     blank = parsed.join(named.hint("merge"), "rec_id", "left_anti").where("lat IS NOT NULL")
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     # a coordinate rounded to two decimals or fewer says nothing at this scale
     fine = (F.abs(F.col("lat") * 100 - F.round(F.col("lat") * 100)) > 1e-6) | (F.abs(F.col("lon") * 100 - F.round(F.col("lon") * 100)) > 1e-6)
-    cell = lambda c: F.floor(F.col(c) / spot_degrees)
-    spots = blank.where(fine).withColumn("d", around).select("*", (cell("lat") + F.col("d.i")).alias("gy"), (cell("lon") + F.col("d.j")).alias("gx")).drop("d")
-    places = parsed.where(F.col("lat").isNotNull() & fine).select("*", cell("lat").alias("gy"), cell("lon").alias("gx"))
-    met = spots.alias("a").join(places.alias("b").hint("merge"), ["gy", "gx"]).where((F.col("a.src") != F.col("b.src")) & (_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= 0.1))
+    spots = blank.where(fine).withColumn("c", F.explode(cells(F.col("lat"), F.col("lon"), 4 * spot_km, spot_km)))
+    places = parsed.where(F.col("lat").isNotNull() & fine).withColumn("c", cells(F.col("lat"), F.col("lon"), 4 * spot_km)[0])
+    met = spots.alias("a").join(places.alias("b").hint("merge"), F.col("a.c") == F.col("b.c")).where((F.col("a.src") != F.col("b.src")) & (_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= spot_km))
     rec = lambda s: F.concat(F.lit("#"), F.col(f"{s}.rec_id").cast("string"))
     by_spot = met.select(*columns, rec("a").alias("sig_a"), rec("b").alias("sig_b"), _prior(False).alias("w"))
     flip = F.col("src_a") < F.col("src_b")

@@ -93,3 +93,9 @@ def test_misspelt_names_meet_where_they_lie(spark):
         rows += [(20 + i, "site", more, None, None, y, x + 0.001, "zinc")] if more else []
     rows += [(40, "sedau", "Velka", None, None, 40.0, 20.0, "zinc"), (41, "usmin", "Tarko", None, None, 40.0, 20.001, "Zn"), (42, "usmin", "Velca North", None, None, 40.0, 20.001, "Zn")]
     assert pairs(spark, rows) == {(i, 10 + i) for i in range(4)} | {(0, 20), (10, 20), (1, 21), (11, 21)}
+
+
+def test_spots_reach_as_far_at_any_latitude_and_over_the_date_line(spark):
+    rows = [(1, "sedau", "Unnamed", None, None, 80.00011, 20.00099, "tin"), (2, "usmin", None, None, None, 80.00013, 20.00311, "Sn")]
+    rows += [(3, "sedau", "Unnamed", None, None, 10.00011, 179.99993, "tin"), (4, "usmin", None, None, None, 10.00013, -179.99994, "Sn")]
+    assert pairs(spark, rows) == {(1, 2), (3, 4)}
