@@ -10,6 +10,7 @@ probability.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -347,12 +348,13 @@ def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_km: float = 0.1, wid
     return best.select("rec_a", "rec_b", "src_a", "src_b", "x.sig_a", "x.sig_b", "x.w")
 
 
-def propagate(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-3) -> DataFrame:
+def propagate(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-3, most: int = 200) -> DataFrame:
     """Marginal match probabilities by loopy belief propagation: ``pairs`` with ``confidence``.
 
     The factor of a record towards another source says that at most one place there is the same; entries of one place (equal
     signature) do not compete. Messages are log-odds; sums of incoming ones are aggregated by record and joined back. It stops
-    when no message moves by more than ``tolerance``, or after ``rounds``; each round's messages go to the checkpoint folder.
+    when no message would move by more than ``tolerance``; after ``rounds`` messages go only half their way, so that those that swing
+    settle, and if they have not after ``most`` rounds it fails. Each round's messages go to the checkpoint folder.
     """
     edges = checkpointed(pairs.withColumn("to_a", F.lit(0.0)).withColumn("to_b", F.lit(0.0)))
 
@@ -368,14 +370,17 @@ def propagate(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-3) -> Da
             .drop("_best", "_all")
         )
 
-    for _ in range(rounds):
+    moved, done = math.inf, 0
+    while moved > tolerance:
+        if done == most:
+            raise RuntimeError(f"the messages still move by {moved:.3g} after {most} rounds")
         step = outgoing(edges, "a", "b", "to_a", "_to_b")
         step = outgoing(step, "b", "a", "to_b", "_to_a")
         step = checkpointed(step.withColumn("_move", F.greatest(F.abs(F.col("_to_a") - F.col("to_a")), F.abs(F.col("_to_b") - F.col("to_b")))))
         moved = step.agg(F.max("_move")).first()[0] or 0.0
-        edges = step.drop("to_a", "to_b", "_move").withColumnRenamed("_to_a", "to_a").withColumnRenamed("_to_b", "to_b")
-        if moved <= tolerance:
-            break
+        share = 1.0 if done < rounds else 0.5
+        done += 1
+        edges = step.select(*pairs.columns, *[(F.col(c) + share * (F.col(f"_{c}") - F.col(c))).alias(c) for c in ("to_a", "to_b")])
     belief = F.col("w") + F.col("to_a") + F.col("to_b")
     return edges.withColumn("confidence", 1 / (1 + F.exp(-belief)))
 

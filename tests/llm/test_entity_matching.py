@@ -99,3 +99,14 @@ def test_spots_reach_as_far_at_any_latitude_and_over_the_date_line(spark):
     rows = [(1, "sedau", "Unnamed", None, None, 80.00011, 20.00099, "tin"), (2, "usmin", None, None, None, 80.00013, 20.00311, "Sn")]
     rows += [(3, "sedau", "Unnamed", None, None, 10.00011, 179.99993, "tin"), (4, "usmin", None, None, None, 10.00013, -179.99994, "Sn")]
     assert pairs(spark, rows) == {(1, 2), (3, 4)}
+
+
+def test_propagation_goes_on_until_it_settles(spark):
+    import math
+
+    e = spark.createDataFrame([(1, 11, "a", "b", "x", "p", 3.0), (1, 12, "a", "b", "x", "q", 1.0), (2, 12, "a", "b", "y", "q", 2.0)], "rec_a bigint, rec_b bigint, src_a string, src_b string, sig_a string, sig_b string, w double")
+    z = 1 + math.exp(3) + math.exp(1) + math.exp(2) + math.exp(5)
+    c = {(r.rec_a, r.rec_b): r.confidence for r in propagate(e, rounds=1).collect()}
+    assert c[1, 11] == pytest.approx((math.exp(3) + math.exp(5)) / z, abs=2e-3) and c[1, 12] == pytest.approx(math.exp(1) / z, abs=2e-3)
+    with pytest.raises(RuntimeError, match="still move"):
+        propagate(e, most=1)
