@@ -138,13 +138,14 @@ class LeakIndex:
         return [self.items[n][0] for n, _ in kept]
 
     def best_run(self, n: int, ids: np.ndarray, where: list[int]) -> tuple[int, int, int, int, int]:
-        """(item words spanned, words matched, skips, start and end in the text) of the longest run near the hits.
+        """(item words spanned, words matched, skips, start and end in the text) of the longest run near the hits, or, if that has
+        too many changed words, of the longest part of a run of at least ``passage`` words that has not.
 
         Alignment over matching words only: neighbours in a run are one word apart in both texts, or one of them or both skip
         one word; at most ``edits`` skips in any ``passage`` words of the item.
         """
         places, reach = self.places[n], self.passage * 2
-        most = (0, 0, 0, 0, 0)
+        most = part = (0, 0, 0, 0, 0)
         spans: list[list[int]] = []
         for w in sorted(where):
             a, b = max(0, w - reach), min(len(ids), w + reach + self.k)
@@ -155,6 +156,7 @@ class LeakIndex:
         for a, b in spans:
             # (text place, item place) -> words matched, -skips, start in the item, start in the text, places of the latest skips
             runs: dict[tuple[int, int], tuple[int, int, int, int, tuple[int, ...]]] = {}
+            back: dict[tuple[int, int], tuple[int, int]] = {}
             for i in range(a, b):
                 for j in places.get(int(ids[i]), ()) if ids[i] else ():
                     best = (1, 0, j, i, ())
@@ -168,10 +170,24 @@ class LeakIndex:
                             s -= 1
                             if len(late) > self.edits:
                                 continue
-                        best = max(best, (m + 1, s, sj, si, late))
+                        if (longer := (m + 1, s, sj, si, late)) > best:
+                            best, back[i, j] = longer, (i - di, j - dj)
                     runs[i, j] = best
                     most = max(most, (j - best[2] + 1, best[0], -best[1], best[3], i))
-        return most
+            for end, r in runs.items():
+                if end[1] - r[2] + 1 < self.passage or r[0] >= 0.8 * (end[1] - r[2] + 1) and part[0] >= end[1] - r[2] + 1:
+                    continue
+                at, matched, skips = end, 1, 0
+                while True:
+                    span = end[1] - at[1] + 1
+                    if span >= self.passage and matched >= 0.8 * span:
+                        part = max(part, (span, matched, skips, at[0], end[0]))
+                    if at not in back:
+                        break
+                    before = back[at]
+                    skips += (at[0] - before[0], at[1] - before[1]) != (1, 1)
+                    at, matched = before, matched + 1
+        return most if most[1] >= 0.8 * most[0] else part
 
 
 def find_leaks(

@@ -67,3 +67,13 @@ def test_prefix_filter_loses_nothing():
             text[k] = "changed"
         ids = np.array([index.vocabulary.get(x, 0) for x in text])
         assert n in index.found(ids)
+
+
+def test_a_part_of_a_run_with_changed_ends_counts():
+    """Six of 22 words are changed, too many for the whole run, but three of the first sixteen; every other word changed is still no case."""
+    import numpy as np
+
+    index = LeakIndex([(0, words_of(QUESTIONS[0]))], 15, 3, 3)
+    ids = lambda changed: np.array([0 if k in changed else index.vocabulary[w] for k, w in enumerate(words_of(QUESTIONS[0])[:22])])
+    assert index.found(ids({3, 16, 17, 18, 20})) == [0] and index.found(ids({2, 4, 16, 18, 20})) == [0]
+    assert index.found(ids(set(range(0, 22, 2)))) == []
