@@ -14,12 +14,14 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType
+from pyspark.sql.types import IntegerType
 
 from lodestrata.llm.canonical_mapping import SYMBOLS, edit_distance
 from lodestrata.session import broadcast_if_small, checkpointed
@@ -44,12 +46,13 @@ _WORDS |= {s: ("D", s) for s in SITE_WORDS}
 _LONG = [w for w in _WORDS if len(w) >= 5]
 
 
+@lru_cache(maxsize=200_000)
 def _kind(word: str) -> tuple[str, str] | None:
     if word in _WORDS:
         return _WORDS[word]
     if len(word) >= 5:
         for w in _LONG:
-            if abs(len(w) - len(word)) <= 1 and w[0] + w[1] + w[-1] != "" and (w[:2] == word[:2] or w[-2:] == word[-2:]) and edit_distance(word, w) == 1:
+            if abs(len(w) - len(word)) <= 1 and (w[:2] == word[:2] or w[-2:] == word[-2:]) and edit_distance(word, w) == 1:
                 return _WORDS[w]
     return None
 
@@ -117,7 +120,15 @@ def commodity_symbols(text: str | None) -> list[str]:
     return sorted({s for w in re.findall(r"[A-Za-z]+", text or "") if (s := _SYMBOL_OF.get(w.lower()))})
 
 
-_PARSED = "rec_id bigint, src string, lat double, lon double, goods array<string>, country string, state string, names array<struct<core:string,qual:string,feature:string,alias:boolean>>"
+def letter_set(core: str) -> int:
+    """The letters of a core as the bits of a number: an edit changes at most two of them."""
+    n = 0
+    for c in set(core):
+        n |= 1 << (ord(c) - 97 & 63)
+    return n
+
+
+_PARSED = "rec_id bigint, src string, lat double, lon double, goods array<string>, country string, state string, names array<struct<core:string,qual:string,feature:string,alias:boolean,letters:bigint>>"
 
 
 def parse_records(records: DataFrame) -> DataFrame:
@@ -133,7 +144,7 @@ def parse_records(records: DataFrame) -> DataFrame:
                     if key not in kinds:
                         if len(kinds) > 100_000:
                             kinds.clear()
-                        kinds[key] = [dict(zip(("core", "qual", "feature"), read_name(n)), alias=i > 0) for i, n in enumerate(written_names(key))]
+                        kinds[key] = [dict(zip(("core", "qual", "feature"), x := read_name(n)), alias=i > 0, letters=letter_set(x[0])) for i, n in enumerate(written_names(key))]
                     lat, lon = r["lat"], r["lon"]
                     if lat is None or lon is None or abs(lat) > 180 or abs(lon) > 180 or (lat == 0 and lon == 0) or lat != lat or lon != lon:
                         lat = lon = None
@@ -147,39 +158,104 @@ def parse_records(records: DataFrame) -> DataFrame:
                     out,
                     schema=pa.schema([
                         ("rec_id", pa.int64()), ("src", pa.string()), ("lat", pa.float64()), ("lon", pa.float64()), ("goods", pa.list_(pa.string())), ("country", pa.string()), ("state", pa.string()),
-                        ("names", pa.list_(pa.struct([("core", pa.string()), ("qual", pa.string()), ("feature", pa.string()), ("alias", pa.bool_())]))),
+                        ("names", pa.list_(pa.struct([("core", pa.string()), ("qual", pa.string()), ("feature", pa.string()), ("alias", pa.bool_()), ("letters", pa.int64())]))),
                     ]),
                 )
 
     return records.mapInArrow(run, _PARSED)
 
 
-@F.pandas_udf(BooleanType())
-def one_edit(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x, y) <= 1 for x, y in zip(a, b)])
+@F.pandas_udf(IntegerType())
+def edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edit_distance(x, y) for x, y in zip(a, b)])
+
+
+_BASE = 0x9E3779B97F4A7C15
+_UNBASE = pow(_BASE, -1, 1 << 64)
+#: Cores up to this length get the keys of all their deletions; longer ones three blocks, and those at the seam both.
+_SHORT, _SEAM, _BLOCK = 42, 39, 12
+
+
+def edit_keys(words: list[str], deletions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, key): words at most ``deletions`` (1 or 2) edits apart, a swap of neighbours being one, share a key.
 
+    A key is a polynomial hash of the word without up to so many of its letters, from running sums. Edits so few spare one of
+    three blocks far apart in a long word: its first letters, its last, or some about the middle, shifted a little.
+    """
+    places, keys = [], []
+    by_length: dict[int, list[int]] = {}
+    for i, w in enumerate(words):
+        by_length.setdefault(len(w), []).append(i)
+    for n, members in by_length.items():
+        power = np.cumprod(np.array([1] + [_BASE] * n, np.uint64), dtype=np.uint64)
+        back, back2 = np.uint64(_UNBASE), np.uint64(_UNBASE * _UNBASE % (1 << 64))
+        i, j = np.triu_indices(n, 1)
+        step = max(1, 2_000_000 // max(1, n * n if n <= _SHORT else n))
+        for s in range(0, len(members), step):
+            at = np.array(members[s : s + step])
+            letters = np.frombuffer("".join(words[k] for k in at).encode("utf-32-le"), np.uint32).reshape(len(at), n).astype(np.uint64)
+            sums = np.concatenate([np.zeros((len(at), 1), np.uint64), np.cumsum(letters * power[:n], axis=1, dtype=np.uint64)], axis=1)
+            made = []
+            if n <= _SHORT:
+                k = np.arange(n)
+                made += [sums[:, -1:], sums[:, k] + (sums[:, -1:] - sums[:, k + 1]) * back]
+                if deletions == 2:
+                    made.append(sums[:, i] + (sums[:, j] - sums[:, i + 1]) * back + (sums[:, -1:] - sums[:, j + 1]) * back2)
+            if n >= _SEAM:
+                middle = n // 2 - _BLOCK // 2
+                for first, kind in ((0, 1), (n - _BLOCK, 2), *((middle + d, 3) for d in range(-3, 4))):
+                    made.append((letters[:, first : first + _BLOCK] * power[1 : _BLOCK + 1]).sum(axis=1, dtype=np.uint64)[:, None] + np.uint64(kind))
+            all_keys = np.sort(np.concatenate(made, axis=1), axis=1)
+            fresh = np.concatenate([np.ones((len(at), 1), bool), all_keys[:, 1:] != all_keys[:, :-1]], axis=1)
+            places.append(np.repeat(at, fresh.sum(axis=1)))
+            keys.append(all_keys[fresh].view(np.int64))
+    if not places:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return np.concatenate(places), np.concatenate(keys)
+
+
+def close_cores(cores: DataFrame, most: int) -> DataFrame:
+    """``(core_a, n_a, core_b, n_b)``: pairs of ``cores(core, n)`` at most ``most`` (1 or 2) edits apart, each once, core_a < core_b.
+
+    They meet on keys of 8 bytes; letters, lengths and a threshold distance screen them before the exact one, so that pairs that
+    only share a key are gone before the names come back by their hash (of two cores with one hash both are tried).
+    """
 
-@F.pandas_udf(BooleanType())
-def two_edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x, y) <= 2 for x, y in zip(a, b)])
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for s in range(0, b.num_rows, 4000):
+                some = b.slice(s, 4000)
+                words = some.column("core").to_pylist()
+                letters = pa.array([letter_set(w) for w in words], pa.int64())
+                at, keys = edit_keys(words, most)
+                for lo in range(0, len(at), 400_000):
+                    at_ = pa.array(at[lo : lo + 400_000])
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("id").take(at_), letters.take(at_), some.column("size").take(at_), pa.array(keys[lo : lo + 400_000])], names=["id", "letters", "size", "k"]
+                    )
+
+    named = cores.select(F.xxhash64("core").alias("id"), "core", "n", F.length("core").alias("size"))
+    keyed = named.select("id", "core", "size").mapInArrow(spread, "id bigint, letters bigint, size int, k bigint")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    alike = (F.col("a.k") == F.col("b.k")) & (F.col("a.id") < F.col("b.id")) & (F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 2 * most) & (F.abs(F.col("a.size") - F.col("b.size")) <= most)
+    met = a.join(b.hint("merge"), alike).select(F.col("a.id").alias("ia"), F.col("b.id").alias("ib")).distinct()
+    one = lambda s: named.select(F.col("id").alias(f"i{s}"), F.col("core").alias(f"core_{s}"), F.col("n").alias(f"n_{s}"))
+    met = met.join(one("a").hint("merge"), "ia").join(one("b").hint("merge"), "ib")
+    met = met.where(F.levenshtein("core_a", "core_b", 2 * most) >= 0)  # a swap counts two there
+    return met.withColumn("edits", edits("core_a", "core_b")).where(F.col("edits") <= most).select("core_a", "n_a", "core_b", "n_b")
 
 
 def core_dictionary(cores: DataFrame, least: int = 6, hops: int = 2) -> DataFrame:
-    """``(core, canonical)`` for each core one edit from a better attested one; ``cores`` has (core, n).
+    """``(core, canonical)`` for each core of ``least`` letters or more one edit from a better attested one; ``cores`` has (core, n).
 
-    Two cores one edit apart share themselves or one of their one-letter deletions, so an equi-join on those finds all.
+    Of several the best attested counts, and chains are followed for 2 ** ``hops`` steps: a longer one leads to another name.
     """
-    keys = F.concat(F.array("core"), F.transform(F.sequence(F.lit(1), F.length("core")), lambda i: F.concat(F.expr("substring(core, 1, 0)"), F.substring("core", F.lit(1), i - 1), F.substring("core", i + 1, F.length("core")))))
-    spread = cores.where(F.length("core") >= least).select("core", "n", F.explode(F.array_distinct(keys)).alias("k"))
-    a, b = spread.alias("a"), spread.alias("b")
-    better = (F.col("b.n") > F.col("a.n")) | ((F.col("b.n") == F.col("a.n")) & (F.col("b.core") < F.col("a.core")))
-    near = a.join(b.hint("merge"), (F.col("a.k") == F.col("b.k")) & (F.col("a.core") != F.col("b.core")) & better).select(
-        F.col("a.core").alias("core"), F.col("b.core").alias("other"), F.col("b.n").alias("m")
-    )
-    near = near.distinct().where(one_edit("core", "other"))
-    best = near.groupBy("core").agg(F.max(F.struct("m", "other")).alias("x"))
-    step = checkpointed(best.select("core", F.col("x.other").alias("canonical")))
-    for _ in range(hops):  # each step leads to a better attested core, so chains end
+    pairs = close_cores(cores.where(F.length("core") >= least), 1)
+    a, b = F.struct(F.col("n_a").alias("m"), F.col("core_a").alias("other")), F.struct(F.col("n_b").alias("m"), F.col("core_b").alias("other"))
+    b_better = (F.col("n_b") > F.col("n_a")) | ((F.col("n_b") == F.col("n_a")) & (F.col("core_b") < F.col("core_a")))
+    near = pairs.select(F.when(b_better, F.col("core_a")).otherwise(F.col("core_b")).alias("core"), F.when(b_better, b).otherwise(a).alias("x"))
+    step = checkpointed(near.groupBy("core").agg(F.max("x").alias("x")).select("core", F.col("x.other").alias("canonical")))
+    for _ in range(hops):
         on = step.select(F.col("core").alias("via"), F.col("canonical").alias("end"))
         step = checkpointed(step.join(on.hint("merge"), F.col("canonical") == F.col("via"), "left").select("core", F.coalesce("end", "canonical").alias("canonical")))
     return step
@@ -187,23 +263,9 @@ def core_dictionary(cores: DataFrame, least: int = 6, hops: int = 2) -> DataFram
 
 def lone_cores(cores: DataFrame, known: DataFrame, least: int = 8) -> DataFrame:
     """``(core, canonical)`` for cores met once and near no better attested one: two of them up to two edits apart may both be
-    misspelt from a form that stands nowhere. They meet on themselves or what one or two deletions leave of them."""
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in range(0, b.num_rows, 2000):
-                words, keys = [], []
-                for w in b.column("core").slice(s, 2000).to_pylist():
-                    one = {w[:i] + w[i + 1 :] for i in range(len(w))}
-                    both = one | {w} | {x[:i] + x[i + 1 :] for x in one for i in range(len(x))}
-                    words += [w] * len(both)
-                    keys += both
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(keys, pa.string())], names=["core", "k"])
-
-    lone = cores.where((F.col("n") == 1) & F.length("core").between(least, 40)).join(known.hint("merge"), "core", "left_anti").select("core")
-    a = lone.mapInArrow(spread, "core string, k string")
-    b = lone.mapInArrow(spread, "core string, k string").select(F.col("core").alias("other"), F.col("k").alias("k2"))
-    near = a.join(b.hint("merge"), (F.col("k") == F.col("k2")) & (F.col("core") > F.col("other"))).select("core", "other").distinct().where(two_edits("core", "other"))
+    misspelt from a form that stands nowhere."""
+    lone = cores.where((F.col("n") == 1) & (F.length("core") >= least)).join(known.hint("merge"), "core", "left_anti")
+    near = close_cores(lone, 2).select(F.greatest("core_a", "core_b").alias("core"), F.least("core_a", "core_b").alias("other"))
     return near.groupBy("core").agg(F.min("other").alias("canonical"))
 
 
@@ -268,21 +330,19 @@ def _hot_pairs(hot: DataFrame, reach: float = 6.0, salts: int = 32) -> DataFrame
     return out
 
 
-@F.pandas_udf(IntegerType())
-def edits(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x, y) for x, y in zip(a, b)])
-
-
 def _misspelt_pairs(names: DataFrame, reach: float = 6.0) -> DataFrame:
     """Candidate pairs of records within ``reach`` km whose names differ in key and agree in qualifier, the cores at most two edits
     apart, of whatever length and however often met. They meet in position cells on few columns; what is left gets its evidence back."""
-    slim = names.where("lat IS NOT NULL").select("rec_id", "src", "key", "core", "qual", "lat", "lon")
-    here = slim.withColumn("c", cells(F.col("lat"), F.col("lon"), 4 * reach)[0])
-    there = slim.withColumn("c", F.explode(cells(F.col("lat"), F.col("lon"), 4 * reach, reach)))
-    on = (F.col("a.c") == F.col("b.c")) & (F.col("a.qual") == F.col("b.qual")) & (F.col("a.src") < F.col("b.src")) & (F.col("a.key") != F.col("b.key"))
-    met = here.alias("a").join(there.alias("b").hint("merge"), on).where(F.abs(F.length("a.core") - F.length("b.core")) <= 2)
-    met = met.where(_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= reach)
+    slim = names.where("lat IS NOT NULL").select("rec_id", "src", "key", "core", "qual", "lat", "lon", "letters", F.length("core").alias("size"))
+    # the cube's number and the qualifier in one hash: what shares it by chance is too far apart, or told by the qualifier
+    cube = lambda df: df.withColumn("c", F.xxhash64("c", "qual"))
+    here = cube(slim.withColumn("c", cells(F.col("lat"), F.col("lon"), 2 * reach)[0]))
+    there = cube(slim.withColumn("c", F.explode(cells(F.col("lat"), F.col("lon"), 2 * reach, reach))))
+    alike = (F.bit_count(F.col("a.letters").bitwiseXOR(F.col("b.letters"))) <= 4) & (F.abs(F.col("a.size") - F.col("b.size")) <= 2) & (F.abs(F.col("a.lat") - F.col("b.lat")) <= math.degrees(reach / 6371) * 1.001)
+    on = (F.col("a.c") == F.col("b.c")) & alike & (F.col("a.src") < F.col("b.src")) & (F.col("a.qual") == F.col("b.qual")) & (F.col("a.key") != F.col("b.key"))
+    met = here.alias("a").join(there.alias("b").hint("merge"), on)
     met = met.where(F.levenshtein("a.core", "b.core", 4) >= 0)  # two swaps of neighbours count four there
+    met = met.where(_km(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon")) <= reach)
     ids = [F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in ("a", "b") for c in ("rec_id", "core", "qual")]
     close = checkpointed(met.select(*ids).distinct().withColumn("edits", edits("core_a", "core_b")).where("edits <= 2"))
     for s in ("a", "b"):
@@ -306,7 +366,7 @@ def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_km: float = 0.1, wid
     shared so often, stands for several places, which compete: the part, or the spot, belongs to the signature. Only listed stock
     phrases say nothing; such records, like those without a name and those of an over-shared one, meet others at one spot.
     """
-    flat = parsed.select("*", F.explode("names").alias("x")).select("rec_id", "src", "lat", "lon", "goods", "country", "state", "x.core", "x.qual", "x.feature", "x.alias")
+    flat = parsed.select("*", F.explode("names").alias("x")).select("rec_id", "src", "lat", "lon", "goods", "country", "state", "x.core", "x.qual", "x.feature", "x.letters")
     flat = flat.where(~F.col("core").isin(*STOCK) & (F.length("core") >= 3))
     cores = checkpointed(flat.groupBy("core").agg(F.count(F.lit(1)).alias("n")))
     known = core_dictionary(cores)
@@ -348,41 +408,53 @@ def candidate_pairs(parsed: DataFrame, hot: int = 400, spot_km: float = 0.1, wid
     return best.select("rec_a", "rec_b", "src_a", "src_b", "x.sig_a", "x.sig_b", "x.w")
 
 
-def propagate(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-3, most: int = 200) -> DataFrame:
+def propagate(pairs: DataFrame, rounds: int = 12, tolerance: float = 1e-3, most: int = 200, at_once: int = 3) -> DataFrame:
     """Marginal match probabilities by loopy belief propagation: ``pairs`` with ``confidence``.
 
     The factor of a record towards another source says that at most one place there is the same; entries of one place (equal
-    signature) do not compete. Messages are log-odds; sums of incoming ones are aggregated by record and joined back. It stops
-    when no message would move by more than ``tolerance``; after ``rounds`` messages go only half their way, so that those that swing
-    settle, and if they have not after ``most`` rounds it fails. Each round's messages go to the checkpoint folder.
+    signature) do not compete. Messages are log-odds; the sums of incoming ones are made where the pairs of a factor meet. A pair
+    without a rival on either side gets no message and is settled at once; only the others go round. A round sends the messages
+    of one end, then with these those of the other. It stops when no message moves by more than ``tolerance``; after ``rounds``
+    messages go only half their way, so that those that swing settle, and if they have not after ``most`` rounds it fails.
+    ``at_once`` rounds are one job; its messages go to the checkpoint folder.
     """
-    edges = checkpointed(pairs.withColumn("to_a", F.lit(0.0)).withColumn("to_b", F.lit(0.0)))
-
-    def outgoing(e: DataFrame, node: str, other: str, incoming: str, name: str) -> DataFrame:
-        # incoming: the message from the other end's factor into this record's factor
-        odds = e.withColumn("_x", F.exp(F.least(F.lit(60.0), F.col("w") + F.col(incoming))))
-        group = [f"rec_{node}", f"src_{other}"]
-        best = odds.groupBy(*group, f"sig_{other}").agg(F.max("_x").alias("_best"))
-        total = best.groupBy(*group).agg(F.sum("_best").alias("_all"))
-        return (
-            e.join(best.hint("merge"), [*group, f"sig_{other}"]).join(total.hint("merge"), group)
-            .withColumn(name, -F.log1p(F.greatest(F.lit(0.0), F.col("_all") - F.col("_best"))))
-            .drop("_best", "_all")
-        )
 
+    def factor(node: str, other: str) -> list[str]:
+        return [f"rec_{node}", f"src_{other}"]
+
+    flagged = pairs
+    for node, other in (("a", "b"), ("b", "a")):
+        w = Window.partitionBy(*factor(node, other))
+        flagged = flagged.withColumn(f"_rivals_{node}", F.min(f"sig_{other}").over(w) != F.max(f"sig_{other}").over(w))
+    flagged = checkpointed(flagged.withColumn("_open", F.col("_rivals_a") | F.col("_rivals_b")).drop("_rivals_a", "_rivals_b"))
+
+    def sent(e: DataFrame, node: str, other: str, share: float) -> DataFrame:
+        """The messages of one end's factors, ``to_`` the other end, and how far each moved."""
+        group = factor(node, other)
+        within = Window.partitionBy(*group)
+        entries = Window.partitionBy(*group, f"sig_{other}").orderBy(F.desc("_x"))
+        e = e.repartition(*group).withColumn("_x", F.exp(F.least(F.lit(60.0), F.col("w") + F.col(f"to_{node}"))))
+        e = e.withColumn("_best", F.first("_x").over(entries)).withColumn("_n", F.row_number().over(entries))
+        e = e.withColumn("_all", F.sum(F.when(F.col("_n") == 1, F.col("_x")).otherwise(0.0)).over(within))
+        new = -F.log1p(F.greatest(F.lit(0.0), F.col("_all") - F.col("_best")))
+        e = e.withColumn("_new", new).withColumn("_move", F.greatest("_move", F.abs(F.col("_new") - F.col(f"to_{other}"))))
+        return e.withColumn(f"to_{other}", F.col(f"to_{other}") + share * (F.col("_new") - F.col(f"to_{other}"))).drop("_x", "_best", "_n", "_all", "_new")
+
+    edges = flagged.where("_open").drop("_open").withColumns({"to_a": F.lit(0.0), "to_b": F.lit(0.0), "_move": F.lit(0.0)})
     moved, done = math.inf, 0
     while moved > tolerance:
-        if done == most:
+        if done >= most:
             raise RuntimeError(f"the messages still move by {moved:.3g} after {most} rounds")
-        step = outgoing(edges, "a", "b", "to_a", "_to_b")
-        step = outgoing(step, "b", "a", "to_b", "_to_a")
-        step = checkpointed(step.withColumn("_move", F.greatest(F.abs(F.col("_to_a") - F.col("to_a")), F.abs(F.col("_to_b") - F.col("to_b")))))
-        moved = step.agg(F.max("_move")).first()[0] or 0.0
-        share = 1.0 if done < rounds else 0.5
-        done += 1
-        edges = step.select(*pairs.columns, *[(F.col(c) + share * (F.col(f"_{c}") - F.col(c))).alias(c) for c in ("to_a", "to_b")])
+        for _ in range(min(at_once, most - done)):
+            share = 1.0 if done < rounds else 0.5
+            edges = edges.withColumn("_move", F.lit(0.0))
+            edges = sent(sent(edges, "a", "b", share), "b", "a", share)
+            done += 1
+        edges = checkpointed(edges)
+        moved = edges.agg(F.max("_move")).first()[0] or 0.0
     belief = F.col("w") + F.col("to_a") + F.col("to_b")
-    return edges.withColumn("confidence", 1 / (1 + F.exp(-belief)))
+    open_ = edges.select(*pairs.columns, (1 / (1 + F.exp(-belief))).alias("confidence"))
+    return open_.unionByName(flagged.where("NOT _open").select(*pairs.columns, (1 / (1 + F.exp(-F.col("w")))).alias("confidence")))
 
 
 def match_entities(records: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lodestrata.llm.entity_matching import commodity_symbols, core_dictionary, match_entities, propagate, read_name, unmangle, written_names
+from lodestrata.llm.entity_matching import commodity_symbols, close_cores, core_dictionary, edit_keys, match_entities, propagate, read_name, unmangle, written_names
 
 S = "rec_id bigint, src string, name string, country string, state string, lat double, lon double, goods string, core string"
 
@@ -110,3 +110,28 @@ def test_propagation_goes_on_until_it_settles(spark):
     assert c[1, 11] == pytest.approx((math.exp(3) + math.exp(5)) / z, abs=2e-3) and c[1, 12] == pytest.approx(math.exp(1) / z, abs=2e-3)
     with pytest.raises(RuntimeError, match="still move"):
         propagate(e, most=1)
+
+
+def test_words_few_edits_apart_share_a_key(spark):
+    """Two edits, swaps of neighbours among them, leave a shared key at any length, the seam of the two kinds of keys included."""
+    import random
+
+    from lodestrata.llm.canonical_mapping import edit_distance
+
+    r = random.Random(3)
+
+    def edited(w):
+        i, k = r.randrange(len(w)), r.randrange(4)
+        return [w[:i] + w[i + 1 :], w[:i] + r.choice("abcd") + w[i:], w[:i] + r.choice("abcd") + w[i + 1 :], w[:i] + w[i + 1 : i + 2] + w[i : i + 1] + w[i + 2 :]][k]
+
+    for n in range(2, 60):
+        for _ in range(20):
+            w = "".join(r.choice("abcd") for _ in range(n))
+            for times, other in ((1, edited(w)), (2, edited(edited(w) or "a"))):
+                at, keys = edit_keys([w, other], times)
+                assert set(keys[at == 0].tolist()) & set(keys[at == 1].tolist()), (w, other)
+    words = sorted({"".join(r.choice("ab") for _ in range(r.randint(4, 7))) for _ in range(60)})
+    df = spark.createDataFrame([(w, 1) for w in words], "core string, n long")
+    for most in (1, 2):
+        got = {(x.core_a, x.core_b) if x.core_a < x.core_b else (x.core_b, x.core_a) for x in close_cores(df, most).collect()}
+        assert got == {(a, b) for a in words for b in words if a < b and edit_distance(a, b) <= most}
