@@ -18,13 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.llm.pii_examples import KINDS, labelled_sentences
+from lodestrata.llm.pii_examples import KINDS, WORD_CLASSES, labelled_sentences
 
 LABELS = ["", *KINDS]
 TOKEN = re.compile(r"[^\W\d_]+|\d+|\n|[^\w\s]|_")
 OFFSETS = (-5, -4, -3, -2, -1, 0, 1, 2, 3, 4)
 PAIRS = ((-2, -1), (-1, 0), (0, 1), (1, 2))
 _PAD = "\x00"
+_CLASS = {w: f"<{name}>" for name, ws in WORD_CLASSES.items() for w in ws.split()}
+
+
+def word_of(token: str) -> str:
+    """The word as a feature: its class, if it is a listed one, else itself in lower case."""
+    low = token.lower()
+    return _CLASS.get(low, low)
 
 
 def shape(token: str) -> str:
@@ -56,10 +63,10 @@ class Field:
         return [self.w_word, self.w_shape, self.w_pair, self.trans]
 
     def ids(self, token: str) -> tuple[int, int]:
-        return self.words.get(token.lower(), len(self.words)), self.shapes.get(shape(token), len(self.shapes))
+        return self.words.get(word_of(token), len(self.words)), self.shapes.get(shape(token), len(self.shapes))
 
 
-def train(sentences: list[list[tuple[str, str]]], rounds: int = 120, rate: float = 0.15, ridge: float = 2e-3) -> Field:
+def train(sentences: list[list[tuple[str, str]]], rounds: int = 100, rate: float = 0.15, ridge: float = 2e-3, least: int = 30) -> Field:
     """Maximum likelihood with a ridge, by Adam on all sentences at once; forward-backward runs over all of them in step."""
     data = []
     for pieces in sentences:
@@ -68,9 +75,10 @@ def train(sentences: list[list[tuple[str, str]]], rounds: int = 120, rate: float
         spans = [m.span() for m in TOKEN.finditer(text)]
         data.append((text, spans, np.array([mark[a] for a, _ in spans])))
     data.sort(key=lambda d: len(d[1]))
-    counts = Counter(text[a:b].lower() for text, spans, y in data for (a, b), k in zip(spans, y) if text[a].isalpha())
-    inside = Counter(text[a:b].lower() for text, spans, y in data for (a, b), k in zip(spans, y) if k in (2, 3, 5) or k == 1)
-    words = sorted(w for w, n in counts.items() if n >= 6 and (len(w) == 1 or inside[w] < 0.5 * n or w in ("at", "dot", "x", "ext")))
+    counts = Counter(word_of(text[a:b]) for text, spans, y in data for (a, b), k in zip(spans, y) if text[a].isalpha())
+    inside = Counter(word_of(text[a:b]) for text, spans, y in data for (a, b), k in zip(spans, y) if k in (2, 3, 5) or k == 1)
+    # a word of few patterns tells of them, not of the language
+    words = sorted(w for w, n in counts.items() if w[0] == "<" or n >= least and (len(w) == 1 or inside[w] < 0.5 * n or w in ("at", "dot", "x", "ext")))
     shapes = sorted({shape(text[a:b]) for text, spans, _ in data for a, b in spans} | {_PAD})
     field = Field([*words, _PAD], shapes)
     n, longest, reach = len(data), max(len(d[1]) for d in data), 5
@@ -245,14 +253,21 @@ FORMS = {
 _TITLE = re.compile(r"^(?:(?:Dr|Prof|Professor|Mr|Mrs|Ms|Miss|Herr|Frau|Sr|Sra|Mme)\.?\s+)+")
 
 
-def exact_surface(text: str, kind: str, a: int, b: int) -> str | None:
-    """The characters of an entity the field found at a..b, held to the form of its kind; None if it hasn't that form."""
+#: A house or unit number that stands before a street the field has found.
+_HOUSE = re.compile(r"(?<!\w)(?:(?:[Uu]nit|[Ss]uite|[Aa]pt\.?|[Ff]lat)\s+\w{1,4},?\s+)?\d{1,5}[A-Za-z]?(?:[/-]\d{1,4}[A-Za-z]?)?,?\s+\Z")
+
+
+def exact_span(text: str, kind: str, a: int, b: int) -> tuple[int, int] | None:
+    """Where the entity that the field found at a..b begins and ends, held to the form of its kind; None if it hasn't that form."""
     if kind == "address":
+        while a < b and text[a] in " \t\n.,;:()<>[]":
+            a += 1
+        while a < b and text[b - 1] in " \t\n.,;:()<>[]":
+            b -= 1
+        if a < b and text[a].isalpha() and (m := _HOUSE.search(text[max(0, a - 30) : a])):
+            a -= len(m[0])
         part = text[a:b]
-        if not (re.search(r"\d", part) and re.search(r"[^\W\d_]", part)):
-            return None
-        part = part.strip(" \t\n.,;:()<>[]")
-        return part or None
+        return (a, b) if re.search(r"\d", part) and re.search(r"[^\W\d_]", part) else None
     lo, hi = max(0, a - (40 if kind == "email" else 6)), min(len(text), b + (40 if kind == "email" else 8))
     if kind == "person":
         lo, hi = a, b
@@ -260,17 +275,17 @@ def exact_surface(text: str, kind: str, a: int, b: int) -> str | None:
     for m in FORMS[kind].finditer(text, lo, hi):
         overlap = min(b, m.end()) - max(a, m.start())
         if overlap > 0 and (best is None or overlap > best[0]):
-            best = (overlap, m[0])
+            best = (overlap, m.start(), m.end())
     if best is None:
         return None
-    surface = best[1].strip()
+    a, b = best[1:]
     if kind == "person":
-        surface = _TITLE.sub("", surface)
-        return surface if len(re.findall(r"[^\W\d_]+", surface)) >= 2 else None
-    digits = len(re.findall(r"\d", surface))
+        a += len(m[0]) if (m := _TITLE.match(text[a:b])) else 0
+        return (a, b) if len(re.findall(r"[^\W\d_]+", text[a:b])) >= 2 else None
+    digits = len(re.findall(r"\d", text[a:b]))
     if kind == "phone" and not 7 <= digits <= 17 or kind == "id_number" and digits < 5:
         return None
-    return surface
+    return a, b
 
 
 def spans_of(labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -281,8 +296,8 @@ def spans_of(labels: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(a), int(b), int(labels[a])
 
 
-def entities(texts: list[str], decoder: Decoder) -> list[list[tuple[str, str, int]]]:
-    """(kind, surface, offset) of each entity of each text, in order."""
+def entities(texts: list[str], decoder: Decoder) -> list[list[tuple[str, int, int]]]:
+    """(kind, start, end) of each entity of each text, in order; none overlaps another, of two that would the earlier stays."""
     pad = [decoder.pad] * 5
     types, starts = list(pad), []
     known, type_of = decoder.known.get, decoder.type_of
@@ -295,7 +310,7 @@ def entities(texts: list[str], decoder: Decoder) -> list[list[tuple[str, str, in
         types += own
         types += pad
     labels = decoder.labels(np.array(types))
-    out: list[list[tuple[str, str, int]]] = [[] for _ in texts]
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     first = np.array(starts)
     last, spans = -1, []
     for a, b, k in spans_of(labels):
@@ -303,9 +318,9 @@ def entities(texts: list[str], decoder: Decoder) -> list[list[tuple[str, str, in
         if i != last:
             last, spans = i, [m.span() for m in TOKEN.finditer(texts[i])]
         at, to = spans[a - starts[i]][0], spans[b - starts[i] - 1][1]
-        surface = exact_surface(texts[i], LABELS[k], at, to)
-        if surface:
-            out[i].append((LABELS[k], surface, texts[i].find(surface, max(0, at - 40))))
+        span = exact_span(texts[i], LABELS[k], at, to)
+        if span and (not out[i] or span[0] >= out[i][-1][2]):
+            out[i].append((LABELS[k], *span))
     return out
 
 
@@ -327,8 +342,9 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                 if len(decoder.known) > 500_000:
                     decoder = Decoder(field.value)
                 at, kinds, surfaces = [], [], []
-                for i, found in enumerate(entities(some.column("t").to_pylist(), decoder)):
-                    for kind, surface in dict.fromkeys((k, x) for k, x, _ in found):
+                texts = some.column("t").to_pylist()
+                for i, found in enumerate(entities(texts, decoder)):
+                    for kind, surface in dict.fromkeys((k, texts[i][lo:hi]) for k, lo, hi in found):
                         at.append(i)
                         kinds.append(kind)
                         surfaces.append(surface)
@@ -339,23 +355,31 @@ def find_personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return source.mapInArrow(run, f"`{doc_id}` {id_type}, kind string, surface string")
 
 
-def redact(text: str | None, decoder: Decoder) -> str | None:
-    """The text with typed placeholders such as [EMAIL] in place of its personal data; null stays null."""
-    if not text:
-        return text
-    for kind, surface in sorted(dict.fromkeys((k, x) for k, x, _ in entities([text], decoder)[0]), key=lambda x: -len(x[1])):
-        text = text.replace(surface, f"[{kind.upper()}]")
-    return text
+def redacted(texts: list[str | None], decoder: Decoder) -> list[str | None]:
+    """The texts with typed placeholders such as [EMAIL] where their personal data stood; null and empty texts stay as they are."""
+    out = list(texts)
+    filled = [i for i, t in enumerate(texts) if t]
+    for i, found in zip(filled, entities([texts[i] for i in filled], decoder) if filled else ()):
+        parts, at = [], 0
+        for kind, lo, hi in found:
+            parts += [texts[i][at:lo], f"[{kind.upper()}]"]
+            at = hi
+        out[i] = "".join([*parts, texts[i][at:]])
+    return out
 
 
 def redact_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced by typed placeholders; every row and other column stays."""
+    """``docs`` with personal data in ``text`` replaced in its place by typed placeholders; every row and other column stays."""
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(field.value)
         for b in batches:
             i = b.schema.get_field_index(text)
-            yield b.set_column(i, b.schema.field(i), pa.array([redact(t, decoder) for t in b.column(i).to_pylist()], b.schema.field(i).type))
+            for s in range(0, b.num_rows, 256):
+                some = b.slice(s, 256)
+                if len(decoder.known) > 500_000:
+                    decoder = Decoder(field.value)
+                yield some.set_column(i, b.schema.field(i), pa.array(redacted(some.column(i).to_pylist(), decoder), b.schema.field(i).type))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,9 @@
-"""A small labelled table for the personal-data model, written out by rule from sentence patterns and invented fillers.
+"""A small labelled table for the personal-data model: everyday sentences of letters, forms, news, minutes and signatures.
 
-Every sentence is a list of (text, label) pieces; label '' is ordinary text. Patterns hold positives in many contexts and the
-look-alikes that are none: cited authors, places and units named after people, grant, box and sample numbers, coordinates.
+The sentences are written from general language, in English, German, French and Spanish, with invented and common names put
+in; they share no wording with any corpus the model is used on. Every sentence is a list of (text, label) pieces; label '' is
+ordinary text. The patterns hold positives in many contexts and look-alikes that are none: cited authors, places and things
+named after people, order, version and account numbers, coordinates. ``HELD_OUT`` has other patterns, never trained on.
 """
 
 from __future__ import annotations
@@ -10,97 +12,243 @@ import random
 
 KINDS = ["email", "phone", "id_number", "address", "person"]
 
-_SYLLABLES = "ba be bri da del dor fa fen gra ha hol il ja jor ka kel lin lo mar mei nor o pa per qui ra ros sa sel ta tor u va vin wes ya zo".split()
-_TOWN_ENDS = ["ton", "ville", "ford", " Bay", " Falls", "burg", ""]
-_STREETS = ["Street", "St", "Road", "Rd", "Lane", "Ave", "Avenue", "Drive", "Way"]
+#: Words of one meaning count as one feature, so that what is learnt of one holds for all.
+WORD_CLASSES = {
+    "title": "dr prof professor mr mrs ms miss herr frau sr sra señor señora mme mlle monsieur madame doctor",
+    "call": "tel phone telephone telefon teléfono telefono téléphone tél mobile cell fax call calls dial ring landline móvil handy rufnummer phoned ph",
+    "mail": "mail email correo courriel mailto inbox write writes mél reply",
+    "papers": "passport id identity identification licence license permit ssn insurance security personalausweis ausweis dni pasaporte passeport reisepass identité identidad nie",
+    "numberword": "no number nr nummer número numéro num nos numbers nº",
+    "issuer": "national personal social tax driver drivers driving file identity civil steuer citizen",
+    "role": "owner landowner holder contact ansprechpartner ansprechpartnerin contacto responsable manager director geologist engineer tenant client patient applicant witness buyer seller foreman author secretary teacher driver nurse surveyor supervisor operator sampler samplers crew lessee claimant neighbour farmer customer clerk",
+    "deed": "said says told wrote signed lent thanked visited drove called asked reviewed collected logged checked approved prepared compiled recorded photographed met joined guided helped agreed confirmed explained led spoke sampled took kindly",
+    "thanks": "thank thanks grateful gratitude indebted acknowledge appreciate danken dank gracias merci remercions agradecemos",
+    "street": "street road rd lane ln avenue ave drive way blvd boulevard court square highway hwy terrace crescent strasse straße weg platz gasse",
+    "streetbefore": "rue calle avenida via allée camino chemin paseo plaza quai",
+    "box": "po box unit suite apt apartment flat postfach apartado bp",
+    "feature": "creek mine mines hill hills prospect formation group member beds lake river canyon falls bay mountain mount fault district deposit shaft adit pluton pit quarry ridge basin bridge library park school hospital prize theatre station stadium museum medal tower foundation college",
+    "rock": "granite shale limestone sandstone schist tuff quartzite dolomite pyrite galena basalt gneiss siltstone marble",
+    "send": "send sends ship ships post deliver forward address adresse dirección envoyer schicken senden enviar parcels cheques letters payments",
+    "article": "the a an der die das dem den des el la los las le les un une una ein eine einen this that these those its",
+    "direction": "north south east west northern southern eastern western upper lower norte sur nord sud ost süd",
+    "unitword": "m km mm cm kg g t ppm ppb percent wt metres meters feet tonnes grams",
+}
+
+#: Common names of several languages, mixed with invented ones.
+GIVEN = "Anna Peter Maria John Elena Thomas Laura Martin Sofia David Ingrid Carlos Julia Michael Emma Pierre Lucia Hans Claire Pablo Greta Andrew Nadia Victor Helen Marco Alice Jan Rosa Simon Eva Oscar Irene Felix Marta Hugo Joan Karl Diana Luis".split()
+FAMILY = "Smith Müller García Martin Rossi Novak Jensen Kowalski Brown Weber Dubois Fernández Larsen Fischer Moreau Taylor Schmidt López Bernard Wilson Petrov Hansen Meyer Romano Clark Wagner Lefèvre Torres Olsen Walker Becker Ruiz Simon Young Keller Costa Evans Bauer Girard Hill".split()
+
+_SYLLABLES = "ba be bi da del dor fa fen gra ha hol il ja jor ka kel lin lo mar mei nor o pa per qui ra ros sa sel ta tor u va vin wes ya zo thi kla stri mov nau xel driv oek hau tre".split()
+_TOWN_ENDS = ["ton", "ville", "ford", " Bay", " Falls", "burg", "", "", ""]
+_STREETS = ["Street", "St", "Road", "Rd", "Lane", "Ave", "Avenue", "Drive", "Way", "Court", "Boulevard", "Terrace"]
 _POSITIVE = [
-    "Core was logged by {person}, who can be reached on {phone}.",
-    "The samples were collected by {person} and {person}.",
-    "Samplers were {person} and {person}.",
-    "We thank {person} for guiding us underground.",
-    "We are grateful to {person} and Dr. {person} for access.",
-    "Dr. {person} kindly lent polished blocks; write to {email}.",
-    "Prof. {person} reviewed the logs; mail {email}.",
-    "Mr. {person} and Ms {person} ran the drill.",
-    "Claim holder: {person} ({idword} {id_number}).",
-    "Claim holder: {person}.",
-    "Field crew list: {person}, {idword} {id_number}",
-    "Field crew list: {person}, {idword} {id_number}\nThe ore is hosted by schist.",
-    "The form lists {idword} as {id_number}.",
-    "The form lists {idword} as {id_number}.\nTrenches exposed shale.",
-    "The form lists {idword} as {id_number}. {place} ({year}) argued for a fault.",
-    "Her {idword} is {id_number}, as noted.",
-    "Landowner: {person}\nAddress: {address}\nPhone: {phone}",
-    "Landowner: {person}\nAddress: {address}\nPhone: {phone} Samples {code} and {code} were cut from {rock}.",
-    "Landowner: {person}\nAddress: {address}\nPhone: {phone}\n{place} ({year}) argued for a fault.",
-    "Contact: {person}; e-mail {email}; tel. {phone}.",
-    "Contact {person} at {phone} or {email}.",
-    "Ansprechpartner: {person}, Mail {email}, Tel. {phone}.",
-    "Contacto: {person}, correo {email}, tel. {phone}.",
-    "Responsable : {person}, courriel {email}, tél. {phone}.",
-    "Corresponding author e-mail <{email}>.",
-    "Call or mail: {phone} / {email}",
-    "Call or mail: {phone} / {email} Send split samples to {person}, {address}.",
-    "Call or mail: {phone} / {email}\nMetal ratios increase with depth.",
-    "Access needs a call to {phone} before 9 am.",
-    "Royalty cheques go to {address}.",
-    "Royalty cheques go to {address}. {place} and {place} ({year}) reported leaching.",
-    "Send split samples to {person}, {address}.",
-    "Send split samples to {person}, {address}. Fluid inclusions homogenize between {n} and {n} °C.",
-    "Mail the cores to {address}.",
-    "Write to {email} for data.",
-    "Questions go to {email} or {phone}.",
+    "{person} joined our office last spring and is already running the archive.",
+    "Yesterday {person} told the committee that the bridge would reopen.",
+    "My neighbour {person} feeds the cat; her mobile is {phone}.",
+    "Signed: {person}",
+    "Yours faithfully,\n{person}\n{address}",
+    "Kind regards\n{person}\n{phone}\n{email}",
+    "Witness: {person} ({idword} {id_number}).",
+    "Applicant {person}, {idword} {id_number}, born in {place}.",
+    "Patient {person} was seen on Monday; next of kin {person}.",
+    "Tenant: {person}\nFlat: {address}\nMobile: {phone}",
+    "Customer: {person}\nDelivery: {address}\nTel: {phone}\n\nThe parcel weighs {n} g.",
+    "Buyer: {person} ({idword} {id_number}). The sale closed in {year}.",
+    "The notary checked the {idword}, which was {id_number}, twice.",
+    "Her {idword} reads {id_number}; please copy it.",
+    "On page two the {idword} is given as {id_number}. Turn over for the rest.",
+    "{idword}: {id_number}",
+    "{idword} {id_number}\nIssued in {year}.",
+    "For tickets ring {phone} or mail {email}.",
+    "Ring {phone} after supper.",
+    "A quick call to {phone} is enough, they open at 8 am.",
+    "My new landline: {phone}.",
+    "You reach the clinic on {phone} and the ward on {phone}.",
+    "Phone / mail: {phone} / {email}",
+    "Phone or mail: {phone} / {email}\nShops close at noon.",
+    "Her address is {email}, she answers quickly.",
+    "Please send the forms to {email}.",
+    "Reply to <{email}>.",
+    "Reply to: {email}\nSubject: minutes of {year}",
+    "Letters reach us at {address}.",
+    "Our new shop is at {address}, come and see it.",
+    "Parcels go to {person}, {address}.",
+    "Please post the keys to {person}, {address}. Thank you in advance.",
+    "He moved to {address} in {year}.",
+    "The invoice was sent to {address}. {place} and {place} ({year}) would smile.",
+    "They lived at {address}\nfor eleven years.",
+    "Minutes were taken by {person} and checked by {person}.",
+    "Photographs by {person}; text by {person}.",
+    "Present were {person}, {person} and {person}.",
+    "Drivers: {person} and {person}.",
+    "We owe thanks to {person} and Prof. {person} for their patience.",
+    "Many thanks to {person} for the lift home.",
+    "With gratitude to Mrs. {person}, who taught us to sing.",
+    "Dr. {person} gave the opening talk; questions to {email}.",
+    "Mr. {person} and Ms {person} chaired the evening.",
+    "Professor {person} retired in {year}; his mail is {email}.",
+    "Miss {person} kindly sent her drawings.",
+    "The teacher, {person}, can be called at {phone}.",
+    "Our foreman {person} answers on {phone} and at {email}.",
+    "The choir is led by {person}, whom you find under {phone}.",
+    "Owner: {person}.",
+    "Owner: {person}; mail {email}; mobile {phone}.",
+    "Manager: {person}; phone {phone}; mail {email}.",
+    "Team list: {person}, {idword} {id_number}",
+    "Team list: {person}, {idword} {id_number}\nTraining is on Friday.",
+    "Guests: {person}, {person}\nRoom {n}",
+    "The prize went to {person} from {place}.",
+    "According to {person}, the match was fair.",
+    "\"We won,\" said {person}.",
+    "{person} and {person} drove the van through {place}.",
+    "Herr {person} wohnt seit {year} in {place}; Telefon {phone}.",
+    "Frau {person} bittet um Rückruf unter {phone}.",
+    "Fragen beantwortet {person} ({email}, Tel. {phone}).",
+    "Bitte senden Sie den Brief an {person}, {address}.",
+    "Zuständig: {person}, Mail {email}, Telefon {phone}.",
+    "La señora {person} vive en {address}.",
+    "Llame a {person} al {phone} o escriba a {email}.",
+    "Firmado por {person} en {place}, DNI {id_number}.",
+    "Directora: {person} / correo: {email} / teléfono: {phone}.",
+    "Madame {person} habite {address}.",
+    "Écrivez à {person} (courriel : {email}, tél. {phone}).",
+    "Directeur : {person} - courriel {email} - tél. {phone}.",
+    "Le guide, {person}, répond au {phone}.",
+    "{person} bought the old barn in {place}.",
+    "{person} sings in two choirs and {person} in one.",
+    "{person} sells bread at the gate.",
+    "{person} was born in {place} in {year}.",
+    "{person} and her sister {person} run the bakery.",
+    "After the war {person} opened a cinema.",
+    "The mayor is {person} of {place}.",
+    "This year's champion was {person}, a student.",
+    "A film by {person} about {place}.",
+    "The gardener, {person}, trims the hedges.",
+    "The judge heard Ms. {person}, living at {address}.",
+    "Best wishes,\n{person}",
+    "See you soon,\n{person}",
+    "Viele Grüße\n{person}",
+    "Un saludo,\n{person}",
+    "Cordialement,\n{person}",
+    "Undelivered boxes come back to {address}.",
+    "Deliveries: {address}. Bell on the left.",
+    "Night bell {phone}, ask for the porter.",
+    "Bookings under {email}; the fax there is {phone}.",
+    "Orders by fax {phone} or under {email}, please.",
+    "The {idword} in the file was {id_number} and nothing else.",
+    "They noted his {idword} as {id_number} on the card.",
+    "Lost: {idword} {id_number}, reward offered.",
+    "Contact for rooms: {phone}.",
+    "Questions? {email} knows the answer.",
 ]
 _NEGATIVE = [
-    "{place} and {place} ({year}) argued that zonation records the {place} fold.",
-    "{place} et al. ({year}) and {place} ({year}) reported similar leaching at {place} mine.",
-    "{place} ({year}) and {place} and {place} ({year}) reported similar leaching at {place} {place}.",
-    "See {place}, {initial}., and {place}, {initial}., {year}, v. {n}, p. {n}-{n}.",
-    "The {person0} mine closed in {year}.",
-    "The {person0} prospect lies north of the {person0} shaft.",
-    "Rocks of the {place} Street Member crop out along {place} Road fault.",
-    "Contact of the {place} pluton with {rock} is sharp.",
-    "Core box {n}-{n2}-{n4} holds sample {code}.",
-    "Core box {n}-{n2}-{n4} holds sample K{n2}-{n2}-{n4}.",
-    "Grant {n}-{n}-{n4} funded drilling.",
-    "Station at {n2}.{n4}, -{n}.{n4} (UTM {n2} {n}{n} {n}{n4}).",
-    "Spot {n2} @ {n2} µm, beam 15 kV@20 nA.",
+    "{place} and {place} ({year}) claimed that sleep improves memory in {place}.",
+    "{place} et al. ({year}) and {place} ({year}) described the same effect at {place} station.",
+    "As {place} ({year}) and {place} and {place} ({year}) showed, prices fell.",
+    "Compare {place}, {initial}., and {place}, {initial}., {year}, vol. {n}, pp. {n}-{n}.",
+    "{place}, {initial}. {initial}., {year}. A history of tides. Journal of {place}, {n2}, {n}-{n}.",
+    "The {person0} bridge opened in {year}.",
+    "The {person0} library stands east of the {person0} school.",
+    "A new wing of the {person0} hospital was paid by the city.",
+    "Boats pass {person0} mine, later the {person0} shaft and the {person0} creek on the way.",
+    "The {person0} medal is given each {year}.",
+    "Walls of the {place} Road group and the {place} Street formation look alike.",
+    "{place} Street festival and {place} Avenue parade fell on one day.",
+    "Contact of warm air with the {place} hills brings rain.",
+    "Contact with {rock} turned the glaze blue.",
+    "Parcel {n}-{n2}-{n4} holds order {code}.",
+    "Parcel {n}-{n2}-{n4} was returned; crate K{n2}-{n2}-{n4} was not.",
+    "Tray {n}-{n2}-{n4} stands beside tray {n} of shelf {n2}.",
+    "Contract {n}-{n}-{n4} ran until {year}.",
+    "Award {n}-{n}-{n4} paid for the trip, no. {n}-{n4} for the rest.",
+    "The buoy lies at {n2}.{n4}, -{n}.{n4} (grid {n2} {n}{n} {n}{n4}).",
+    "Position {n2}.{n4}{n} N, {n2}.{n4} E, zone {n2}, {n}{n} {n4}{n}.",
+    "Two lamps @ {n2} cm, supply 12 V@{n2} A.",
+    "Version {n2}.{n}.{n4}@{word} was withdrawn.",
     "doi:10.{n4}/{word}.{year}.{n4}{n}",
-    "Samples {code} and {code} were cut from {rock} near {place} Creek.",
-    "Samples {code}@L3 and {code}A were cut from zoned {rock} near {place}.",
-    "Drill hole {code} cut {n} m of {rock} grading {n2}.{n2} percent zinc.",
-    "Spot analyses by LA-ICP-MS gave {n2}.{n2} wt% Zn and up to {n4} ppm Cu.",
-    "Concentrates from {place} North assayed {n2}.{n2} % Ge in {year}.",
-    "Production ended in {year}; about {n},{n}00 tonnes at {n2}.{n2} % Se remain.",
-    "Between {year} and {year} the district yielded {n},{n}00 t of cobalt.",
-    "At {place} Hill, silver averages {n4} ppm in pyrite, with a range of {n} to {n4} ppm.",
-    "South of {place} North, the stockwork offsets the {place} Beds by roughly {n} m.",
-    "Isotopic data favour hydrothermal sulfur; δ34S spans {n2}.1 to {n} ‰.",
-    "The {place} Formation thins to {n} m over the fault crest.",
-    "{rock} of the {place} Group cuts the banded galena at {place} prospect.",
-    "The Devonian {rock} hosts laminated wurtzite, columbite and minor galena.",
-    "Metal ratios (e.g. Cu/Bi) increase with depth in hole {code}-{n}.",
-    "Mapping in {year} traced the fold {n} m along strike.",
-    "La mineralización está alojada en calizas de la {place} Group, según {place} et al. ({year}).",
-    "El yacimiento {place} Creek contiene {n4} ppm de Cd en la zona {n2}.5.",
-    "Las muestras {code} y {code} proceden de la veta principal, a {n} m de profundidad.",
-    "Les inclusions fluides de {n} à {n} °C; le gîte de {place} Hill renferme {n4} ppm de U.",
-    "La minéralisation est encaissée dans les calcaires de la {place} Group ({place} and {place} ({year})).",
-    "Proben {code} und {code}@L3 stammen aus {n} m Teufe.",
-    "Die Lagerstätte {place} führt {n4} ppm Ag in brauner Zinkblende.",
-    "The {place} railway agent weighs {n4} trays of sphalerite in the {place} bakery for thirteen days.",
-    "A visiting {place} chemist trades {n4} grams of pyrite beside pump number {n4}.",
-    "The keeper of lamps returns nineteen cores of galena across the {place} square for sixty days without pause.",
-    "Name the {rock} most likely swapped. Estimate the {rock} dust in grams.",
-    "Calibration used an in-house galena standard; drift stayed under {n2}.2 %.",
-    "Detection limits ranged between {n} and {n} ppb for tellurium.",
-    "Crystals up to {n2}.3 mm line cavities within the rarely fibrous {rock}.",
-    "We attribute the economic tungsten values to zonation. The salinity overprints the fault.",
-    "Whether salinity records argillization remains unresolved at {place} prospect.",
-    "{place} {place} lies east of {place} Bay and {place} Falls.",
+    "https://www.{word}.example/{n4}/{n}",
+    "Models {code} and {code} were made of {rock} near {place} River.",
+    "Items {code}@B2 and {code}A were cut from striped {rock} in {place}.",
+    "Flight {code} covered {n} km at {n2}.{n2} percent load.",
+    "A survey by post gave {n2}.{n2} % yes and up to {n4} replies a day.",
+    "Honey from {place} South earned {n2}.{n2} % more in {year}.",
+    "The ferry stopped in {year}; about {n},{n}00 passengers at {n2}.{n2} % discount had used it.",
+    "Between {year} and {year} the harbour shipped {n},{n}00 t of grain.",
+    "At {place} Hill the wind averages {n2} knots in March, with a range of {n} to {n4}.",
+    "West of {place} North the railway crosses the {place} Canal by {n} m.",
+    "The {place} Theatre seats {n} and opens at noon.",
+    "Houses of the {place} Group rise behind the {place} Museum.",
+    "A medieval {rock} wall shelters the {place} orchard and some roses.",
+    "Ratios (e.g. In/Out) grow with age in group {code}-{n}.",
+    "The census of {year} traced the family {n} years back.",
+    "La orquesta tocó en la plaza de {place}, según {place} et al. ({year}).",
+    "El museo de {place} guarda {n4} cuadros en la sala {n2}.",
+    "Los trenes {code} y {code} salen del andén {n2}, a {n} m de la entrada.",
+    "Les trains de {n} à {n} places; la gare de {place} vend {n4} billets.",
+    "La pièce fut jouée au théâtre de {place} ({place} and {place} ({year})).",
+    "Die Züge {code} und {code}@B2 halten in {place}, Gleis {n2}.",
+    "Der Verein {place} zählt {n4} Mitglieder und spielt in blauen Hemden.",
+    "The {place} grocer counts {n4} sacks of rice in the {place} market for twelve hours.",
+    "One old {place} sailor paints {n4} boats beside pier number {n2}.",
+    "A tired keeper of gates returns eleven keys across the {place} yard for nine days without rest.",
+    "Which {rock} sells best? Guess the {rock} price in euros.",
+    "List three towns. State the year of the flood.",
+    "Tests used a plain glass sheet; noise stayed under {n2}.2 %.",
+    "Limits ranged from {n} to {n} ppb for sugar.",
+    "Drops up to {n2}.3 mm hang from the rarely dusted {rock}.",
+    "We trace the low numbers to rain. The storm hid the stars.",
+    "Why trade slowed is still unclear at {place} market.",
+    "{place} {place} lies north of {place} Bay and {place} Falls.",
+    "Prof. {place} ({year}) disagreed with {place}.",
+    "The {place}-{place} border and the {place} Act of {year} are older.",
+    "Call number {n}.{n2} stands in the {place} reading room.",
+    "Table {n2}. Sales by {place} and {place}, in units of {n4}.",
+    "The oven is kept between {n} and {n} °C. Bread needs less.",
+    "Water boils at {n2} °C. {place} tea does too.",
+    "Fruit is rich in vitamin C. Children need it; so does type {initial}. Adults less.",
+    "Gate {initial}. Boarding starts at {n2}. Lane {n2}.",
+    "It rose to {n2}.{n2} °C. Snow melted in {place} North.",
+    "At {place} South, rain averages {n} mm in April.",
+    "In {place} West the school, and in {place} East the church, were rebuilt in {year}.",
+    "Class {initial}. Students of {place} North won {n2} to {n2}.",
+    "The {place} and {place} railways merged; {place} North stayed open.",
+    "Sources: {place} {place} Archive; {place} Press; {place} Bank.",
+    "Die Brücke steht seit {year} bei {place}.",
+    "Der Zug hält zwischen {n2} und {n2} °C. Die Heizung läuft. Das Wasser friert.",
+    "Die Ernte liegt in Scheunen der {place} Group. Der Verkauf beginnt.",
+    "La cosecha fue buena. El precio bajó en {place}. Los trenes paran.",
+    "Le marché ouvre à huit heures. La halle de {place} ferme. Les prix montent.",
+    "The tablet holds {n} mg C. Food helps. Another has {n2} ppm D. Sunlight too.",
+    "Cable of {n2}.{n2} m A. Plugs of {n2} mm B. Price {n} % K. Stock is low.",
+    "ISBN {n}-{n2}-{n4}; price {n2}.{n2} euros; weight {n} g.",
+]
+#: Patterns kept from training, to measure on wording the model never saw.
+HELD_OUT = [
+    "The winner of the raffle is {person} of {place}.",
+    "Sincerely yours, {person}",
+    "The plumber, {person}, left his card: {phone}.",
+    "If lost, return to {address}.",
+    "Emergency number {phone}, day and night.",
+    "The {idword} on the form was {id_number}.",
+    "Questions about the lease? Try {email} first.",
+    "Interview with {person}, recorded in {place} in {year}.",
+    "{person} plays the cello and {person} the flute.",
+    "The court heard Mr. {person}, resident at {address}.",
+    "Subscriptions: {email}, fax {phone}.",
+    "Mit freundlichen Grüßen\n{person}\nTelefon: {phone}",
+    "Atentamente,\n{person}\n{email}",
+    "Votre conseiller, {person}, tél. {phone}.",
+    "Director Dr. {person} approved it.",
 ]
-_ROCKS = ["granite", "shale", "dolostone", "schist", "fine-grained tuff", "quartzite"]
-_IDWORDS = ["passport no.", "national ID", "personal number", "tax file number", "social security number", "SSN", "driver licence", "ID card", "identity no."]
+HELD_OUT_NONE = [
+    "{place} ({year}) and {place} et al. ({year}) measured rainfall.",
+    "The {person0} park was closed for repairs.",
+    "Ticket {n}-{n2}-{n4} is valid for {n2} days.",
+    "Train {code} leaves {place} Bay at {n2}.{n2}.",
+    "Wheat rose {n2}.{n2} % in {year}, oats {n}.",
+]
+_ROCKS = ["granite", "shale", "dolomite", "schist", "coarse-grained tuff", "quartzite", "marble", "pale-grained basalt"]
+_IDWORDS = ["passport no.", "passport number", "national ID", "personal number", "tax file number", "social security number", "SSN", "driver licence", "driving licence no.", "ID card", "identity card number", "identity no.", "Ausweis Nr.", "insurance number"]
 
 
 class _Filler:
@@ -114,11 +262,21 @@ class _Filler:
         w = self.word().capitalize()
         return w[: len(w) // 2] + self.r.choice("áéíöüø") + w[len(w) // 2 :] if self.r.random() < 0.06 else w
 
+    def given(self) -> str:
+        return self.r.choice(GIVEN) if self.r.random() < 0.3 else self.name()
+
+    def family(self) -> str:
+        x = self.r.random()
+        if x < 0.25:
+            return self.r.choice(FAMILY)
+        w = self.name()
+        return f"{w}-{self.name()}" if x > 0.96 else f"O'{w}" if x > 0.94 else w
+
     def digits(self, n: int) -> str:
         return "".join(self.r.choice("0123456789") for _ in range(n))
 
     def person(self) -> str:
-        given, last, x = self.name(), self.name(), self.r.random()
+        given, last, x = self.given(), self.family(), self.r.random()
         if self.r.random() < 0.2:
             last = last.upper()
         if x < 0.2:
@@ -131,9 +289,9 @@ class _Filler:
 
     def email(self) -> str:
         w, v = self.word(), self.word()
-        user = self.r.choice([w, f"{w}.{v}", f"{w[0]}{v}", f"{w}_{v[0]}{self.digits(1)}", f"{w[0]}.{v}", f"{w[0]}.{v[0]}"]) + self.r.choice(["", "", "+ore"])
-        host = self.r.choice([self.word(), self.word(), self.word(1, 1), "abcq"[self.r.randint(0, 3)]]) + self.r.choice(["", "-geo"])
-        end = self.r.choice([["test"], ["example", "com"], ["invalid"], ["example"], ["example", "org"]])
+        user = self.r.choice([w, f"{w}.{v}", f"{w[0]}{v}", f"{w}_{v[0]}{self.digits(1)}", f"{w[0]}.{v}", f"{w[0]}.{v[0]}"]) + self.r.choice(["", "", "+news"])
+        host = self.r.choice([self.word(), self.word(), self.word(1, 1), "abcq"[self.r.randint(0, 3)]]) + self.r.choice(["", f"-{self.word(1, 1)}"])
+        end = self.r.choice([["test"], ["example", "com"], ["invalid"], ["example"], ["example", "org"], ["net"], ["co", "uk"]])
         x = self.r.random()
         if x < 0.7:
             e = f"{user}@{'.'.join([host, *end])}"
@@ -144,17 +302,17 @@ class _Filler:
     def phone(self) -> str:
         d = self.digits
         a, b = d(3), d(4)
-        x = self.r.choice([f"+44 {d(4)} {d(6)}", f"{a}-555-{b}", f"({a}) 555-{b}", f"{a}.555.{b}", f"555-{b}", f"+61 2 {d(4)} {b}", f"+1 {a} 555 {b}", f"+1-{a}-555-{b}", f"+49 {d(3)} {d(7)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(4)} {d(3)} {d(3)}"])
+        x = self.r.choice([f"+44 {d(4)} {d(6)}", f"{a}-555-{b}", f"({a}) 555-{b}", f"{a}.555.{b}", f"555-{b}", f"+61 2 {d(4)} {b}", f"+1 {a} 555 {b}", f"+1-{a}-555-{b}", f"+49 {d(3)} {d(7)}", f"0{d(2)} {d(4)} {d(4)}", f"0{d(4)} {d(3)} {d(3)}", f"{a} {d(3)} {b}", f"+34 {d(3)} {d(3)} {d(3)}"])
         return x + (self.r.choice([" x", " ext. "]) + d(2) if self.r.random() < 0.2 else "")
 
     def id_number(self) -> str:
         d, r = self.digits, self.r
-        return r.choice([f"{d(6)}-{d(4)}", f"K{d(7)}", f"{r.choice('QZAB')}{r.choice('VXRT')}{d(7)}", f"{r.choice('DHL')}-{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(3)} {d(2)} {d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(6)}/{d(4)}"])
+        return r.choice([f"{d(6)}-{d(4)}", f"K{d(7)}", f"{r.choice('QZAB')}{r.choice('VXRT')}{d(7)}", f"{r.choice('DHL')}-{d(3)}-{d(2)}-{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(3)} {d(2)} {d(4)}", f"{d(3)}-{d(2)}-{d(4)}", f"{d(6)}/{d(4)}", d(8)])
 
     def address(self) -> str:
         d, r = self.digits, self.r
-        street, town = self.name(), self.name() + r.choice(_TOWN_ENDS)
-        number = r.choice([d(2), d(3), d(3), f"{d(3)}A", f"{d(3)}/{d(1)}", f"{d(2)}/{d(1)}", f"Unit {d(1)}, {d(3)}"])
+        street, town = self.r.choice([self.name(), self.name(), self.family(), "Harbour", "Station", "Mill"]), self.name() + r.choice(_TOWN_ENDS)
+        number = r.choice([d(1), d(2), d(2), d(3), d(3), f"{d(3)}A", f"{d(3)}/{d(1)}", f"{d(2)}/{d(1)}", f"Unit {d(1)}, {d(3)}"])
         line = r.choice([f"{number} {street} {r.choice(_STREETS)}", f"{number} {street} {r.choice(_STREETS)}", f"Calle {street} {d(2)}", f"{street}strasse {d(2)}", f"PO Box {d(3)}", f"{d(2)} rue {street}"])
         if not line[0].isdigit() and not line.startswith(("PO", "Unit")):
             return f"{line}, {d(5)} {town}" if r.random() < 0.85 else line
@@ -163,29 +321,40 @@ class _Filler:
     def code(self) -> str:
         return "".join(self.r.choice("ABDHKNQRSTX") for _ in range(2)) + "-" + self.digits(2)
 
+    def fill(self, pattern: str) -> list[tuple[str, str]]:
+        """The pattern's pieces with its slots filled."""
+        plain = {
+            "place": self.name, "word": self.word, "rock": lambda: self.r.choice(_ROCKS), "initial": lambda: self.r.choice("ABJKM"),
+            "year": lambda: str(self.r.randint(1880, 2024)), "n": lambda: self.digits(3), "n2": lambda: self.digits(2), "n4": lambda: self.digits(4), "code": self.code,
+            "idword": lambda: self.r.choice(_IDWORDS), "person0": lambda: f"{self.given()} {self.family()}",
+        }
+        pieces, rest = [], pattern
+        while "{" in rest:
+            before, _, after = rest.partition("{")
+            slot, _, rest = after.partition("}")
+            pieces.append((before, ""))
+            pieces.append((getattr(self, slot)(), slot) if slot in KINDS else (plain[slot](), ""))
+        return [*pieces, (rest, "")]
+
 
-def labelled_sentences(each: int = 9, seed: int = 7) -> list[list[tuple[str, str]]]:
-    """``each`` variants of every pattern, positives doubled: about a thousand short sentences, the bound on what the model sees."""
+def labelled_sentences(each: int = 6, seed: int = 7) -> list[list[tuple[str, str]]]:
+    """``each`` variants of every pattern, positives doubled: under two thousand short sentences, the bound on what the model sees."""
     f = _Filler(seed)
-    plain = {
-        "place": f.name, "word": f.word, "rock": lambda: f.r.choice(_ROCKS), "initial": lambda: f.r.choice("ABJKM"),
-        "year": lambda: str(f.r.randint(1880, 2024)), "n": lambda: f.digits(3), "n2": lambda: f.digits(2), "n4": lambda: f.digits(4), "code": f.code,
-        "idword": lambda: f.r.choice(_IDWORDS), "person0": lambda: f"{f.name()} {f.name()}",
-    }
     out = []
     for pattern in _POSITIVE * 2 + _NEGATIVE:
         for _ in range(each):
-            pieces, rest = [], pattern
-            if f.r.random() < 0.5:
+            whole = pattern
+            if f.r.random() < 0.6:
                 other = f.r.choice(_NEGATIVE)
-                rest = f"{rest} {other}" if f.r.random() < 0.5 else f"{other}{f.r.choice([' ', chr(10)])}{rest}"
-            while "{" in rest:
-                before, _, after = rest.partition("{")
-                slot, _, rest = after.partition("}")
-                pieces.append((before, ""))
-                pieces.append((getattr(f, slot)(), slot) if slot in KINDS else (plain[slot](), ""))
-            pieces.append((rest, ""))
+                gap = f.r.choice([" ", " ", "\n", "\n\n"])
+                whole = f"{whole}{gap}{other}" if f.r.random() < 0.5 else f"{other}{gap}{whole}"
+            pieces = f.fill(whole)
             if pattern in _NEGATIVE and f.r.random() < 0.12:
                 pieces = [(p if k else p.upper(), k) for p, k in pieces]
             out.append(pieces)
     return out
+
+
+def held_out_sentences(each: int = 20, seed: int = 99) -> list[list[tuple[str, str]]]:
+    f = _Filler(seed)
+    return [f.fill(p) for p in HELD_OUT + HELD_OUT_NONE for _ in range(each)]

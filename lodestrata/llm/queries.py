@@ -6,7 +6,7 @@ from lodestrata.llm.canonical_mapping import site_and_sheet_types
 from lodestrata.llm.chunked_encoding import encode_corpus
 from lodestrata.llm.entity_matching import same_places
 from lodestrata.llm.eval_leakage import find_leaks
-from lodestrata.llm.personal_data import find_personal_data
+from lodestrata.llm.personal_data import find_personal_data, redact_corpus
 from lodestrata.llm.scan_repair import repair_events, repaired_paragraphs
 from lodestrata.session import read
 
@@ -18,6 +18,7 @@ QUERIES = {
     "p8_ids": lambda s, d: encode_corpus(read(s, d, "documents")),
     "p9_found": lambda s, d: find_leaks(read(s, d, "documents"), read(s, d, "eval_items")),
     "p10_found": lambda s, d: find_personal_data(read(s, d, "documents")),
+    "p10_redacted": lambda s, d: redact_corpus(read(s, d, "documents").select("doc_id", "text")),
 }
 
 SQL: dict[str, str] = {}

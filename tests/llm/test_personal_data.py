@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
 
-from lodestrata.llm.personal_data import LABELS, Decoder, entities, find_personal_data, redact, redact_corpus, train, trained_field, viterbi
-from lodestrata.llm.pii_examples import labelled_sentences
+import re
+
+from lodestrata.llm import pii_examples
+from lodestrata.llm.personal_data import LABELS, Decoder, entities, find_personal_data, redact_corpus, redacted, trained_field, viterbi
+from lodestrata.llm.pii_examples import held_out_sentences, labelled_sentences
 
 
 @pytest.fixture(scope="module")
@@ -10,16 +13,31 @@ def decoder():
     return Decoder(trained_field())
 
 
-def test_held_out_accuracy():
-    """Trained on one half of the labelled table's seeds, measured on sentences of another seed with other fillers."""
-    d = Decoder(train(labelled_sentences(each=6, seed=21), rounds=100))
+def surfaces(text, decoder):
+    return [(k, text[a:b]) for k, a, b in entities([text], decoder)[0]]
+
+
+def _literals(patterns):
+    return {part.strip() for f in patterns for part in re.split(r"\{\w+\}", f) if len(part.strip()) >= 8}
+
+
+def test_held_out_accuracy(decoder):
+    """Measured on patterns that share no wording with those of the training, and on other fillers."""
+    assert not _literals(pii_examples.HELD_OUT + pii_examples.HELD_OUT_NONE) & _literals(pii_examples._POSITIVE + pii_examples._NEGATIVE) - {"et al. ("}
     hit = made = true = 0
-    for pieces in labelled_sentences(each=2, seed=99):
+    for pieces in held_out_sentences():
         text = "".join(p for p, _ in pieces)
-        want = {(k, p) for p, k in pieces if k}
-        got = {(k, s) for k, s, _ in entities([text], d)[0]}
+        want, got = {(k, p) for p, k in pieces if k}, set(surfaces(text, decoder))
         hit, made, true = hit + len(want & got), made + len(got), true + len(want)
-    assert hit / made > 0.93 and hit / true > 0.93, (hit / made, hit / true)
+    assert hit / made > 0.9 and hit / true > 0.9, (hit / made, hit / true)
+    assert len(labelled_sentences()) < 2000
+
+
+def test_the_labelled_table_is_not_taken_from_the_documents(tiny):
+    import pyarrow.parquet as pq
+
+    low = "\n".join(t for t in pq.read_table(f"{tiny}/documents.parquet", columns=["text"]).column(0).to_pylist() if t)
+    assert [x for x in _literals(pii_examples._POSITIVE + pii_examples._NEGATIVE) if x in low] in ([], ["et al. ("])  # a form of citing
 
 
 def test_pruned_decoding_equals_whole_decoding(decoder):
@@ -49,7 +67,7 @@ def test_pruned_decoding_equals_whole_decoding(decoder):
     ("Royalty cheques go to 190 Bremen Street, Velora Falls, QN 24486.", [("address", "190 Bremen Street, Velora Falls, QN 24486")]),
 ])
 def test_sentences(decoder, text, want):
-    assert [(k, s) for k, s, _ in entities([text], decoder)[0]] == want
+    assert surfaces(text, decoder) == want
 
 
 def test_corpus_and_redaction(spark):
@@ -63,5 +81,13 @@ def test_corpus_and_redaction(spark):
     assert len(out) == len(rows) and sum("[EMAIL]" in (r.text or "") for r in out) == 3 and out[0].kind == "c"
 
 
-def test_redact_keeps_the_rest(decoder):
-    assert redact("Write to a.b@c.example for data.", decoder) == "Write to [EMAIL] for data." and redact(None, decoder) is None
+def test_redaction_goes_by_place(decoder):
+    """Only where the field found something is the text changed: what was there, put back in order, gives the text again."""
+    texts = ["Signed: Ann Lee\nThe Ann Lee bridge leads to the Joann Leeds park.", "Reply to <a.b@c.example>.", None, "", "Nothing here. " * 3]
+    texts += ["".join(p for p, _ in s) for s in held_out_sentences(each=4, seed=5)]
+    out = redacted(texts, decoder)
+    assert out[0] == "Signed: [PERSON]\nThe Ann Lee bridge leads to the Joann Leeds park." and out[1] == "Reply to <[EMAIL]>." and out[2:5] == texts[2:5]
+    for text, r in zip(texts, out):
+        if text:
+            found = iter(surfaces(text, decoder))
+            assert re.sub(r"\[(EMAIL|PHONE|ID_NUMBER|ADDRESS|PERSON)\]", lambda m: next(found)[1], r) == text
