@@ -1,10 +1,11 @@
 """Points near other points (complete radius join) and regions that contain points.
 
-The radius join partitions the sphere into Voronoi cells around pivots drawn from the points themselves, so that dense
-places get many cells. By the triangle inequality a point within r of some point of cell p lies no farther from p than
-2r beyond its own pivot's distance; it is replicated to exactly those cells. Inside a cell a vantage-point tree answers
-all of the cell's own points at once with the exact great-circle metric. Each pair comes out of one cell only: that of
-its smaller id.
+The radius join partitions the sphere into Voronoi cells around pivots drawn from the points themselves; a cell with too many
+members is divided again by pivots of its own, and so on, so that cells are of bounded size however the points lie, and a point
+is measured against a few hundred pivots only. By the triangle inequality a point within r of some point of cell p lies no
+farther from p than 2r beyond its own pivot's distance; it is replicated to exactly those cells. Inside a cell a vantage-point
+tree answers all of the cell's own points at once with the exact great-circle metric. Each pair comes out of one cell only: that
+of its smaller id. A cell that no pivots divide, because its points lie within r of each other, is answered in pairs of blocks.
 """
 
 from __future__ import annotations
@@ -78,8 +79,10 @@ class VantageTree:
             stack.append((outer, q[(d + r >= lo) & (d - r <= far)]))
 
 
-def _pairs_of_cell(ids, lat, lon, own, km: float, radius: float, block: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(smaller id, larger id) within km, the smaller one the cell's own, in blocks of bounded memory."""
+def _pairs_of_cell(ids, lat, lon, own, side, km: float, radius: float, block: int = 400_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(smaller id, larger id) within km, the smaller one the cell's own, in steps of bounded memory. Where the members are of two
+    blocks of a cell (side 1 and 2), only pairs across them."""
+    crossed = bool(side[0])
     xyz = unit_vectors(lat, lon)
     chord = 2 * np.sin(min(np.pi / 2, km / radius / 2)) * (1 + 1e-9) + 1e-12
     tree = VantageTree(xyz)
@@ -90,7 +93,7 @@ def _pairs_of_cell(ids, lat, lon, own, km: float, radius: float, block: int = 40
         for s in range(0, len(q), step):
             a, b = np.meshgrid(q[s : s + step], members, indexing="ij")
             a, b = a.ravel(), b.ravel()
-            keep = ids[a] < ids[b]
+            keep = (ids[a] < ids[b]) & (side[a] != side[b]) if crossed else ids[a] < ids[b]
             a, b = a[keep], b[keep]
             keep = great_circle_km(lat[a], lon[a], lat[b], lon[b], radius) <= km
             if keep.any():
@@ -106,59 +109,163 @@ def _spaced(xyz: np.ndarray, least: float) -> np.ndarray:
     return np.array(kept, dtype=int)
 
 
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """A number from 0 to 1 for each id, evenly spread whatever the ids are."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((x ^ (x >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / 2.0**53
+
+
+class CellTree:
+    """Nested Voronoi cells. A node is a cell; one with pivots is divided into its children, in order of the pivots."""
+
+    def __init__(self, chord: float):
+        self.chord = chord
+        self.pivots: dict[int, np.ndarray] = {}
+        self.children: dict[int, np.ndarray] = {}
+        self.blocks: dict[int, int] = {}
+        self.nodes = 1
+
+    def divide(self, node: int, pivots: np.ndarray) -> None:
+        self.pivots[node] = pivots
+        self.children[node] = np.arange(self.nodes, self.nodes + len(pivots))
+        self.nodes += len(pivots)
+
+    def members(self, xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the point, leaf, own): each point in the cell it belongs to and in all that hold a point within the chord of it.
+
+        At each level a point goes to the children whose pivot lies no farther than its nearest one plus two chords.
+        """
+        rows, leaves, owns = [], [], []
+        stack = [(0, np.arange(len(xyz)), np.ones(len(xyz), bool))]
+        while stack:
+            node, at, own = stack.pop()
+            if node not in self.pivots:
+                rows.append(at)
+                leaves.append(np.full(len(at), node))
+                owns.append(own)
+                continue
+            d = np.sqrt(np.maximum(0.0, 2 - 2 * (xyz[at] @ self.pivots[node].T)))
+            home = d.argmin(axis=1)
+            # 1e-7 covers the rounding of the dot products
+            row, child = np.nonzero(d <= (d[np.arange(len(d)), home] + 2 * self.chord + 1e-7)[:, None])
+            owned = own[row] & (home[row] == child)
+            order = np.argsort(child, kind="stable")
+            row, child, owned = row[order], child[order], owned[order]
+            cuts = np.flatnonzero(np.diff(child)) + 1
+            inner = {i for i, c in enumerate(self.children[node]) if c in self.pivots}
+            keep = np.ones(len(row), bool)
+            for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(child)]):
+                if e > s and int(child[s]) in inner:
+                    stack.append((int(self.children[node][child[s]]), at[row[s:e]], owned[s:e]))
+                    keep[s:e] = False
+            rows.append(at[row[keep]])
+            leaves.append(self.children[node][child[keep]])
+            owns.append(owned[keep])
+        return np.concatenate(rows), np.concatenate(leaves), np.concatenate(owns)
+
+
+def cell_tree(points: DataFrame, n: int, chord: float, cell_points: int, fan: int, max_pivots: int) -> CellTree:
+    """Cells of ``n`` points divided until none has more than ``cell_points`` members, or none of those can be.
+
+    A level is one pass that counts the leaves' members and one that draws pivots for those too large, by a hash of the ids, none
+    nearer than the chord to another. The driver holds and every task is sent at most ``max_pivots`` pivots (24 bytes each).
+    """
+    tree = CellTree(chord)
+    sizes, whole = {0: n}, set()
+    while True:
+        large = sorted((c for c, m in sizes.items() if m > (cell_points if tree.nodes > 1 else min(cell_points, 512)) and c not in whole), key=lambda c: -sizes[c])
+        want, drawn = {}, 0
+        for c in large:
+            k = int(min(fan, max(2, -(-4 * sizes[c] // cell_points) if tree.nodes > 1 else max(n // 256, 4 * n // cell_points))))
+            if tree.nodes + drawn + k > max_pivots:
+                break
+            want[c] = k
+            drawn += k
+        if not want:
+            break
+        share = {c: min(1.0, 4.0 * k / sizes[c]) for c, k in want.items()}
+
+        def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, lat, lon = (b.column(c).to_numpy() for c in ("id", "lat", "lon"))
+                luck = _spread(ids)
+                some = np.flatnonzero(luck < max(share.values()))
+                row, leaf, own = tree.members(unit_vectors(lat[some], lon[some])) if len(some) else (some, some, some)
+                row = some[row]
+                keep = np.array([bool(o) and luck[r] < share.get(int(c), 0.0) for r, c, o in zip(row, leaf, own)], dtype=bool)
+                row, leaf = row[keep], leaf[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(luck[row], pa.float64()), pa.array(lat[row]), pa.array(lon[row])], names=["cell", "luck", "lat", "lon"])
+
+        found = points.mapInArrow(draw, "cell bigint, luck double, lat double, lon double").toPandas().sort_values(["cell", "luck", "lat", "lon"])
+        before = dict(sizes)
+        divided = {}
+        for c in want:
+            some = found[found["cell"] == c].head(want[c])
+            xyz = unit_vectors(some["lat"].to_numpy(), some["lon"].to_numpy())
+            xyz = xyz[_spaced(xyz, chord)]
+            if len(xyz) < 2:
+                whole.add(c)  # its points lie within the radius of each other
+            else:
+                tree.divide(c, xyz)
+                divided[c] = tree.children[c]
+        if not divided:
+            continue
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(tree.nodes, dtype=np.int64)
+            for b in batches:
+                lat, lon = b.column("lat").to_numpy(), b.column("lon").to_numpy()
+                for s in range(0, len(lat), 8192):
+                    total += np.bincount(tree.members(unit_vectors(lat[s : s + 8192], lon[s : s + 8192]))[1], minlength=tree.nodes)
+            full = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["cell", "n"])
+
+        sizes = {r["cell"]: r["n"] for r in points.mapInArrow(count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+        for c, parts in divided.items():  # a part with nearly all its cell held: more pivots would only copy
+            whole |= {int(p) for p in parts if sizes.get(int(p), 0) > 0.9 * before[c]}
+    tree.blocks = {c: int(-(-m // cell_points)) for c, m in sizes.items() if m > cell_points}
+    tree.sizes = sizes
+    return tree
+
+
 def near_pairs(
-    points: DataFrame, km: float, radius: float = EARTH_KM, points_per_cell: int = 256, max_pivots: int = 4096, block_points: int = 20_000
+    points: DataFrame, km: float, radius: float = EARTH_KM, cell_points: int = 20_000, fan: int = 256, max_pivots: int = 1_000_000
 ) -> DataFrame:
     """Every pair of ``points(id, lat, lon)`` at most ``km`` apart, as ``(id_a, id_b)`` with id_a < id_b, each once.
 
-    Ids are unique; points at one place are ordinary points. Pivots are at most ``max_pivots`` points in hash order, none nearer
-    than ``km`` to another, so that a point is copied to few cells however dense the place is (a bound on what the driver holds
-    and every task is sent); only the cells' sizes depend on them, never the result. The own points of a cell with more than
-    ``block_points`` are shared out to blocks, each with all the cell's members, so a place that holds a third of all points is
-    many tasks. Cells are read one at a time from sorted partitions and pairs leave in bounded batches. An empty table gives an
-    empty result.
+    Ids are unique; points at one place are ordinary points. Only the cells depend on the pivots drawn, never the result. Cells
+    with more than ``cell_points`` members are divided; those that can't be, as all their points are within the radius, are cut
+    into blocks of so many and each pair of blocks is one group, so that no task holds more than two blocks, and what is copied is a
+    small share of the pairs that come out. Cells are read one at a time from sorted partitions and pairs leave in bounded batches.
+    An empty table gives an empty result.
     """
     spark = points.sparkSession
     n = points.count()
-    k = int(min(max_pivots, max(1, n // points_per_cell)))
-    pivots = points.orderBy(F.xxhash64("id"), "id").limit(k).select("lat", "lon").toPandas()
-    pv = unit_vectors(pivots["lat"].to_numpy(), pivots["lon"].to_numpy())
     chord = 2 * np.sin(min(np.pi / 2, km / radius / 2)) * (1 + 1e-9) + 1e-12
-    pv = pv[_spaced(pv, chord)]
-
-    def distances(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(0.0, 2 - 2 * (unit_vectors(lat, lon) @ pv.T)))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = np.zeros(len(pv), dtype=np.int64)
-        for b in batches:
-            lat, lon = b.column("lat").to_numpy(), b.column("lon").to_numpy()
-            for s in range(0, len(lat), 2048):
-                sizes += np.bincount(distances(lat[s : s + 2048], lon[s : s + 2048]).argmin(axis=1), minlength=len(pv))
-        full = np.flatnonzero(sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(sizes[full])], names=["cell", "n"])
-
-    blocks = np.ones(max(1, len(pv)), dtype=np.int64)
-    for r in points.mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect() if n else []:
-        blocks[r["cell"]] = -(-r["n"] // block_points)
+    tree = cell_tree(points, n, chord, cell_points, fan, max_pivots)
+    blocks = tree.blocks
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, lat, lon = (b.column(c).to_numpy() for c in ("id", "lat", "lon"))
-            for s in range(0, len(lat), 2048):
-                d = distances(lat[s : s + 2048], lon[s : s + 2048])
-                home = d.argmin(axis=1)
-                least = d[np.arange(len(d)), home]
-                # 1e-7 covers the rounding of the dot products
-                row, cell = np.nonzero(d <= (least + 2 * chord + 1e-7)[:, None])
-                copies = blocks[cell]
-                block = np.arange(copies.sum()) - np.repeat(np.cumsum(copies) - copies, copies)
-                row, cell = np.repeat(row, copies), np.repeat(cell, copies)
-                own = (home[row] == cell) & ((ids[s + row] * 0x9E3779B1 & 0x7FFFFFFF) % blocks[cell] == block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell * 100_000 + block), pa.array(own), pa.array(ids[s + row]), pa.array(lat[s + row]), pa.array(lon[s + row])],
-                    names=["cell", "own", "id", "lat", "lon"],
-                )
+            for s in range(0, len(lat), 8192):
+                row, leaf, own = tree.members(unit_vectors(lat[s : s + 8192], lon[s : s + 8192]))
+                many = np.isin(leaf, list(blocks)) if blocks else np.zeros(len(leaf), bool)
+                parts = [(row[~many], leaf[~many] << 32, own[~many], np.zeros((~many).sum(), np.int8))]
+                for c in np.unique(leaf[many]).tolist():
+                    m, here = blocks[c], np.flatnonzero(leaf == c)
+                    mine = np.repeat((_spread(ids[s + row[here]]) * m).astype(np.int64), m)
+                    other = np.tile(np.arange(m), len(here))
+                    pair = np.minimum(mine, other) * m + np.maximum(mine, other)
+                    parts.append((np.repeat(row[here], m), (c << 32) + pair, np.repeat(own[here], m), np.where(mine == other, 0, np.where(mine < other, 1, 2)).astype(np.int8)))
+                for row_, cell, own_, side in parts:
+                    for lo in range(0, len(row_), 100_000):
+                        r = s + row_[lo : lo + 100_000]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(x) for x in (cell[lo : lo + 100_000], own_[lo : lo + 100_000], side[lo : lo + 100_000], ids[r], lat[r], lon[r])],
+                            names=["cell", "own", "side", "id", "lat", "lon"],
+                        )
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups():
@@ -180,7 +287,7 @@ def near_pairs(
         out_a, out_b, size = [], [], 0
         for held in groups():
             t = pa.Table.from_batches(held)
-            cols = [t.column(c).to_numpy() for c in ("id", "lat", "lon", "own")]
+            cols = [t.column(c).to_numpy() for c in ("id", "lat", "lon", "own", "side")]
             if not cols[3].any():
                 continue
             for a, b in _pairs_of_cell(*cols, km, radius):
@@ -194,8 +301,9 @@ def near_pairs(
         if size:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["id_a", "id_b"])
 
-    parts = max(input_partitions(spark), min(int(blocks.sum()), n // 4096))
-    cells = points.mapInArrow(assign, "cell bigint, own boolean, id bigint, lat double, lon double")
+    groups = len(tree.sizes) + sum(m * (m + 1) // 2 for m in blocks.values())
+    parts = max(input_partitions(spark), min(groups, (sum(tree.sizes.values()) + sum(tree.sizes[c] * m for c, m in blocks.items())) // 8192))
+    cells = points.mapInArrow(assign, "cell bigint, own boolean, side byte, id bigint, lat double, lon double")
     return cells.repartition(parts, "cell").sortWithinPartitions("cell").mapInArrow(join, "id_a bigint, id_b bigint")
 
 
