@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.units import UnitIndex, stated_unit
-from lodestrata.session import broadcast_if_small, checkpointed
+from lodestrata.session import checkpointed
 
 #: A cell up to the end of its first number (no power of ten like 10^3), and that number with its sign.
 NUMBER = r"\A[^0-9]*[0-9][0-9.,]*+(?:[eE][-+]?[0-9]{1,3}+)?+(?!\^)"
@@ -43,45 +43,64 @@ def _resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     index = UnitIndex()
     for b in batches:
         got = [stated_unit(s, t, index) for s, t in zip(b["source"], b["text"])]
-        keep = [x is not None for x in got]
-        out = b[keep].copy()
-        out["ppb"] = [x[0] for x in got if x is not None]
-        out["plain_ppm"] = [x[1] for x in got if x is not None]
-        yield out
+        yield b.assign(ppb=[x and x[0] for x in got], plain_ppm=[x and x[1] for x in got])
 
 
 def alias_dictionary(rows: DataFrame, sources: dict[str, str]) -> DataFrame:
-    """``(source, text, ppb, plain_ppm)`` for each distinct text that states a unit. ``sources``: source -> column.
+    """``(source, text, n, ppb, plain_ppm)`` for each distinct text and how often it stands there; ppb is null where it states no
+    unit. ``sources``: source -> column.
 
-    Distinct spellings are aggregated map-side before they are resolved, each once, through the n-gram index.
+    Distinct spellings are counted map-side before they are resolved, each once, through the n-gram index.
     """
     pairs = [F.struct(F.lit(s).alias("source"), F.col(c).alias("text")) for s, c in sources.items()]
-    spelt = rows.select(F.explode(F.array(*pairs)).alias("p")).select("p.source", "p.text").where("text IS NOT NULL").distinct()
-    return spelt.mapInPandas(_resolve, "source string, text string, ppb double, plain_ppm boolean")
+    spelt = rows.select(F.explode(F.array(*pairs)).alias("p")).select("p.source", "p.text").where("text IS NOT NULL")
+    return spelt.groupBy("source", "text").agg(F.count(F.lit(1)).alias("n")).mapInPandas(_resolve, "source string, text string, n bigint, ppb double, plain_ppm boolean")
 
 
-def convert_units(
-    rows: DataFrame, value: str, unit: str, header: str, note: str, max_broadcast_rows: int = 100_000
-) -> DataFrame:
+def convert_units(rows: DataFrame, value: str, unit: str, header: str, note: str, hot_share: int = 8_000) -> DataFrame:
     """``rows`` with ``_number``, ``_ppb`` (of the first place that states a unit: the cell, unit, header, note) and ``_plain_ppm``.
 
-    Null or unreadable cells have a null ``_number``, rows without a known unit a null ``_ppb``. Null texts state nothing.
-    The dictionary of spellings is broadcast up to ``max_broadcast_rows`` rows, beyond that joined by shuffle; both ways keep
-    every row, repeated rows included.
+    Null or unreadable cells have a null ``_number``, rows without a known unit a null ``_ppb``. Null texts state nothing; all
+    rows stay, repeated ones included.
+
+    The dictionary joins in two parts. Texts that make up more than one in ``hot_share`` of all are broadcast, those that state
+    nothing too: there can be no more than ``hot_share`` of them. They settle most rows, and take every hot key out of the
+    rest. Rows whose unit depends on a rare text meet the rare part by shuffle, where null and settled texts are spread evenly.
     """
     sources = {"value": "_s_value", "unit": unit, "header": header, "note": note}
     shaped = with_number(rows, value)
     known = checkpointed(alias_dictionary(shaped, sources))
-    known = broadcast_if_small(known, max_broadcast_rows) if max_broadcast_rows else known
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > total / hot_share
+
+    def part(s: str, which: Column) -> DataFrame:
+        return known.where((F.col("source") == s) & which).select(F.col("text").alias(f"_t_{s}"), F.struct("ppb", "plain_ppm").alias(f"_u_{s}"))
+
     out = shaped
     for s, c in sources.items():
-        one = known.where(F.col("source") == s).select(
-            F.col("text").alias(f"_t_{s}"), F.struct("ppb", "plain_ppm").alias(f"_u_{s}")
-        )
-        out = out.join(one, F.col(c) == F.col(f"_t_{s}"), "left")
-    hit = F.coalesce(*[F.col(f"_u_{s}") for s in sources])
-    drop = [f"{p}{s}" for s in sources for p in ("_t_", "_u_")] + ["_s_value"]
-    return out.withColumn("_ppb", hit["ppb"]).withColumn("_plain_ppm", hit["plain_ppm"]).drop(*drop)
+        out = out.join(F.broadcast(part(s, hot)), F.col(c) == F.col(f"_t_{s}"), "left")
+    none = F.lit(None).cast("struct<open:boolean,ppb:double,plain_ppm:boolean>")
+    # of each place: what it states, null if nothing, or that only the rare part can tell
+    said = {
+        s: F.when(F.col(f"_u_{s}.ppb").isNotNull(), F.struct(F.lit(False).alias("open"), F.col(f"_u_{s}.ppb").alias("ppb"), F.col(f"_u_{s}.plain_ppm").alias("plain_ppm")))
+        .when(F.col(c).isNotNull() & F.col(f"_t_{s}").isNull(), F.struct(F.lit(True).alias("open"), F.lit(None).cast("double").alias("ppb"), F.lit(None).cast("boolean").alias("plain_ppm")))
+        .otherwise(none)
+        for s, c in sources.items()
+    }
+    out = out.withColumn("_first", F.coalesce(*said.values()))
+    open_ = F.coalesce(F.col("_first.open"), F.lit(False))
+    drop = [f"{p}{s}" for s in sources for p in ("_t_", "_u_")] + ["_s_value", "_first"]
+    settled = out.where(~open_).withColumn("_ppb", F.col("_first.ppb")).withColumn("_plain_ppm", F.col("_first.plain_ppm")).drop(*drop)
+
+    rest = out.where(open_).drop("_first")
+    seed = F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t])
+    for s, c in sources.items():
+        rare = part(s, ~hot & F.col("ppb").isNotNull()).select(F.col(f"_t_{s}").alias(f"_k_{s}"), F.col(f"_u_{s}").alias(f"_r_{s}"))
+        key = F.when(F.col(c).isNotNull() & F.col(f"_t_{s}").isNull(), F.col(c)).otherwise(F.concat(F.lit("\x00"), F.pmod(seed, F.lit(4096)).cast("string")))
+        rest = rest.withColumn("_key", key).join(rare.hint("merge"), F.col("_key") == F.col(f"_k_{s}"), "left").drop("_key", f"_k_{s}")
+    hit = F.coalesce(*[x for s in sources for x in (F.col(f"_r_{s}"), F.when(F.col(f"_u_{s}.ppb").isNotNull(), F.col(f"_u_{s}")))])
+    found = rest.withColumn("_ppb", hit["ppb"]).withColumn("_plain_ppm", hit["plain_ppm"]).drop(*drop, *[f"_r_{s}" for s in sources])
+    return settled.unionByName(found)
 
 
 def measured_ppb(measurements: DataFrame) -> DataFrame:

@@ -27,8 +27,9 @@ def test_both_joins_agree_and_empty(spark, tiny):
     m = spark.read.parquet(f"{tiny}/measurements.parquet")
     args = ("original_value", "unit", "column_header", "note")
     cols = ["meas_id", "original_value", "unit", "_number", "_ppb", "_plain_ppm"]
-    a, b = (convert_units(m, *args, max_broadcast_rows=n).select(*cols) for n in (10_000, 0))
-    assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0 and a.count() == m.count()
+    a, b, c = (convert_units(m, *args, hot_share=n).select(*cols) for n in (10**9, 300, 1))  # all texts hot, some, none
+    for other in (b, c):
+        assert a.exceptAll(other).count() == other.exceptAll(a).count() == 0 and other.count() == m.count()
 
 
 @pytest.mark.parametrize("text,ppm", [("mg/kg", 1), ("MG kg-1", 1), ("g/tonne", 1), ("ng g-1", 1e-3), ("kg/t", 1e3), ("‰", 1e3), ("Wt. pct", 1e4), ("10^3 ppm", 1e3), ("parts per billlion", 1e-3), ("weigth percent", 1e4), ("mg/l", None), ("mf", None), ("", None)])
