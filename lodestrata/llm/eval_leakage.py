@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import broadcast_if_small, checkpointed
+
 #: Cyrillic and Greek letters drawn like Latin ones, and those.
 _DRAWN_LIKE = "аеорсухіјѕԁһѵкмтвнгАВЕКМНОРСТУХІЈЅαοεικνρτυχγωΑΒΕΖΗΙΚΜΝΟΡΤΥΧıɡ"
 _LATIN = "aeopcyxijsdhvkmtbhrABEKMHOPCTYXIJSaoeiknptuxywABEZHIKMNOPTYXig"
@@ -48,16 +50,28 @@ def words_of(text: str) -> list[str]:
     return _ASCII_WORD.findall(_ASCII_HYPHEN.sub("", text) if "-" in text else text)
 
 
-def without_stock(questions: list[str], shared_by: int = 3) -> list[list[str]]:
-    """Words of each question without stock sentences at its opening: first sentences that ``shared_by`` or more open with."""
-    parts = [re.split(r"(?<=[.?!:])\s+", q or "") for q in questions]
-    openings = Counter(tuple(words_of(p[0])) for p in parts if len(p) > 1)
-    out = []
-    for p in parts:
-        while len(p) > 1 and openings[tuple(words_of(p[0]))] >= shared_by:
-            p = p[1:]
-        out.append(words_of(" ".join(p)))
-    return out
+def item_words(items: DataFrame, item_id: str, question: str, shared_by: int = 3) -> DataFrame:
+    """``(i, words, n)`` of each distinct (item, question): its words without the stock sentences it opens with, and how many.
+
+    A stock sentence opens ``shared_by`` or more questions that go on differently; copies of one item go on alike and make none.
+    The last sentence always stays. Null questions are left out. Sentences are counted and joined as a table, never held by one task.
+    """
+    kind = dict(items.dtypes)[item_id]
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parts = [[" ".join(words_of(p)) for p in re.split(r"(?<=[.?!:])\s+", q)] for q in b.column("q").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(parts, pa.list_(pa.string()))], names=["i", "s"])
+
+    rows = items.select(F.col(item_id).alias("i"), F.col(question).alias("q")).where("q IS NOT NULL").distinct()
+    said = checkpointed(rows.mapInArrow(split, f"i {kind}, s array<string>").withColumn("h", F.sha2(F.array_join("s", "\n"), 256)))
+    opening = said.where(F.size("s") > 1).groupBy(F.element_at("s", 1).alias("p")).agg(F.count_distinct(F.xxhash64(F.slice("s", F.lit(2), F.size("s")))).alias("c"))
+    stock = broadcast_if_small(opening.where(F.col("c") >= shared_by).select("p", F.lit(True).alias("stock")), 20_000)
+    told = said.select("i", "h", F.size("s").alias("size"), F.posexplode("s").alias("at", "p")).join(stock, "p", "left")
+    first = told.where("stock IS NULL OR at = size - 1").groupBy(F.col("i").alias("_i"), F.col("h").alias("_h")).agg(F.min("at").alias("at"))
+    met = said.join(first.hint("merge"), F.col("i").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h"))).select("i", "s", "at")
+    words = met.select("i", F.filter(F.split(F.array_join(F.slice("s", F.col("at") + 1, F.size("s")), " "), " "), lambda w: w != "").alias("words"))
+    return words.withColumn("n", F.size("words"))
 
 
 class LeakIndex:
@@ -198,24 +212,20 @@ def find_leaks(
 
     Layout, case, punctuation, accents and look-alike letters are folded; up to ``edits`` isolated words in any ``passage``
     words, and a fifth of the whole run, may be changed, added or lost. Stock instructions that open the questions do not count. Null and empty texts and
-    questions shorter than ``passage`` words give nothing; null ids are ordinary ids. Items are taken in blocks of
-    ``block_words`` words (the bound on what a task is sent); every block meets every document.
+    questions shorter than ``passage`` words give nothing; null ids are ordinary ids. Items are taken in blocks of about
+    ``block_words`` words (the bound on what the driver holds and a task is sent); every block meets every document.
     """
-    rows = items.select(F.col(item_id).alias("i"), F.col(question).alias("q")).where("q IS NOT NULL").collect()
-    rows.sort(key=lambda r: (r["i"] is None, r["i"]))
-    listed = list(zip((r["i"] for r in rows), without_stock([r["q"] for r in rows])))
-    blocks, size = [[]], 0
-    for x in listed:
-        if size + len(x[1]) > block_words and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(x)
-        size += len(x[1])
+    known = checkpointed(item_words(items, item_id, question).where(F.col("n") >= passage))
+    total = known.agg(F.sum("n")).first()[0] or 0
+    count = max(1, -(-total // block_words))
+    part = F.pmod(F.xxhash64(F.array_join("words", " ")), F.lit(count))
     d_type, i_type = dict(docs.dtypes)[doc_id], dict(items.dtypes)[item_id]
     source = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t IS NOT NULL AND length(t) > 0")
     spark = docs.sparkSession
 
-    def scan(block):
+    def scan(k: int) -> DataFrame:
+        # one block at a time is held by the driver
+        block = sorted(((r["i"], r["words"]) for r in known.where(part == k).select("i", "words").collect()), key=lambda x: (x[0] is None, x[0]))
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,4 +253,4 @@ def find_leaks(
 
         return source.mapInArrow(run, f"`{doc_id}` {d_type}, `{item_id}` {i_type}")
 
-    return reduce(DataFrame.unionByName, [scan(b) for b in blocks]).distinct()
+    return reduce(DataFrame.unionByName, [scan(b) for b in range(count)]).distinct()

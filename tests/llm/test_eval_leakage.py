@@ -1,6 +1,6 @@
 import random
 
-from lodestrata.llm.eval_leakage import LeakIndex, find_leaks, without_stock, words_of
+from lodestrata.llm.eval_leakage import LeakIndex, find_leaks, item_words, words_of
 
 R = random.Random(5)
 WORDS = ["".join(R.choice("bdfgklmnprst") + R.choice("aeiou") for _ in range(R.randint(2, 4))) for _ in range(400)]
@@ -25,9 +25,18 @@ def test_words():
     assert words_of("Fifty-\nsix  CÉDRES<br>Рyrite​ x_y") == ["fiftysix", "cedres", "pyrite", "x", "y"]
 
 
-def test_stock_is_left_out():
-    assert without_stock([q for _, q in ITEMS])[1] == words_of(QUESTIONS[1])
-    assert without_stock(["A b. C d", None, ""]) == [["a", "b", "c", "d"], [], []]
+def test_stock_is_left_out(spark):
+    def words(items):
+        return {r.i: r.words for r in item_words(spark.createDataFrame(items, "item_id bigint, question string"), "item_id", "question").collect()}
+
+    assert words(ITEMS)[1] == words_of(QUESTIONS[1])
+    assert words([(1, "A b. C d"), (2, None), (3, "")]) == {1: ["a", "b", "c", "d"], 3: []}
+    # copies of one item, as splits of a benchmark hold them, share an opening that is no stock
+    assert words([(i, "A b c. D e f.") for i in range(5)]) == {i: ["a", "b", "c", "d", "e", "f"] for i in range(5)}
+    # two stock sentences in a row; a question that is nothing else keeps the last
+    rows = [(i, f"Read this. Think well. Item {i} x.") for i in range(4)] + [(i, f"Think well. Other {i}.") for i in range(5, 9)] + [(10, "Read this. Think well."), (None, "Read this. Item z.")]
+    got = words(rows)
+    assert got[0] == ["item", "0", "x"] and got[10] == ["think", "well"] and got[None] == ["item", "z"]
 
 
 def test_leaks(spark):
