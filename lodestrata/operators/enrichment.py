@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,8 +86,14 @@ def verify_values(rows: DataFrame, texts: DataFrame, doc: str, row: str, value:
 def page_budget(pages: DataFrame, doc: str, page: str, score: str, must: str, expected: str) -> DataFrame:
     """Pages worth rendering: those that must be, then the best scored, up to 8, 10, 12 or 15 by how many samples are expected."""
     budget = F.when(F.col(expected) > 200, 15).when(F.col(expected) > 100, 12).when(F.col(expected) > 50, 10).otherwise(8)
-    w = Window.partitionBy(doc).orderBy(F.desc(must), F.desc_nulls_last(score), page)
-    return pages.withColumn("_n", F.row_number().over(w)).where(F.col(must) | ((F.col("_n") <= budget) & F.col(score).isNotNull())).drop("_n")
+
+    def ranked(df: DataFrame, by: list[str], most: Column) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(F.desc(must), F.desc_nulls_last(score), page)
+        return df.withColumn("_n", F.row_number().over(w)).where(F.col(must) | ((F.col("_n") <= most) & F.col(score).isNotNull())).drop("_n")
+
+    # what isn't among the best of its share of the document isn't among the document's: a hot one is thinned out in many tasks
+    few = ranked(pages.withColumn("_s", F.pmod(F.xxhash64(page), F.lit(32))), [doc, "_s"], budget).drop("_s")
+    return ranked(few, [doc], budget)
 
 
 def metadata_scores(pred: DataFrame, truth: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
@@ -128,6 +137,22 @@ def rule_match(records: DataFrame, rules: DataFrame, dataset: str, name: str) ->
 
 
 def without_keys(record: Column, keys: list[str] | None = None) -> Column:
-    """A JSON object text without the given keys at its top level; null for texts that don't parse."""
-    m = F.from_json(record, "map<string,string>")
-    return F.to_json(F.map_filter(m, lambda k, v: ~k.isin(*(keys or AUDIT_KEYS))))
+    """A JSON text without the given keys at any depth, objects in lists included; null for null and for texts that don't parse."""
+    dropped = frozenset(keys or AUDIT_KEYS)
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def cut(v):
+            if isinstance(v, dict):
+                return {k: cut(x) for k, x in v.items() if k not in dropped}
+            return [cut(x) for x in v] if isinstance(v, list) else v
+
+        def one(t):
+            try:
+                return json.dumps(cut(json.loads(t)), ensure_ascii=False, separators=(",", ":"))
+            except (TypeError, ValueError):
+                return None
+
+        return pd.Series([one(t) for t in texts], dtype=object)
+
+    return run(record)

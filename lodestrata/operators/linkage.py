@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import broadcast_if_small
+from lodestrata.session import broadcast_if_small, checkpointed
 
 
 def coalesce_merge(df: DataFrame, key: list[str], order: list[str], fields: list[str]) -> DataFrame:
@@ -66,21 +66,36 @@ def name_links(pred: DataFrame, truth: DataFrame, name: str, doc: list[str]) ->
 
 
 def one_to_one(links: DataFrame, doc: list[str], left: str, right: str, order: list[str]) -> DataFrame:
-    """Greedy one-to-one choice among links in ``order``, document by document; a document's links must fit one task."""
-    schema = links.schema
-
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        g = g.sort_values(order)
-        for a, b in zip(g[left], g[right]):
-            ok = a not in used_l and b not in used_r
-            keep.append(ok)
-            if ok:
-                used_l.add(a)
-                used_r.add(b)
-        return g[keep]
-
-    return links.groupBy(*doc).applyInPandas(choose, schema)
+    """Greedy one-to-one choice among links in ``order`` (ties by left and right), within each document.
+
+    The link that is first for both its ends is chosen whatever the others are, so all such links are taken at once, those they
+    rule out go, and the rest go round again: what is chosen is what a walk through the ordered list would choose, and no
+    document is one task. Repeated links count once; null ends are ends like any other.
+    """
+    rank = F.struct(*order, left, right)
+    rest, chosen = checkpointed(links.distinct()), None
+    while True:
+        ends = {}
+        for name in (left, right):
+            ends[name] = rest.groupBy(*doc, name).agg(F.min(rank).alias(f"_first_{name}"))
+        seen = rest
+        for name, first in ends.items():
+            keys = [*doc, name]
+            other = first.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], f"_first_{name}")
+            on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+            seen = seen.join(other, on).drop(*[f"_k{i}" for i in range(len(keys))])
+        took = {name: F.col(f"_first_{name}") == rank for name in (left, right)}
+        seen = checkpointed(seen.withColumn("_taken", took[left] & took[right]).drop(f"_first_{left}", f"_first_{right}"))
+        won = seen.where("_taken").drop("_taken")
+        chosen = won if chosen is None else chosen.unionByName(won)
+        rest = seen.where("NOT _taken").drop("_taken")
+        for name in (left, right):
+            keys = [*doc, name]
+            gone = won.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+            rest = rest.join(gone, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], "left_anti")
+        rest = checkpointed(rest)
+        if rest.isEmpty():
+            return chosen
 
 
 def fingerprint_links(pred: DataFrame, truth: DataFrame, doc: list[str], pred_id: str, truth_id: str, elements: list[str], within: float = 0.1, share: float = 0.3) -> DataFrame:

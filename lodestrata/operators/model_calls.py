@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lodestrata.operators.text import salvaged
+from lodestrata.session import small_list
 
 
 def prompt_key(system: Column, user: Column) -> Column:
@@ -63,8 +64,8 @@ def row_schema(struct: StructType) -> str:
 
 
 def dense_scores(pairs: DataFrame, options: DataFrame, record: str, option: str, logp: str) -> DataFrame:
-    """Sparse (record, option, logp) as every option of every record, absent ones ln(1e-20). Options are a bounded dimension."""
-    listed = options.select(option).distinct().agg(F.array_sort(F.collect_list(option)).alias("_all"))
+    """Sparse (record, option, logp) as every option of every record, absent ones ln(1e-20). At most 100,000 options."""
+    listed = small_list(options.select(option).distinct(), 100_000, "options").agg(F.array_sort(F.collect_list(option)).alias("_all"))
     maps = pairs.groupBy(record).agg(F.map_from_entries(F.collect_list(F.struct(option, logp))).alias("_m"))
     dense = maps.join(F.broadcast(listed)).select(record, F.explode("_all").alias(option), "_m")
     return dense.select(record, option, F.coalesce(F.try_element_at("_m", F.col(option)), F.log(F.lit(1e-20))).alias(logp))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestrata.session import input_partitions
+from lodestrata.session import checkpointed, input_partitions
 
 
 def join_nullsafe(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "inner") -> DataFrame:
@@ -58,16 +58,21 @@ def gather(df: DataFrame, key: str, value: str, order: list[str], into: str) ->
 
 
 def with_position(df: DataFrame, order: list[Column], name: str = "row_index") -> DataFrame:
-    """0-based position of each row in a total order, without one task for all rows: offsets of range partitions are added up.
+    """0-based position of each row in an order, without one task for all rows: offsets of range partitions are added up.
 
-    The order is split into ranges; only the count of each range is held in one place.
+    The ranges are drawn once, into the checkpoint folder, so that the counts are of the very partitions the rows stand in. Rows
+    equal in the order stand in that of a hash of all their columns, so that a value which holds many rows is split as well; equal
+    rows are one like the other. Only the count of each range is held in one place. An empty table stays empty.
     """
-    parts = input_partitions(df.sparkSession)  # a fixed number, which adaptive execution leaves as it is in both uses
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    within = ranged.withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = within.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    by = [*order, F.xxhash64(*[F.col(f"`{c}`") for c in plain])]
+    ranged = df.repartitionByRange(input_partitions(df.sparkSession), *by).sortWithinPartitions(*by)
+    ranged = checkpointed(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))).alias("_b"))
-    return within.join(F.broadcast(before), "_p").withColumn(name, F.coalesce("_b", F.lit(0)) + F.col("_i")).drop("_p", "_m", "_i", "_b")
+    within = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row a partition
+    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.coalesce("_b", F.lit(0)) + within).drop("_p", "_m", "_b")
 
 
 def select_by_index(df: DataFrame, order: list[Column], index: list[int], fields: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,3 +52,42 @@ def class_prior(labels: DataFrame, options: DataFrame, label: str, option: str)
 
 def masked_mean(value: Column, mask: Column) -> Column:
     return F.sum(value * mask) / (F.sum(mask) + 1e-20)
+
+
+def nearest_by_cosine(queries: DataFrame, vectors: DataFrame, ident: str, vector: str, k: int, query_block: int = 8_192, vector_block: int = 65_536, places: int = 5) -> DataFrame:
+    """``(q, ident, sim, rank)``: the ``k`` vectors nearest each query by cosine, itself aside, ties by id.
+
+    Queries and vectors are hashed into blocks of bounded size and each pair of blocks is one group of a grid: no task holds more
+    than two blocks, and each gives out only its best ``k`` a query. Neither side is collected. Null and zero vectors are left out.
+    """
+    def blocks(df: DataFrame, size: int, least: int) -> int:
+        return max(least, -(-df.count() // size))
+
+    usable = lambda df: df.select(F.col(ident).alias("i"), F.col(vector).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & F.exists("v", lambda x: x != 0))
+    q, e = usable(queries), usable(vectors)
+    n_q, n_e = blocks(q, query_block, 1), blocks(e, vector_block, vectors.sparkSession.sparkContext.defaultParallelism)
+    part = lambda n: F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")
+    left = q.withColumn("a", part(n_q)).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_e - 1))))
+    right = e.withColumn("b", part(n_e)).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        def unit(t: pa.Table) -> np.ndarray:
+            m = np.stack([np.asarray(v) for v in t.column("v").to_pylist()]) if len(t) else np.empty((0, 1))
+            return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+        out: list[list[np.ndarray]] = [[], [], []]
+        if len(x) and len(y):
+            qi, yi, qm, ym = x.column("i").to_numpy(), y.column("i").to_numpy(), unit(x), unit(y)
+            for s in range(0, len(qi), 256):
+                sims = np.round(qm[s : s + 256] @ ym.T, places)
+                sims[qi[s : s + 256, None] == yi] = -9
+                order = np.lexsort((np.broadcast_to(yi, sims.shape), -sims), axis=1)[:, :k]
+                rows = np.repeat(np.arange(len(order)), order.shape[1])
+                near = sims[rows, order.ravel()]
+                keep = near > -9
+                for c, z in zip(out, (qi[s : s + 256][rows], yi[order.ravel()], near)):
+                    c.append(z[keep])
+        return pa.table([np.concatenate(c) if c else np.array([], t) for c, t in zip(out, (np.int64, np.int64, np.float64))], names=["q", ident, "sim"])
+
+    near = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(best, f"q bigint, `{ident}` bigint, sim double")
+    return top_n(near, "q", "sim", ident, k)

@@ -9,7 +9,7 @@ from lodestrata.functions import censored
 from lodestrata.functions.elements import NAMES, SYMBOLS, UNIT_ENDINGS, header_symbol
 from lodestrata.operators import einsum as es
 from lodestrata.operators import enrichment, export, graph, linkage, model_calls, relational, rollup, scoring, shaping, taxonomy, text
-from lodestrata.session import read
+from lodestrata.session import broadcast_if_small, input_partitions, read, small_list
 from lodestrata.streaming.events import sessions, windowed_counts
 
 QUERIES: dict = {}
@@ -45,12 +45,12 @@ _NAT = "SELECT CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE ['BUILDING','MACHINE
 
 @query(f"SELECT l.c_custkey, l.seg, l.c_acctbal, r.n_name FROM ({_CUST}) l JOIN ({_NAT}) r ON l.seg IS NOT DISTINCT FROM r.seg")
 def inner_join_nullsafe(s, d):
-    return relational.join_nullsafe(_customers(s, d), F.broadcast(_nations(s, d)), "seg", "seg")
+    return relational.join_nullsafe(_customers(s, d), broadcast_if_small(_nations(s, d), 10_000), "seg", "seg")
 
 
 @query(f"SELECT l.c_custkey, l.seg, l.c_acctbal, r.n_name FROM ({_CUST}) l LEFT JOIN ({_NAT}) r ON l.seg IS NOT DISTINCT FROM r.seg")
 def left_join_nullsafe(s, d):
-    return relational.join_nullsafe(_customers(s, d), F.broadcast(_nations(s, d)), "seg", "seg", "left")
+    return relational.join_nullsafe(_customers(s, d), broadcast_if_small(_nations(s, d), 10_000), "seg", "seg", "left")
 
 
 @query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
@@ -93,6 +93,13 @@ def select_by_index(s, d):
     return relational.select_by_index(read(s, d, "orders"), [F.col("o_totalprice"), F.col("o_orderkey")], [5, 0, 5, 77, 1000000000], ["o_orderkey", "o_totalprice"])
 
 
+@query("SELECT row_number() OVER (ORDER BY l_extendedprice, l_orderkey, l_linenumber) - 1 AS row_index, l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem")
+def position_carries(s, d):
+    """Positions of whole rows: columns beside the order are carried along."""
+    li = read(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity", "l_returnflag")
+    return relational.with_position(li, [F.col("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]).select("row_index", "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+
+
 # ---- censored numbers and units
 
 _BELOW = "(" + ",".join(f"'{w}'" for w in censored.BELOW_WORDS) + ")"
@@ -322,53 +329,89 @@ def _truth(c: str, i: int):
     return F.when(k % 17 == 0, None).when(k % 19 == 0, -99999.0).otherwise(F.col(c))
 
 
-def _cells(s: SparkSession, d: str) -> DataFrame:
-    """Line items as truth and a perturbed copy as prediction, one cell a row. The copy stands in one row with its truth."""
-    li = read(s, d, "lineitem").where("l_orderkey % 23 <> 0")
-    cells = F.array(*[F.struct(F.lit(c).alias("element"), _pred(c, i).alias("pred"), _truth(c, i).alias("truth")) for i, c in enumerate(_ELS)])
-    return li.select("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.lit(True).alias("in_pred"), F.lit(True).alias("in_truth"), F.explode(cells).alias("c")).select("*", "c.*").drop("c")
+_META = ["l_returnflag", "l_linestatus"]
+
+
+def _prediction(s: SparkSession, d: str) -> DataFrame:
+    """A table read from the same items with gaps, errors, lost rows and rows of its own."""
+    k = F.col("l_orderkey")
+    li = read(s, d, "lineitem").where((k + F.col("l_linenumber")) % 29 != 0)
+    flag = F.when(k % 31 != 0, F.when(k % 7 == 0, F.lower("l_returnflag")).otherwise(F.col("l_returnflag")))
+    return li.select(
+        F.when(k % 41 == 0, -k).otherwise(k).alias("l_orderkey"), "l_linenumber", "l_suppkey", flag.alias("l_returnflag"), "l_linestatus", *[_pred(c, i).alias(c) for i, c in enumerate(_ELS)]
+    )
 
 
-_CELLS_SQL = " UNION ALL ".join(f"SELECT l_orderkey, l_linenumber, l_suppkey, l_partkey, '{c}' AS element, {_PRED.format(i=i, c=c)} AS pred, {_TRUE.format(i=i, c=c)} AS truth FROM lineitem WHERE l_orderkey % 23 <> 0" for i, c in enumerate(_ELS))
+def _truth_table(s: SparkSession, d: str) -> DataFrame:
+    return read(s, d, "lineitem").where("l_orderkey % 37 <> 0").select("l_orderkey", "l_linenumber", "l_suppkey", *_META, *[_truth(c, i).alias(c) for i, c in enumerate(_ELS)])
+
+
+_KEY = ["l_orderkey", "l_linenumber", "l_suppkey"]
+_P_SQL = (
+    "SELECT CASE WHEN l_orderkey % 41 = 0 THEN -l_orderkey ELSE l_orderkey END AS l_orderkey, l_linenumber, l_suppkey, CASE WHEN l_orderkey % 31 = 0 THEN NULL WHEN l_orderkey % 7 = 0 THEN lower(l_returnflag) ELSE l_returnflag END AS l_returnflag, l_linestatus, "
+    + ", ".join(f"{_PRED.format(i=i, c=c)} AS {c}" for i, c in enumerate(_ELS)) + " FROM lineitem WHERE (l_orderkey + l_linenumber) % 29 <> 0"
+)
+_T_SQL = "SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag, l_linestatus, " + ", ".join(f"{_TRUE.format(i=i, c=c)} AS {c}" for i, c in enumerate(_ELS)) + " FROM lineitem WHERE l_orderkey % 37 <> 0"
+_BOTH_SQL = (
+    f"SELECT row_number() OVER () AS rid, coalesce(t.l_orderkey, p.l_orderkey) AS l_orderkey, coalesce(t.l_linenumber, p.l_linenumber) AS l_linenumber, coalesce(t.l_suppkey, p.l_suppkey) AS l_suppkey, p.l_orderkey IS NOT NULL AS in_pred, t.l_orderkey IS NOT NULL AS in_truth, "
+    + ", ".join(f"p.{c} AS p_{c}, t.{c} AS t_{c}" for c in [*_ELS, *_META]) + f" FROM ({_T_SQL}) t FULL JOIN ({_P_SQL}) p USING (l_orderkey, l_linenumber, l_suppkey)"
+)
+_CELLS_SQL = " UNION ALL ".join(f"SELECT rid, l_orderkey, l_linenumber, l_suppkey, in_pred, in_truth, '{c}' AS element, p_{c} AS pred, t_{c} AS truth FROM both_sides" for c in _ELS)
+_WITH = f"WITH both_sides AS MATERIALIZED ({_BOTH_SQL}), cells AS ({_CELLS_SQL})"
 _ERR = "abs(pred - truth) / abs(nullif(truth, 0))"
 _NUM = f"CASE WHEN truth = 0 THEN (abs(pred) <= 0.001)::INT::DOUBLE WHEN {_ERR} <= 0.05 THEN 1 WHEN {_ERR} >= 1.0 THEN 0 ELSE 1 - ({_ERR} - 0.05) / (0.05 * 19) END"
 _T2 = f"CASE WHEN truth IS NOT NULL THEN CASE WHEN truth = -99999 THEN CASE WHEN pred IS NULL THEN 0.5 WHEN pred = -99999 THEN 1 ELSE 0.3 END WHEN pred IS NULL OR pred = -99999 THEN 0 ELSE {_NUM} END END"
 _T4 = "CASE WHEN truth IS NULL THEN (pred IS NULL)::INT::DOUBLE END"
-_SAMPLES = f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce(avg(s2), 1) AS t2, coalesce(avg(s4), 1) AS t4 FROM (SELECT *, {_T2} AS s2, {_T4} AS s4 FROM ({_CELLS_SQL})) GROUP BY ALL"
 
 
-@query(f"SELECT element, round(avg({_T2}), 6) AS mean_score, count({_T2}) AS n FROM ({_CELLS_SQL}) GROUP BY 1")
+def _aligned(s: SparkSession, d: str) -> DataFrame:
+    return scoring.align_cells(_prediction(s, d), _truth_table(s, d), _KEY, _ELS)
+
+
+@query(f"{_WITH} SELECT element, in_pred, in_truth, count(*) AS n, count(pred) AS n_pred, count(truth) AS n_truth, round(sum(pred) FILTER (pred >= 0), 1) AS s_pred, round(sum(truth) FILTER (truth >= 0), 1) AS s_truth FROM cells GROUP BY ALL")
+def cell_alignment(s, d):
+    p, x = F.col("pred"), F.col("truth")
+    return _aligned(s, d).groupBy("element", "in_pred", "in_truth").agg(
+        F.count(F.lit(1)).alias("n"), F.count(p).alias("n_pred"), F.count(x).alias("n_truth"), F.round(F.sum(F.when(p >= 0, p)), 1).alias("s_pred"), F.round(F.sum(F.when(x >= 0, x)), 1).alias("s_truth")
+    )
+
+
+@query(f"{_WITH} SELECT element, round(avg({_T2}), 6) AS mean_score, count({_T2}) AS n FROM cells WHERE in_pred AND in_truth GROUP BY 1")
 def tier2_numeric(s, d):
     t = scoring.tier2(F.col("pred"), F.col("truth"))
-    return _cells(s, d).groupBy("element").agg(F.round(F.avg(t), 6).alias("mean_score"), F.count(t).alias("n"))
+    return _aligned(s, d).where("in_pred AND in_truth").groupBy("element").agg(F.round(F.avg(t), 6).alias("mean_score"), F.count(t).alias("n"))
 
 
-@query(f"SELECT element, round(avg({_T4}), 6) AS mean_score, count({_T4}) AS n FROM ({_CELLS_SQL}) GROUP BY 1")
+@query(f"{_WITH} SELECT element, round(avg({_T4}), 6) AS mean_score, count({_T4}) AS n FROM cells WHERE in_pred AND in_truth GROUP BY 1")
 def tier4_null(s, d):
     t = scoring.tier4(F.col("pred"), F.col("truth"))
-    return _cells(s, d).groupBy("element").agg(F.round(F.avg(t), 6).alias("mean_score"), F.count(t).alias("n"))
+    return _aligned(s, d).where("in_pred AND in_truth").groupBy("element").agg(F.round(F.avg(t), 6).alias("mean_score"), F.count(t).alias("n"))
 
 
-_BOARD = f"""WITH r AS (SELECT n.n_name AS nation, avg(t2) AS t2, avg(t4) AS t4, count(*) AS samples FROM ({_SAMPLES}) x JOIN supplier ON s_suppkey = l_suppkey JOIN nation n ON n_nationkey = s_nationkey GROUP BY 1)
-SELECT nation, round(t2, 6) AS t2, round(t4, 6) AS t4, samples, round(0.3 + 0.4 * t2 + 0.15 + 0.15 * t4, 6) AS overall, row_number() OVER (ORDER BY round(0.3 + 0.4 * t2 + 0.15 + 0.15 * t4, 6) DESC, nation) AS rank FROM r"""
+_SAME = lambda c: f"CASE WHEN t_{c} IS NOT NULL THEN (lower(t_{c}) = lower(coalesce(p_{c}, '')))::INT::DOUBLE END"
+_BOARD = f"""{_WITH}, one AS (SELECT rid, l_orderkey, l_suppkey, coalesce(avg({_T2}), 1) AS t2, coalesce(avg({_T4}), 1) AS t4 FROM cells WHERE in_pred AND in_truth GROUP BY ALL),
+meta AS (SELECT l_suppkey, count(*) FILTER (in_pred AND in_truth) AS matched, count(*) FILTER (in_pred) AS n_pred, count(*) FILTER (in_truth) AS n_truth, {", ".join(f"avg({_SAME(c)}) FILTER (in_pred AND in_truth) AS m_{c}" for c in _META)} FROM both_sides GROUP BY 1),
+r AS (SELECT m.l_suppkey AS report, coalesce(avg(t2), 0) AS t2, coalesce(avg(t4), 0) AS t4, count(o.l_orderkey) AS samples, any_value(matched) AS matched, any_value(n_pred) AS n_pred, any_value(n_truth) AS n_truth, coalesce((any_value(m_{_META[0]}) + any_value(m_{_META[1]})) / 2, 0) AS t1 FROM meta m LEFT JOIN one o ON o.l_suppkey = m.l_suppkey GROUP BY 1),
+f AS (SELECT *, CASE WHEN n_pred > 0 THEN matched / n_pred ELSE 0 END AS p, CASE WHEN n_truth > 0 THEN matched / n_truth ELSE 1 END AS q FROM r),
+g AS (SELECT *, CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END AS t3 FROM f)
+SELECT report, samples, round(t1, 6) AS t1, round(t2, 6) AS t2, round(t3, 6) AS t3, round(t4, 6) AS t4, round(0.3 * t1 + 0.4 * t2 + 0.15 * t3 + 0.15 * t4, 6) AS overall, row_number() OVER (ORDER BY round(0.3 * t1 + 0.4 * t2 + 0.15 * t3 + 0.15 * t4, 6) DESC, report) AS rank FROM g"""
 
 
 @query(_BOARD)
 def tier_overall(s, d):
-    names = read(s, d, "supplier").join(F.broadcast(read(s, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("l_suppkey"), F.col("n_name").alias("nation"))
-    cells = _cells(s, d)
-    scored = cells.where("in_pred AND in_truth").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scoring.tier2(F.col("pred"), F.col("truth")).alias("s2"), scoring.tier4(F.col("pred"), F.col("truth")).alias("s4"))
-    samples = scored.groupBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").agg(F.coalesce(F.avg("s2"), F.lit(1.0)).alias("t2"), F.coalesce(F.avg("s4"), F.lit(1.0)).alias("t4"))
-    # suppliers first: the join then carries one row a supplier, not one a sample
-    per = samples.groupBy("l_suppkey").agg(F.sum("t2").alias("a"), F.sum("t4").alias("b"), F.count(F.lit(1)).alias("samples"))
-    r = per.join(names, "l_suppkey").groupBy("nation").agg((F.sum("a") / F.sum("samples")).alias("t2"), (F.sum("b") / F.sum("samples")).alias("t4"), F.sum("samples").alias("samples"))
-    out = r.select("nation", F.round("t2", 6).alias("t2"), F.round("t4", 6).alias("t4"), "samples", F.round(scoring.overall(F.lit(1.0), F.col("t2"), F.lit(1.0), F.col("t4")), 6).alias("overall"))
-    return scoring.leaderboard(out, "overall", "nation")
-
-
-@query(f"SELECT nation, overall, rank FROM ({_BOARD}) WHERE rank <= 5")
+    """Four tiers of each report (here a supplier): metadata, numbers, structure (the F1 of the aligned rows) and nulls."""
+    return scoring.leaderboard(scoring.evaluation(_prediction(s, d), _truth_table(s, d), _KEY, ["l_suppkey"], _ELS, _META), "overall", "report")
+
+
+@query(f"SELECT report, overall, rank FROM ({_BOARD}) WHERE rank <= 5")
 def leaderboard(s, d):
-    return tier_overall(s, d).where("rank <= 5").select("nation", "overall", "rank")
+    return tier_overall(s, d).where("rank <= 5").select("report", "overall", "rank")
+
+
+@query(f"SELECT count(*) AS reports, sum(samples)::BIGINT AS samples, round(avg(overall), 5) AS overall, round(avg(t1), 5) AS t1, round(avg(t2), 5) AS t2, round(avg(t3), 5) AS t3, round(avg(t4), 5) AS t4 FROM ({_BOARD})")
+def batch_summary(s, d):
+    scores = scoring.evaluation(_prediction(s, d), _truth_table(s, d), _KEY, ["l_suppkey"], _ELS, _META)
+    return scoring.batch_summary(scores, ["overall", "t1", "t2", "t3", "t4"], 5)
 
 
 _KEYS = "SELECT DISTINCT doc_id, upper(trim(analysis_id, ' ')) AS k FROM {} WHERE analysis_id IS NOT NULL"
@@ -388,6 +431,29 @@ def prf1(s, d):
     return c.select("doc_id", "matched", "n_pred", "n_truth", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"))
 
 
+_IDS4 = ["analysis_id", "sample_local_id", "sample_name"]
+
+
+def _pairs_sql() -> str:
+    parts = []
+    for i, a in enumerate(_IDS4):
+        for j, b in enumerate(_IDS4):
+            parts.append(
+                f"SELECT doc_id, '{a}' AS pred_key, '{b}' AS truth_key, {i * len(_IDS4) + j} AS o, count(*) FILTER (p.k IS NOT NULL AND t.k IS NOT NULL) AS m, count(p.k) AS np, count(t.k) AS nt "
+                f"FROM (SELECT DISTINCT doc_id, lower(trim({a}, ' ')) AS k FROM extraction_sheet WHERE trim({a}, ' ') <> '') p FULL JOIN (SELECT DISTINCT doc_id, lower(trim({b}, ' ')) AS k FROM golden_sheet WHERE trim({b}, ' ') <> '') t USING (doc_id, k) GROUP BY doc_id"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query(
+    f"WITH c AS (SELECT *, CASE WHEN np > 0 THEN m / np ELSE 0 END AS pr, CASE WHEN nt > 0 THEN m / nt ELSE 1 END AS re FROM ({_pairs_sql()}) WHERE doc_id IS NOT NULL), f AS (SELECT *, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 6) AS f1 FROM c), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY m DESC, f1 DESC, o) AS rk FROM f) SELECT doc_id, pred_key, truth_key, m AS matched, f1 FROM r WHERE rk = 1"
+)
+def best_key_pair(s, d):
+    e, g = (read(s, d, t).where("doc_id IS NOT NULL") for t in ("extraction_sheet", "golden_sheet"))
+    return scoring.best_key_pair(e, g, ["doc_id"], _IDS4, _IDS4)
+
+
 _FILL = ["sample_name", "deposit_name", "deposit_type_original", "mineral", "analytical_method", "zn_ppm", "fe_ppm", "cd_ppm", "ge_ppm", "extraction_confidence"]
 
 
@@ -422,7 +488,7 @@ def _class_scores(s: SparkSession, d: str) -> DataFrame:
     dims = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     means = dims.groupBy(F.col("label").alias("option")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("mean"))
     # the means fold into one row, which meets every vector
-    listed = means.agg(F.collect_list(F.struct("option", "mean")).alias("all"))
+    listed = small_list(means, 10_000, "labels").agg(F.collect_list(F.struct("option", "mean")).alias("all"))
     dot = F.aggregate(F.zip_with("embedding", "mean", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, x: a + x)
     each = e.join(F.broadcast(listed)).select("vec_id", "label", "embedding", F.explode("all").alias("m")).select("vec_id", "label", "embedding", "m.option", "m.mean")
     return each.select("vec_id", "label", "option", F.round(dot, 6).alias("score"))
@@ -445,33 +511,14 @@ def mean_average_precision(s, d):
 
 @query("WITH q AS (SELECT vec_id AS q, embedding AS e FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT q, vec_id, round(list_cosine_similarity(q.e::DOUBLE[], embedding::DOUBLE[]), 5) AS sim FROM q, embeddings WHERE q <> vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, vec_id) AS rank FROM s) SELECT q, vec_id, sim, rank FROM r WHERE rank <= 5")
 def cosine_topk(s, d):
-    """Nearest 5 by cosine of every row whose id divides by 20, against all rows in blocks: the queries are folded into arrays of
-    vectors, each block met by every row once, and the best few of each query are kept in each task before the shuffle."""
-    import numpy as np
-    import pyarrow as pa
-
     e = read(s, d, "embeddings").select("vec_id", "embedding")
-    q = e.where("vec_id % 20 = 0").orderBy("vec_id").toPandas()
-    ids = q["vec_id"].to_numpy()
-    m = np.array(q["embedding"].tolist(), dtype=np.float64)
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-
-    def run(batches):
-        for b in batches:
-            x = np.array(b.column("embedding").to_pylist(), dtype=np.float64)
-            if not len(x):
-                continue
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            own = b.column("vec_id").to_numpy()
-            for i in range(0, len(ids), 256):
-                sims = np.round(m[i : i + 256] @ x.T, 5)
-                sims[ids[i : i + 256, None] == own] = -9
-                order = np.lexsort((np.broadcast_to(own, sims.shape), -sims), axis=1)[:, :5]
-                rows = np.repeat(np.arange(len(order)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 256][rows]), pa.array(own[order.ravel()]), pa.array(sims[rows, order.ravel()])], names=["q", "vec_id", "sim"])
-
-    near = e.mapInArrow(run, "q bigint, vec_id bigint, sim double").where("sim > -9")
-    return rollup.top_n(near, "q", "sim", "vec_id", 5)
+    return rollup.nearest_by_cosine(e.where("vec_id % 20 = 0"), e, "vec_id", "embedding", 5)
+
+
+@query(f"{_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY option ORDER BY score DESC, vec_id) AS rk FROM s) SELECT option, count(*) FILTER (label = option) AS hits, round(avg((label = option)::INT), 6) AS precision FROM r WHERE rk <= 50 GROUP BY 1")
+def precision_at_50(s, d):
+    c = _class_scores(s, d).withColumn("relevant", F.col("label") == F.col("option"))
+    return scoring.precision_at(c, "option", "score", "vec_id", "relevant").withColumn("precision", F.round("precision", 6))
 
 
 _LOGITS = "SELECT p_brand, p_type, p_size, avg(p_retailprice) / 1000 AS logit FROM part GROUP BY ALL"
@@ -826,6 +873,10 @@ def rule_labels(s, d):
     return enrichment.rule_match(read(s, d, "events").select("event_id", "event_type", "user_id"), rules, "event_type", "user_id").select("event_id", "event_type", "label")
 
 
-@query("SELECT event_id, '{}' AS record FROM events")
+@query("SELECT event_id, '{\"kept\":' || event_id || ',\"list\":[{\"note\":\"' || event_type || '\"},' || event_id || '],\"deep\":{\"x\":' || (props::JSON->>'$.k') || '}}' AS record FROM events")
 def keys_dropped(s, d):
-    return read(s, d, "events").select("event_id", enrichment.without_keys(F.col("props"), ["k"]).alias("record"))
+    k = F.get_json_object("props", "$.k")
+    nested = F.concat(
+        F.lit('{"kept":'), F.col("event_id").cast("string"), F.lit(',"changed_by":"a","list":[{"note":"'), "event_type", F.lit('","insert_date":{"y":1}},'), F.col("event_id").cast("string"), F.lit('],"deep":{"x":'), k, F.lit(',"change_date":null}}')
+    )
+    return read(s, d, "events").select("event_id", enrichment.without_keys(nested).alias("record"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -48,10 +49,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; a temporary one only where none is set (tests)."""
+    """The shared folder named in ``spark.checkpoint.dir``. Where none is set a local session gets a temporary one (tests); a
+    cluster, whose executors don't see the driver's disk, must name one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestrata-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -71,6 +75,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if few else df.hint("merge")
 
 
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], times: str, hot_share: int = 8_000) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` of one row a key, which says in ``times`` how many rows have the key.
+
+    Keys of more than one in ``hot_share`` rows are broadcast (there can be no more than ``hot_share`` of them), so that no hot key
+    is left in the shuffle by which the other rows meet the rest. Null keys meet nothing.
+    """
+    table = checkpointed(table)
+    total = table.agg(F.sum(times)).first()[0] or 0
+    hot = F.col(times) > total / hot_share
+    met = rows.join(F.broadcast(table.where(hot).drop(times).withColumn("_hot", F.lit(True))), keys, "left")
+    rest = met.where("_hot IS NULL").select(*rows.columns).join(table.where(~hot).drop(times).hint("merge"), keys)
+    return met.where("_hot").drop("_hot").unionByName(rest)
+
+
+def small_list(df: DataFrame, max_rows: int, what: str = "rows") -> DataFrame:
+    """``df`` with a broadcast hint, for joins that have no other way; more than ``max_rows`` rows raise."""
+    if df.limit(max_rows + 1).count() > max_rows:
+        raise ValueError(f"more than {max_rows} {what}")
+    return F.broadcast(df)
+
+
 def input_partitions(spark: SparkSession, per_core: int = 3) -> int:
     """Partitions for Python-bound stages: a few for every core, at least the session's shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), per_core * spark.sparkContext.defaultParallelism)

@@ -237,3 +237,97 @@ def test_text_export(spark, tmp_path):
     assert t == "i | v\n0 | v0\n1 | v1\n2 | v2\n... 27 more rows"
     export.write_rolled(r.coalesce(1), str(tmp_path / "o"), per_file=10)
     assert len(list((tmp_path / "o").glob("*.json"))) == 3
+
+
+def test_positions_of_whole_rows_with_ties(spark):
+    """Columns beside the order are carried, a value that holds most rows is spread, positions are those of the order."""
+    from lodestrata.operators.relational import with_position
+
+    rows = [(1 if i % 3 else i, i, f"x{i % 7}") for i in range(3000)]
+    out = with_position(spark.createDataFrame(rows, "k int, v int, row_index_text string"), [F.col("k")]).collect()
+    assert sorted(r.row_index for r in out) == list(range(3000)) and [r.k for r in sorted(out, key=lambda r: r.row_index)] == sorted(k for k, _, _ in rows)
+    assert with_position(spark.createDataFrame([], "k int"), [F.col("k")]).count() == 0
+
+
+def test_greedy_choice_equals_a_walk(spark):
+    import random
+
+    from lodestrata.operators.linkage import one_to_one
+
+    r = random.Random(4)
+    rows = sorted({(d, f"p{r.randrange(12)}", f"t{r.randrange(12)}", r.randrange(3)) for d in ("a", "b", None) for _ in range(60)}, key=str)
+    rows = [x for i, x in enumerate(rows) if x[:3] not in {y[:3] for y in rows[:i]}]
+    want = set()
+    for d in ("a", "b", None):
+        used = set()
+        for s, p, t in sorted((s, p, t) for dd, p, t, s in rows if dd == d):
+            if ("p", p) not in used and ("t", t) not in used:
+                used |= {("p", p), ("t", t)}
+                want.add((d, p, t, s))
+    df = spark.createDataFrame(rows + rows[:5], "doc string, pred string, truth string, stage int")
+    got = [tuple(x) for x in one_to_one(df, ["doc"], "pred", "truth", ["stage"]).collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert one_to_one(df.limit(0), ["doc"], "pred", "truth", ["stage"]).count() == 0
+
+
+def test_budgets_of_a_hot_key(spark):
+    from lodestrata.operators.enrichment import page_budget
+    from lodestrata.operators.text import character_budget
+
+    rows = [("hot" if i % 3 else f"k{i % 50}", i, "ab" * (i % 5)) for i in range(2000)]
+    want = {}
+    for k, i, t in rows:
+        left = 100 - sum(len(x) for _, x in want.get(k, []))
+        if left > 0:
+            want.setdefault(k, []).append((i, t[:left]))
+    df = spark.createDataFrame(rows, "k string, i int, t string")
+    got = sorted(tuple(x) for x in character_budget(df, ["k"], ["i"], "t", 100).collect())
+    assert got == sorted((k, i, t) for k, xs in want.items() for i, t in xs)
+    pages = [("hot" if i % 3 else f"k{i % 50}", i, None if i % 4 == 0 else float(i * 37 % 101), i % 90 == 0, 60) for i in range(2000)]
+    kept = set()
+    for k in {p[0] for p in pages}:
+        mine = sorted((p for p in pages if p[0] == k), key=lambda p: (not p[3], p[2] is None, -(p[2] or 0), p[1]))
+        kept |= {p[1] for n, p in enumerate(mine, 1) if p[3] or n <= 10 and p[2] is not None}
+    df = spark.createDataFrame(pages, "doc string, page int, score double, must boolean, expected int")
+    assert {r.page for r in page_budget(df, "doc", "page", "score", "must", "expected").collect()} == kept
+
+
+def test_nearest_by_cosine_in_blocks(spark):
+    import numpy as np
+
+    from lodestrata.operators.rollup import nearest_by_cosine
+
+    r = np.random.default_rng(1)
+    m = r.normal(size=(120, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(900, None), (901, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "id bigint, v array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 5)
+    want = {(i, j, n) for i in range(0, 120, 20) for n, j in enumerate([j for j in np.lexsort((np.arange(120), -sims[i])) if j != i][:3], 1)}
+    got = nearest_by_cosine(df.where("id % 20 = 0"), df, "id", "v", 3, query_block=2, vector_block=30).collect()
+    assert {(x.q, x.id, x.rank) for x in got} == want
+
+
+def test_lookup_hot_and_rare(spark):
+    from lodestrata.session import lookup
+
+    rows = spark.createDataFrame([("a", i) for i in range(50)] + [("b", 1), ("c", 2), (None, 3)], "k string, v int")
+    table = spark.createDataFrame([("a", 50, "A"), ("b", 1, "B")], "k string, n long, out string")
+    for share in (2, 1, 10**6):
+        got = sorted((r.k, r.v, r.out) for r in lookup(rows, table, ["k"], "n", share).collect())
+        assert got == sorted([("a", i, "A") for i in range(50)] + [("b", 1, "B")])
+
+
+def test_evaluation_edge_cases(spark):
+    from lodestrata.operators.scoring import best_key_pair, evaluation
+
+    s = "r string, k int, e double, m string"
+    p = spark.createDataFrame([("a", 1, 1.0, "X"), ("a", 2, 5.0, None), ("b", 1, None, None), ("c", None, 1.0, "x")], s)
+    t = spark.createDataFrame([("a", 1, 1.0, "x"), ("a", 3, 2.0, "y"), ("b", 1, None, None), ("c", None, 1.0, "x")], s)
+    got = {x.report: x for x in evaluation(p, t, ["r", "k"], ["r"], ["e"], ["m"]).collect()}
+    assert (got["a"].samples, got["a"].t1, got["a"].t2, got["a"].t3, got["a"].t4, got["a"].overall) == (1, 1.0, 1.0, 0.5, 1.0, 0.925)
+    assert (got["b"].samples, got["b"].t1, got["b"].t2, got["b"].t4) == (1, 0.0, 1.0, 1.0) and (got["c"].samples, got["c"].t2) == (0, 0.0)
+    assert evaluation(p.limit(0), t.limit(0), ["r", "k"], ["r"], ["e"], ["m"]).count() == 0
+    a = spark.createDataFrame([("d", "x1", "q"), ("d", "X2 ", "q"), ("e", "", None)], "doc string, i string, j string")
+    b = spark.createDataFrame([("d", "x1", "x2"), ("d", "x2", "x1")], "doc string, i string, j string")
+    assert [tuple(r) for r in best_key_pair(a, b, ["doc"], ["i", "j"], ["i", "j"]).collect()] == [("d", "i", "i", 2, 1.0)]
