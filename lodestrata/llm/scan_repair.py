@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import broadcast_if_small, checkpointed
+from lodestrata.session import broadcast_if_small, checkpointed, lookup
 
 STATES = ["body", "furniture", "break", "title", "cell"]
 _PROSE_WORDS = {"the", "of", "and", "in", "to", "by", "is", "at", "from", "with", "was", "under", "for", "are", "between", "that", "between", "along", "during", "below", "toward"}
@@ -262,15 +262,13 @@ _SYMBOL = re.compile(r"[0-9@$|!]")
 
 def variants(word: str) -> dict[str, int]:
     """What a lower-cased word may stand for, with the number of places changed: every reading of its digits and symbols, then one confusion of letters."""
-    if len(word) > 40:
-        return {}
     starts = {word: 0}
     symbols = _SYMBOL.findall(word)
     if symbols:
         options = [("", 0)]
         for c in word:
             reads = [b for a, b in _CONFUSED if a == c] if _SYMBOL.match(c) else [c]
-            options = [(o + x, n + (x != c)) for o, n in options for x in (reads or [c])][:64]
+            options = [(o + x, n + (x != c)) for o, n in options for x in (reads or [c])]
         starts = {o: n for o, n in options if not _SYMBOL.search(o)}
     out = {w: n for w, n in starts.items() if w != word}
     for w, n in list(starts.items()):
@@ -283,6 +281,48 @@ def variants(word: str) -> dict[str, int]:
     return out
 
 
+def is_long(word: str) -> bool:
+    """Words whose variants are better not written out: long ones, and those with many a 1, which is read in two ways."""
+    return len(word) > 40 or word.count("1") > 5
+
+
+_FOLD = str.maketrans({**{a: b for a, b in _CONFUSED if _SYMBOL.match(a)}, "1": "l", "i": "l"})
+_LETTER_PAIRS = sorted({(a.translate(_FOLD), b.translate(_FOLD)) for a, b in _CONFUSED if not _SYMBOL.search(a)} - {("l", "l")})
+_B, _M = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+
+def folded_keys(word: str, changed: bool) -> list[int]:
+    """Hashes of the word with its symbols read and i as l, and if asked of all it becomes by one more confusion of letters.
+
+    Each is made from running sums in one step, so that a word of n letters takes n steps a confusion and 8 bytes a variant.
+    """
+    w = word.translate(_FOLD)
+    power, sums = [1], [0]
+    for c in w:
+        sums.append((sums[-1] + ord(c) * power[-1]) & _M)
+        power.append(power[-1] * _B & _M)
+    out = {sums[-1]}
+    for a, b in _LETTER_PAIRS if changed else ():
+        value = sum(ord(c) * pow(_B, k, 1 << 64) for k, c in enumerate(b))
+        shift = pow(_B, len(b) - len(a), 1 << 64)
+        i = w.find(a)
+        while i >= 0:
+            out.add((sums[i] + value * power[i] + (sums[-1] - sums[i + len(a)]) * shift) & _M)
+            i = w.find(a, i + 1)
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def folded_changes(word: str, other: str) -> int:
+    """Places changed from a word to another by reading its symbols and at most one confusion of letters, i and l taken for one; -1 if more differs."""
+    w, v = word.translate(_FOLD), other.translate(_FOLD)
+    symbols = len(_SYMBOL.findall(word))
+    if w == v:
+        return max(1, symbols)
+    p = next((k for k, (x, y) in enumerate(zip(w, v)) if x != y), min(len(w), len(v)))
+    near = any(w[i : i + len(a)] == a and w[:i] + b + w[i + len(a) :] == v for i in range(max(0, p - 2), p + 1) for a, b in _LETTER_PAIRS)
+    return symbols + 1 if near else -1
+
+
 def recase(token: str, fixed: str, opens: bool) -> str:
     """The fixed word in the case of the token; a misread first character is a capital at the start of a sentence."""
     letters = [c for c in token if c.isalpha()]
@@ -406,6 +446,35 @@ def read_lines(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _LINES)
 
 
+def long_readings(counts: DataFrame, long: DataFrame) -> DataFrame:
+    """``(variant, word, n, changes, m)`` for the ``long`` ones of the counted words: they meet the others on hashes of their variants."""
+
+    def hashed(changed: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s in range(0, b.num_rows, 1000):
+                    some = b.slice(s, 1000)
+                    keys = [folded_keys(w, changed) for w in some.column("word").to_pylist()]
+                    at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+                    yield pa.RecordBatch.from_arrays([some.column("id").take(at), pa.array([x for k in keys for x in k], pa.int64())], names=["id", "k"])
+
+        return run
+
+    ident = F.xxhash64("word").alias("id")
+    a = long.select(ident, "word").mapInArrow(hashed(True), "id bigint, k bigint").withColumnRenamed("id", "a")
+    b = counts.select(ident, "word").mapInArrow(hashed(False), "id bigint, k bigint").withColumnRenamed("id", "b")
+    pairs = a.join(b.hint("merge"), "k").where("a != b").select("a", "b").distinct()
+    one = counts.select(ident.alias("a"), "word", "n")
+    two = counts.select(F.xxhash64("word").alias("b"), F.col("word").alias("variant"), F.col("n").alias("m"))
+
+    @F.pandas_udf("int")
+    def changes(w, v):
+        return type(w)([folded_changes(x, y) for x, y in zip(w, v)])
+
+    full = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
+    return full.withColumn("changes", changes("word", "variant")).where("changes > 0").select("variant", "word", "n", "changes", "m")
+
+
 def corrections(counts: DataFrame, ratio: float = 20.0) -> DataFrame:
     """``(word, fixed)`` for each counted word that is a misreading of a better attested one.
 
@@ -421,7 +490,7 @@ def corrections(counts: DataFrame, ratio: float = 20.0) -> DataFrame:
                 out: dict[str, list] = {"word": [], "n": [], "variant": [], "changes": []}
                 for w, n in zip(some.column("word").to_pylist(), some.column("n").to_pylist()):
                     letters = sum(c.isalpha() for c in w)
-                    if letters < 2 or len(w) < 3 and not _SYMBOL.search(w) or re.search(r"\d{2}", w) and letters < 5 or "/" in w or re.search(r"\d-|-\d", w):
+                    if is_long(w) or letters < 2 or len(w) < 3 and not _SYMBOL.search(w) or re.search(r"\d{2}", w) and letters < 5 or "/" in w or re.search(r"\d-|-\d", w):
                         continue
                     for v, c in variants(w).items():
                         for k, x in zip(out, (w, n, v, c)):
@@ -430,12 +499,16 @@ def corrections(counts: DataFrame, ratio: float = 20.0) -> DataFrame:
 
     spelt = counts.mapInArrow(spell, "word string, n bigint, variant string, changes int")
     known = counts.select(F.col("word").alias("variant"), F.col("n").alias("m"))
+    met = spelt.join(known.hint("merge"), "variant")
+    long = counts.where((F.length("word") > 40) | (F.length(F.regexp_replace("word", "[^1]", "")) > 5))
+    if not long.isEmpty():
+        met = met.unionByName(long_readings(counts, long))
     symbol = F.col("word").rlike(r"[0-9@$|!]")
     length = F.length("word")
     rarer = F.when(length < 5, 15 * ratio).otherwise(F.greatest(F.lit(3.0), ratio * F.pow(F.lit(0.5), length - 5)))
     enough = F.col("m") >= F.col("n") * F.when(symbol, F.when(length < 5, 5.0).otherwise(1.0)).otherwise(rarer)
     clean = ~F.col("variant").rlike(r"[0-9@$|!]")
-    hits = spelt.join(known.hint("merge"), "variant").where(enough & clean)
+    hits = met.where(enough & clean)
     best = hits.groupBy("word").agg(F.max(F.struct((-F.col("changes")).alias("c"), F.col("m"), F.col("variant"))).alias("b"))
     found = best.select("word", F.col("b.variant").alias("fixed"))
     usual = (
@@ -461,17 +534,20 @@ def word_repairs(lines: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame,
     halves = splits.select(*where, first.alias("first"), F.col("x.second").alias("second"), F.expr("right(x.first, 1)").alias("mark"))
     halves = halves.withColumn("joined", F.concat("first", "second")).withColumn("kept", F.concat("first", F.lit("-"), "second"))
 
-    def counted(df: DataFrame, c: str, name: str) -> DataFrame:
-        return df.join(counts.select(F.col("word").alias(f"_{name}"), F.col("n").alias(name)).hint("merge"), F.lower(c) == F.col(f"_{name}"), "left").drop(f"_{name}")
-
-    for c, name in (("joined", "n_joined"), ("kept", "n_kept"), ("first", "n_first"), ("second", "n_second")):
-        halves = counted(halves, c, name)
+    # what becomes of a split depends on its halves alone: each distinct one is looked up once, all its four words in one join
+    asked = {"n_joined": "joined", "n_kept": "kept", "n_first": "first", "n_second": "second"}
+    split = ["first", "second", "mark", "joined", "kept"]
+    each = halves.groupBy(*split).agg(F.count(F.lit(1)).alias("times"))
+    looked = each.select(*split, "times", F.explode(F.array(*[F.struct(F.lit(k).alias("role"), F.lower(c).alias("word")) for k, c in asked.items()])).alias("x")).select(*split, "times", "x.*")
+    looked = looked.join(counts.hint("merge"), "word", "left")
+    each = looked.groupBy(*split, "times").agg(*[F.max(F.when(F.col("role") == k, F.col("n"))).alias(k) for k in asked])
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     compound = (zero("n_kept") > zero("n_joined")) | (
         (zero("n_joined") == 0) & (zero("n_first") > 30) & (zero("n_second") > 30) & (F.length("first") > 3) & (F.length("second") > 3)
     )
     soft = ~F.col("mark").isin("-", "–")
-    halves = halves.withColumn("broken", (soft | ~compound) & ((F.col("mark") != "–") | (zero("n_joined") > 1)))
+    each = each.select(*split, "times", ((soft | ~compound) & ((F.col("mark") != "–") | (zero("n_joined") > 1))).alias("broken"))
+    halves = lookup(halves, each, split, "times")
 
     @F.pandas_udf("string")
     def numbers(w):

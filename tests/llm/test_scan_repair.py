@@ -85,3 +85,17 @@ def test_corrections_follow_ratios_not_corpus_size(spark):
     for times in (1, 50):
         c = spark.createDataFrame([(w, n * times) for w, n in words], "word string, n bigint")
         assert {r.word: r.fixed for r in corrections(c).collect()} == {"anfimony": "antimony", "klelrknevmia": "kleirknevmia", "sph@lerite": "sphalerite"}
+
+
+def test_long_words_are_corrected_as_well(spark):
+    """Words over 40 letters, or with many a 1, meet others on hashes: every one-confusion variant is found, and nothing else."""
+    from lodestrata.llm.scan_repair import folded_changes, folded_keys
+
+    long = "dichloro" * 6 + "ethane"
+    for a, b in (("cl", "d"), ("h", "li"), ("m", "rn"), ("e", "c")):
+        w = "x" * 20 + a + long
+        assert set(folded_keys("x" * 20 + b + long, False)) & set(folded_keys(w, True)) and folded_changes(w, "x" * 20 + b + long) == 1
+    assert folded_changes(long, "y" + long) == -1 and folded_changes("1llllll1", "illllllli"[:8]) >= 1
+    rows = [(long, 300), (long.replace("eth", "etb"), 1), ("mi11i1i1i1i1m", 1), ("millililililm", 400), ("q" * 60, 5)]
+    c = spark.createDataFrame(rows, "word string, n bigint")
+    assert {r.word: r.fixed for r in corrections(c).collect()} == {long.replace("eth", "etb"): long, "mi11i1i1i1i1m": "millililililm"}
