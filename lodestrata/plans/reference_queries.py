@@ -737,7 +737,13 @@ def graph_edges(s, d):
     return edges.select("src", "dst", "type")
 
 
-@query()
+@query(
+    "WITH s AS (SELECT * FROM golden_sheet WHERE sample_name IS NOT NULL), n AS (SELECT 'Paper' AS type, count(DISTINCT doc_id) AS n FROM s UNION ALL SELECT 'Deposit', count(DISTINCT deposit_name) FROM s UNION ALL SELECT 'Sample', count(DISTINCT (doc_id, sample_name)) FROM s UNION ALL SELECT 'Mineral', count(DISTINCT mineral) FROM s "
+    "UNION ALL SELECT 'Measurement', count(DISTINCT (row_id, el)) FROM (SELECT row_id, 'zn' AS el FROM s WHERE zn_ppm IS NOT NULL UNION ALL SELECT row_id, 'fe' FROM s WHERE fe_ppm IS NOT NULL)), "
+    "e AS (SELECT 'DESCRIBES' AS type, count(DISTINCT (doc_id, deposit_name)) AS n FROM s WHERE deposit_name IS NOT NULL UNION ALL SELECT 'HAS_SAMPLE', count(DISTINCT (doc_id, sample_name)) FROM s UNION ALL SELECT 'OF_MINERAL', count(DISTINCT (doc_id, sample_name, mineral)) FROM s WHERE mineral IS NOT NULL "
+    "UNION ALL SELECT 'HAS_MEASUREMENT', count(DISTINCT (doc_id, sample_name, row_id, el)) FROM (SELECT *, 'zn' AS el FROM s WHERE zn_ppm IS NOT NULL UNION ALL SELECT *, 'fe' FROM s WHERE fe_ppm IS NOT NULL)) "
+    "SELECT 'node' AS kind, type, n FROM n UNION ALL SELECT 'node', NULL, sum(n)::BIGINT FROM n UNION ALL SELECT 'edge', type, n FROM e UNION ALL SELECT 'edge', NULL, sum(n)::BIGINT FROM e"
+)
 def graph_stats(s, d):
     nodes, edges = graph.sample_graph(read(s, d, "golden_sheet"), _GEL)
     return graph.statistics(nodes, graph.valid_edges(edges, nodes))
@@ -752,7 +758,9 @@ def site_documents(s, d):
     return docs.select("record_id", F.col("location_info.crs").alias("crs"), F.coalesce(F.size("deposit_type_candidate"), F.lit(-1)).alias("candidates"), F.size("mineral_inventory").alias("inventory"))
 
 
-@query()
+@query(
+    'WITH m AS (SELECT *, \'site:\' || regexp_replace(trim(record_id, \' \'), \'[^A-Za-z0-9_.-]+\', \'_\', \'g\') AS s FROM mineral_sites), c AS (SELECT s, s || \'_t\' || (i - 1) AS node, deposit_type_candidate[i] AS c FROM (SELECT *, unnest(range(1, len(deposit_type_candidate) + 1)) AS i FROM m) WHERE deposit_type_candidate[i] IS NOT NULL) SELECT s || \' a :MineralSite .\' AS value FROM m WHERE s IS NOT NULL UNION ALL SELECT s || \' :name \' || \'"\' || replace(replace(replace(replace(name, chr(92), chr(92) || chr(92)), \'"\', chr(92) || \'"\'), chr(10), chr(92) || \'n\'), chr(13), chr(92) || \'r\') || \'"\' || \' .\' FROM m WHERE name IS NOT NULL UNION ALL SELECT s || \' :location "POINT(\' || longitude || \' \' || latitude || \')" .\' FROM m WHERE longitude IS NOT NULL AND latitude IS NOT NULL UNION ALL SELECT s || \' :candidate \' || node || \' .\' FROM c UNION ALL SELECT node || \' :observedName \' || \'"\' || replace(replace(replace(replace(c.observed_name, chr(92), chr(92) || chr(92)), \'"\', chr(92) || \'"\'), chr(10), chr(92) || \'n\'), chr(13), chr(92) || \'r\') || \'"\' || \' .\' FROM c WHERE c.observed_name IS NOT NULL UNION ALL SELECT node || \' :confidence \' || c.confidence || \' .\' FROM c WHERE c.confidence IS NOT NULL'
+)
 def turtle_statements(s, d):
     return export.triples(export.site_documents(read(s, d, "golden_sheet"), read(s, d, "mineral_sites"), ["zn", "fe"]))
 
