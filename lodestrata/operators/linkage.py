@@ -151,6 +151,22 @@ def text_similarity(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def staged_hits(asked: DataFrame, rows: DataFrame, doc: list[str], wanted: str, id_columns: list[str]) -> DataFrame:
+    """``(doc, wanted, stage, hit)``: the id of a document's row that answers a wanted name, from the first stage with any.
+
+    Stage 1 is the first id column as it stands, stage 2 the same but for case and blanks, stage 3 and on the other id columns so.
+    All stages are one equi-join on exploded keys; null names and ids meet nothing.
+    """
+    fold = lambda c: F.lower(F.trim(c))
+    keys = [F.struct(F.lit("=").alias("how"), F.col(id_columns[0]).alias("k"), F.lit(1).alias("stage"), F.col(id_columns[0]).alias("hit"))]
+    keys += [F.struct(F.lit("~").alias("how"), fold(F.col(c)).alias("k"), F.lit(i + 2).alias("stage"), F.col(c).alias("hit")) for i, c in enumerate(id_columns)]
+    offered = rows.select(*doc, F.explode(F.array(*keys)).alias("x")).select(*doc, "x.*").where("k IS NOT NULL").distinct()
+    q = asked.select(*doc, wanted).where(F.col(wanted).isNotNull()).distinct()
+    forms = q.select(*doc, wanted, F.explode(F.array(F.struct(F.lit("=").alias("how"), F.col(wanted).alias("k")), F.struct(F.lit("~").alias("how"), fold(F.col(wanted)).alias("k")))).alias("x")).select(*doc, wanted, "x.*")
+    hits = forms.join(offered.hint("merge"), [*doc, "how", "k"]).select(*doc, wanted, "stage", "hit").distinct()
+    return prioritised_lookup(hits, [*doc, wanted], "stage")
+
+
 def prioritised_lookup(hits: DataFrame, key: list[str], stage: str) -> DataFrame:
     """Of each key the hits of its first stage that has any."""
     return hits.withColumn("_s", F.min(stage).over(Window.partitionBy(*key))).where(F.col(stage) == F.col("_s")).drop("_s")
@@ -165,3 +181,21 @@ def prefix_join(left: DataFrame, right: DataFrame, text: str, prefix: str, max_r
     r = broadcast_if_small(right.select(F.col(prefix).alias("_r")).distinct(), max_rows)
     hits = cut.join(r, F.col("_p") == F.col("_r"), "left")
     return hits.groupBy(*left.columns).agg(F.max(F.struct(F.length("_r").alias("n"), F.col("_r").alias("p")))["p"].alias(prefix))
+
+
+def offset_pairs(pred: DataFrame, truth: DataFrame, doc: list[str], position: str, elements: list[str], most: int = 10, within: float = 0.1, share: float = 0.3) -> DataFrame:
+    """``(doc, truth_at, pred_at, offset)``: rows of two tables paired by position at the one shift, of 0 to ``most``, at which most pairs
+    agree, the smallest on ties.
+
+    A pair agrees if at least ``share`` of the elements that both have, positive, differ by at most ``within`` of the truth. Rows
+    meet by an equi-join on the shifted position; a document whose truth is shorter or longer is simply paired as far as it goes.
+    """
+    p = pred.select(*doc, F.col(position).alias("pred_at"), *[F.col(e).cast("double").alias(f"p_{e}") for e in elements])
+    t = truth.select(*doc, F.col(position).alias("truth_at"), *[F.col(e).cast("double").alias(f"t_{e}") for e in elements])
+    shifted = t.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("pred_at", F.col("truth_at") + F.col("offset"))
+    met = shifted.join(p, [*doc, "pred_at"])
+    both = sum(F.coalesce((F.col(f"p_{e}") > 0) & (F.col(f"t_{e}") > 0), F.lit(False)).cast("int") for e in elements)
+    near = sum(F.coalesce((F.col(f"p_{e}") > 0) & (F.col(f"t_{e}") > 0) & (F.abs(F.col(f"p_{e}") - F.col(f"t_{e}")) <= within * F.col(f"t_{e}")), F.lit(False)).cast("int") for e in elements)
+    agreed = met.where((both > 0) & (near >= share * both)).select(*doc, "truth_at", "pred_at", "offset")
+    best = agreed.groupBy(*doc, "offset").agg(F.count(F.lit(1)).alias("n")).groupBy(*doc).agg(F.max(F.struct("n", (-F.col("offset")).alias("o"))).alias("b"))
+    return agreed.join(best.select(*doc, (-F.col("b.o")).alias("offset")), [*doc, "offset"]).select(*doc, "truth_at", "pred_at", "offset")

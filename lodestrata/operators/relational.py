@@ -84,3 +84,17 @@ def select_by_index(df: DataFrame, order: list[Column], index: list[int], fields
 
 def stable_sort(df: DataFrame, keys: list[Column], tie: list[str]) -> DataFrame:
     return df.orderBy(*keys, *tie)
+
+
+def set_sides(left: DataFrame, right: DataFrame, column: str, only_left: str = "left", only_right: str = "right") -> DataFrame:
+    """``(column, side)`` of each distinct non-null value: on which side it stands, 'both' for the intersection."""
+    tagged = lambda df, n: df.select(F.col(column), F.lit(n).alias("_n")).where(F.col(column).isNotNull()).distinct()
+    both = tagged(left, 1).unionByName(tagged(right, 2)).groupBy(column).agg(F.sum("_n").alias("_n"))
+    return both.select(column, F.when(F.col("_n") == 3, "both").when(F.col("_n") == 1, only_left).otherwise(only_right).alias("side"))
+
+
+def column_sides(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``(column_name, side)`` of all columns of two tables: 'both', 'left' or 'right'. Schemas are read, no row is."""
+    a, b = set(left.columns), set(right.columns)
+    rows = [(c, "both" if c in a and c in b else "left" if c in a else "right") for c in sorted(a | b)]
+    return left.sparkSession.createDataFrame(rows, "column_name string, side string")

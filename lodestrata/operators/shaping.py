@@ -5,6 +5,8 @@ A grid is ``(source_id, sheet, row_idx, cells ARRAY<STRING>)``, one row a sheet
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +26,17 @@ REFERENCE_STANDARD = (
 UNIT_TOKENS = ["ppm", "ppb", "wt%", "wt.%", "%", "µg/g", "ug/g", "g/t", "mg/kg"]
 
 
+#: The length from which an id is a note, that from which a sentence is one, and how notes open.
+NOTE_LENGTH, SENTENCE_LENGTH, NOTE_MARKS = 80, 30, ["Note:", "note:", "*", "†", "‡", "§"]
+
+
 def is_note(value: Column) -> Column:
-    """A sample id that reads like a note: blank, long, a sentence, or opened by a note mark."""
-    t = F.trim(value)
-    sentence = F.endswith(t, F.lit(".")) & F.contains(t, F.lit(" ")) & (F.length(t) > 30)
-    return value.isNull() | (t == "") | (F.length(t) > 80) | sentence | t.rlike(r"^(Note:|note:|\*|†|‡|§)")
+    """A sample id that reads like a note: blank, overlong, a sentence of several words, or opened by a note mark. Null is one."""
+    kinds = [
+        lambda t: F.length(t) == 0, lambda t: F.length(t) > NOTE_LENGTH, lambda t: F.exists(F.array(*map(F.lit, NOTE_MARKS)), lambda m: F.startswith(t, m)),
+        lambda t: (F.length(t) > SENTENCE_LENGTH) & t.rlike(r"(?s) .*\.$"),
+    ]
+    return F.coalesce(F.exists(F.array(F.trim(value)), lambda t: reduce(Column.__or__, [k(t) for k in kinds])), F.lit(True))
 
 
 def is_sample_row(sample_id: Column) -> Column:

@@ -120,3 +120,10 @@ def crosswalk(records: DataFrame, types: DataFrame, record: str, text: str) -> D
     named = records.select(record, F.explode_outer(model_numbers(F.col(text))).alias("_n"))
     t = types.where("usgs_num IS NOT NULL").select(F.lower("usgs_num").alias("_n"), "type_id")
     return named.join(broadcast_if_small(t, 50_000), "_n", "left").groupBy(record).agg(F.array_sort(F.collect_set("type_id")).alias("type_ids"))
+
+
+def with_levels(records: DataFrame, types: DataFrame, key: str, levels: list[str], max_types: int = 50_000) -> DataFrame:
+    """``records`` with the taxonomy's levels by type id, any case; empty texts where the id is null or unknown. Of repeated ids the smallest values count."""
+    t = types.where(F.col(key).isNotNull()).groupBy(F.lower(key).alias("_k")).agg(F.min(F.struct(*levels)).alias("_v"))
+    joined = records.join(broadcast_if_small(t, max_types), F.lower(key) == F.col("_k"), "left")
+    return joined.select(*[F.col(c) for c in records.columns], *[F.coalesce(F.col(f"_v.{c}"), F.lit("")).alias(c) for c in levels])

@@ -109,7 +109,7 @@ def _sideways(s: SparkSession, d: str) -> DataFrame:
     """Greatest values of the elements by mineral with the elements as rows, and the same upright, of each document."""
     g = read(s, d, "golden_sheet").where("doc_id IS NOT NULL AND mineral IS NOT NULL")
     els = [*_ELS, "ag"]
-    means = g.groupBy("doc_id", "mineral").agg(*[F.round(F.max(F.when(F.col(f"{e}_ppm") >= 0, F.col(f"{e}_ppm"))), 2).cast("decimal(18,2)").cast("string").alias(e) for e in _ELS]).withColumn("ag", F.lit("1.00"))
+    means = g.groupBy("doc_id", "mineral").agg(*[F.floor(F.max(F.when(F.col(f"{e}_ppm") >= 0, F.col(f"{e}_ppm")))).cast("string").alias(e) for e in _ELS]).withColumn("ag", F.lit("1.00"))
     listed = means.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("mineral", *els))).alias("l"))
     lying = [F.struct(F.lit(i).alias("row_idx"), F.concat(F.array(F.lit(head)), F.col(f"l.{c}")).alias("cells")) for i, (head, c) in enumerate([("Sample", "mineral"), *[(e.capitalize(), e) for e in els]])]
     a = listed.select(F.col("doc_id").alias("source_id"), F.lit("lying").alias("sheet"), F.explode(F.array(*lying)).alias("x")).select("source_id", "sheet", "x.*")
@@ -125,8 +125,8 @@ def transposed_detect(s, d):
 
 
 @query(
-    "WITH m AS (SELECT doc_id, mineral, " + ", ".join(f"round(max({e}_ppm) FILTER ({e}_ppm >= 0), 2) AS {e}" for e in _ELS) + " FROM golden_sheet WHERE doc_id IS NOT NULL AND mineral IS NOT NULL GROUP BY ALL), "
-    "t AS (" + " UNION ALL ".join(f"SELECT doc_id, mineral, '{e}' AS element, {e}::DECIMAL(18, 2)::DOUBLE AS value FROM m WHERE {e} IS NOT NULL" for e in _ELS) + " UNION ALL SELECT doc_id, mineral, 'ag', 1 FROM m) "
+    "WITH m AS (SELECT doc_id, mineral, " + ", ".join(f"floor(max({e}_ppm) FILTER ({e}_ppm >= 0)) AS {e}" for e in _ELS) + " FROM golden_sheet WHERE doc_id IS NOT NULL AND mineral IS NOT NULL GROUP BY ALL), "
+    "t AS (" + " UNION ALL ".join(f"SELECT doc_id, mineral, '{e}' AS element, {e}::DOUBLE AS value FROM m WHERE {e} IS NOT NULL" for e in _ELS) + " UNION ALL SELECT doc_id, mineral, 'ag', 1 FROM m) "
     f"SELECT doc_id AS source_id, mineral AS sample, element, value, 2 AS sheets FROM t WHERE {_sample_filter('mineral')}"
 )
 def transposed_sheets(s, d):
