@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.rollup import site_statistics
@@ -105,3 +107,63 @@ def write_rolled(df: DataFrame, path: str, per_file: int = 5000, fmt: str = "jso
 
 def write_splits(df: DataFrame, split: str, path: str) -> None:
     df.write.partitionBy(split).mode("overwrite").parquet(path)
+
+
+def linked_samples(rows: DataFrame, elements: list[str], base: str, keys: list[str]) -> DataFrame:
+    """One JSON-LD text a sample: its fields, and its measurements as nested objects, those below detection marked.
+
+    Rows of one sample (equal ``keys``) become one object, measurements in order of element and value; null elements are left out.
+    """
+    cells = F.array(*[F.struct(F.lit(e).alias("element"), F.col(f"{e}_ppm").alias("v")) for e in elements])
+    m = rows.select(*keys, F.explode(cells).alias("m")).where("m.v IS NOT NULL")
+    one = F.struct(F.lit("Measurement").alias("@type"), F.col("m.element").alias("element"), F.when(F.col("m.v") >= 0, F.round("m.v", 4)).alias("ppm"), (F.col("m.v") < 0).alias("below_detection"))
+    lists = m.groupBy(*keys).agg(F.array_sort(F.collect_set(one)).alias("measurements"))
+    ident = F.concat(F.lit(base), F.concat_ws("/", *[safe_id(F.col(k)) for k in keys]))
+    return lists.select(*keys, F.to_json(F.struct(ident.alias("@id"), F.lit("Sample").alias("@type"), *keys, "measurements")).alias("value"))
+
+
+def with_context(objects: DataFrame, context: dict[str, str]) -> DataFrame:
+    """JSON-LD texts with an ``@context``, so that each line is a document of its own and files of any size can be written in parallel."""
+    head = json.dumps({"@context": context})[:-1] + ", "
+    return objects.withColumn("value", F.concat(F.lit(head), F.substring("value", 2, 1 << 30)))
+
+
+def annotation_documents(regions: DataFrame, doc: str, image: str, box: list[str], label: str) -> DataFrame:
+    """One annotation document a document: its images and, numbered within it, their labelled boxes with area; null labels are left out."""
+    item = F.struct(F.col(image).alias("image"), F.col(label).alias("label"), F.array(*box).alias("bbox"), (F.col(box[2]) * F.col(box[3])).alias("area"))
+    lists = regions.where(F.col(label).isNotNull()).groupBy(doc).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    numbered = F.transform("l", lambda x, i: F.struct((i + 1).alias("id"), x["image"].alias("image"), x["label"].alias("label"), x["bbox"].alias("bbox"), x["area"].alias("area")))
+    return lists.select(doc, F.to_json(F.struct(F.array_sort(F.array_distinct(F.transform("l", lambda x: x["image"]))).alias("images"), numbered.alias("annotations"))).alias("value"))
+
+
+def write_sheet(df: DataFrame, path: str, fmt: str = "csv") -> None:
+    """A wide table as CSV with a header, or as JSON or Parquet; one file a partition."""
+    w = df.write.mode("overwrite")
+    w.option("header", True).option("emptyValue", "").csv(path) if fmt == "csv" else w.format(fmt).save(path)
+
+
+def schema_columns(df: DataFrame, schema: dict[str, str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """``df`` brought to the columns of ``schema`` (name -> type) in that order: ``renamed`` ones under their new name, missing ones null, others gone."""
+    have = {(renamed or {}).get(c, c): c for c in df.columns}
+    return df.select(*[(F.col(f"`{have[c]}`") if c in have else F.lit(None)).cast(t).alias(c) for c, t in schema.items()])
+
+
+def write_report(tables: dict[str, DataFrame], path: str) -> list[str]:
+    """The tables of a report (summary, metadata, elements, samples, …) as folders of JSON lines; those that fail are named, the others written."""
+    failed = []
+    for name, df in sorted(tables.items()):
+        try:
+            df.write.mode("overwrite").json(f"{path}/{name}")
+        except Exception as e:  # one bad table must not cost the others
+            failed.append(f"{name}: {type(e).__name__}")
+    return failed
+
+
+def save_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """A catalogue of tables as Parquet folders."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def load_tables(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in names}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestrata.operators import einsum, graph, layout, linkage, quality, ranking, relational, taxonomy
+from lodestrata.operators import einsum, export, graph, layout, linkage, prompts, quality, ranking, relational, taxonomy
 from lodestrata.session import broadcast_if_small, read
 
 QUERIES: dict = {}
@@ -273,3 +273,44 @@ def equivariant_expand(s, d):
     n = read(s, d, "nation").select(F.col("n_regionkey").alias("a"), F.col("n_nationkey").alias("c"), F.col("n_nationkey").cast("double").alias("v"))
     domain = read(s, d, "region").select(F.col("r_regionkey").alias("b"))
     return einsum.einsum_expanded("ac->aab", n, domains={"b": domain}, sizes={"a": 5, "c": 25})
+
+
+# ---- exports and prompts
+
+
+@query("SELECT deposit_environment, 'Environment ' || coalesce(deposit_environment, '') || ' (' || sum(n)::BIGINT || '):' || chr(10) || string_agg('  ' || coalesce(deposit_group, '') || ':' || chr(10) || '    - ' || l, chr(10) ORDER BY coalesce(deposit_group, '')) AS text FROM (SELECT deposit_environment, deposit_group, count(DISTINCT deposit_type) AS n, string_agg(DISTINCT deposit_type, chr(10) || '    - ' ORDER BY deposit_type) AS l FROM deposit_types WHERE deposit_type IS NOT NULL GROUP BY ALL) GROUP BY 1")
+def taxonomy_prompt(s, d):
+    return prompts.listing(read(s, d, "deposit_types"), ["deposit_environment", "deposit_group"], "deposit_type", "Environment")
+
+
+@query(
+    "WITH m AS (SELECT doc_id, sample_name, element, CASE WHEN v >= 0 THEN round(v, 4) END AS ppm, v < 0 AS b FROM (SELECT doc_id, sample_name, 'fe' AS element, fe_ppm AS v FROM golden_sheet UNION ALL SELECT doc_id, sample_name, 'zn', zn_ppm FROM golden_sheet) WHERE v IS NOT NULL) "
+    "SELECT doc_id, sample_name, count(DISTINCT (element, coalesce(ppm, -1), b))::INT AS measurements, round(sum(DISTINCT ppm) FILTER (element = 'zn'), 3) AS zn, (count(DISTINCT element) FILTER (b) > 0) AS below FROM m GROUP BY ALL"
+)
+def linked_samples(s, d):
+    """The nested objects, read back from their JSON: what was nested is there."""
+    j = export.linked_samples(read(s, d, "golden_sheet"), ["fe", "zn"], "https://example.org/sample/", ["doc_id", "sample_name"])
+    x = j.select("doc_id", "sample_name", F.from_json("value", "measurements array<struct<element:string,ppm:double,below_detection:boolean>>")["measurements"].alias("m"))
+    zn = F.array_distinct(F.filter(F.transform(F.filter("m", lambda e: e["element"] == "zn"), lambda e: e["ppm"]), lambda v: v.isNotNull()))
+    return x.select("doc_id", "sample_name", F.size("m").alias("measurements"), F.when(F.size(zn) > 0, F.round(F.aggregate(zn, F.lit(0.0), lambda a, v: a + v), 3)).alias("zn"), F.exists("m", lambda e: e["below_detection"]).alias("below"))
+
+
+@query("SELECT paper_id, count(*)::INT AS boxes, count(DISTINCT page_no)::INT AS images, sum(page_no * 100)::DOUBLE AS area FROM documents WHERE section IS NOT NULL AND page_no IS NOT NULL GROUP BY 1")
+def annotations(s, d):
+    r = read(s, d, "documents").where("page_no IS NOT NULL").select("paper_id", F.col("page_no").cast("string").alias("image"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.col("page_no").cast("double").alias("w"), F.lit(100.0).alias("h"), "section")
+    j = export.annotation_documents(r, "paper_id", "image", ["x", "y", "w", "h"], "section")
+    x = j.select("paper_id", F.from_json("value", "images array<string>, annotations array<struct<id:int,area:double>>").alias("v"))
+    return x.select("paper_id", F.size("v.annotations").alias("boxes"), F.size("v.images").alias("images"), F.aggregate("v.annotations", F.lit(0.0), lambda a, e: a + e["area"]).alias("area"))
+
+
+@query("SELECT row_id, extracted AS sample_name, zn_ppm, NULL::DOUBLE AS ag_ppm, mineral FROM (SELECT row_id, sample_name AS extracted, zn_ppm, mineral FROM golden_sheet)")
+def schema_projection(s, d):
+    g = read(s, d, "golden_sheet").select("row_id", F.col("sample_name").alias("extracted"), "zn_ppm", "mineral", "doc_id")
+    return export.schema_columns(g, {"row_id": "bigint", "sample_name": "string", "zn_ppm": "double", "ag_ppm": "double", "mineral": "string"}, {"extracted": "sample_name"})
+
+
+@query("SELECT rec_id, item, string_split(string_split(deposit_id || '@L1', '@')[1], '-spot')[1] AS base_sample FROM (SELECT rec_id, deposit_id, trim(unnest(string_split(commodity, ',')), ' ') AS item FROM sedau WHERE commodity IS NOT NULL AND trim(commodity, ' ') <> '' UNION ALL SELECT rec_id, deposit_id, CASE WHEN regexp_matches(lower(deposit_name), '\\bcreek\\b') THEN 'creek' END FROM sedau WHERE commodity IS NULL OR trim(commodity, ' ') = '') WHERE deposit_id IS NOT NULL")
+def tidied_rows(s, d):
+    x = read(s, d, "sedau").where("deposit_id IS NOT NULL").select("rec_id", "commodity", "deposit_name", F.concat("deposit_id", F.lit("@L1")).alias("local"))
+    out = prompts.tidy_rows(x, "commodity", "deposit_name", "local", [("creek", "creek")], [("zzqq", "none")])
+    return out.select("rec_id", F.col("mineral_read").alias("item"), "base_sample")
