@@ -66,8 +66,8 @@ def word_lookup(text: Column, words: list[tuple[str, str]], abbreviations: list[
 
 
 def printed_forms(value: Column) -> Column:
-    """The ways a number may be printed: as is, as a whole number, with one and with two decimals."""
-    return F.array(F.regexp_replace(value.cast("string"), r"\.0$", ""), F.round(value).cast("bigint").cast("string"), F.format_string("%.1f", value), F.format_string("%.2f", value))
+    """The ways a number may be printed: with the decimals it has, six at most, as a whole number, with one and with two decimals."""
+    return F.array(F.regexp_replace(F.format_string("%.6f", value), r"[.]?0+$", ""), F.round(value).cast("bigint").cast("string"), F.format_string("%.1f", value), F.format_string("%.2f", value))
 
 
 def verify_values(rows: DataFrame, texts: DataFrame, doc: str, row: str, value: str, text: str, sample: int = 10) -> DataFrame:
@@ -75,7 +75,7 @@ def verify_values(rows: DataFrame, texts: DataFrame, doc: str, row: str, value:
 
     The sample is the feature: verdict 'verified' from 70 % found, 'suspicious' below 40 %, else 'partial'.
     """
-    w = Window.partitionBy(doc).orderBy(F.xxhash64(row), row)
+    w = Window.partitionBy(doc).orderBy(F.md5(F.col(row).cast("string")), row, value)
     picked = rows.where(F.col(value) >= 0).select(doc, row, value).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= sample)
     hit = F.exists(printed_forms(F.col(value)), lambda p: F.contains(F.coalesce(F.col(text), F.lit("")), p))
     per = picked.join(texts.select(doc, text), doc, "left").groupBy(doc).agg(F.count(F.lit(1)).alias("checked"), F.count_if(hit).alias("found"))

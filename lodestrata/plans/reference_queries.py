@@ -288,7 +288,9 @@ def greedy_match(s, d):
     return linkage.one_to_one(links, ["doc_id"], "pred_name", "truth_name", ["stage", "truth_name", "pred_name"])
 
 
-@query()
+@query(
+    'WITH t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY last_update NULLS FIRST, doc_id NULLS FIRST, analysis_id NULLS FIRST, sample_name NULLS FIRST, sample_local_id NULLS FIRST, deposit_name NULLS FIRST, deposit_type_original NULLS FIRST, mineral NULLS FIRST, analytical_method NULLS FIRST, zn_ppm NULLS FIRST, fe_ppm NULLS FIRST, cd_ppm NULLS FIRST, ge_ppm NULLS FIRST, publication_date NULLS FIRST) AS rn FROM golden_sheet) WHERE rn = 1 AND doc_id IS NOT NULL), p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY last_update NULLS FIRST, doc_id NULLS FIRST, analysis_id NULLS FIRST, sample_name NULLS FIRST, sample_local_id NULLS FIRST, deposit_name NULLS FIRST, deposit_type_original NULLS FIRST, mineral NULLS FIRST, analytical_method NULLS FIRST, zn_ppm NULLS FIRST, fe_ppm NULLS FIRST, cd_ppm NULLS FIRST, ge_ppm NULLS FIRST, publication_date NULLS FIRST, extraction_backend NULLS FIRST, extraction_confidence NULLS FIRST) AS rn FROM extraction_sheet) WHERE rn = 1), m AS (SELECT t.doc_id, t.row_id AS truth_row, p.row_id AS pred_row, coalesce(p.zn_ppm > 0 AND t.zn_ppm > 0, false)::INT + coalesce(p.fe_ppm > 0 AND t.fe_ppm > 0, false)::INT + coalesce(p.cd_ppm > 0 AND t.cd_ppm > 0, false)::INT + coalesce(p.ge_ppm > 0 AND t.ge_ppm > 0, false)::INT AS b, coalesce(p.zn_ppm > 0 AND t.zn_ppm > 0 AND abs(p.zn_ppm - t.zn_ppm) <= 0.1 * t.zn_ppm, false)::INT + coalesce(p.fe_ppm > 0 AND t.fe_ppm > 0 AND abs(p.fe_ppm - t.fe_ppm) <= 0.1 * t.fe_ppm, false)::INT + coalesce(p.cd_ppm > 0 AND t.cd_ppm > 0 AND abs(p.cd_ppm - t.cd_ppm) <= 0.1 * t.cd_ppm, false)::INT + coalesce(p.ge_ppm > 0 AND t.ge_ppm > 0 AND abs(p.ge_ppm - t.ge_ppm) <= 0.1 * t.ge_ppm, false)::INT AS n FROM t JOIN p ON p.doc_id = t.doc_id), h AS (SELECT *, n / b AS share FROM m WHERE b > 0 AND n > 0 AND n / b >= 0.3) SELECT doc_id, truth_row, pred_row, round(share, 4) AS share FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, truth_row ORDER BY share DESC, pred_row) AS r FROM h) WHERE r = 1'
+)
 def fingerprint_match(s, d):
     g = relational.first_per_key(read(s, d, "golden_sheet"), ["row_id"], [F.col("last_update")])
     e = relational.first_per_key(read(s, d, "extraction_sheet"), ["row_id"], [F.col("last_update")])
@@ -678,7 +680,10 @@ def model_crosswalk(s, d):
     return taxonomy.crosswalk(read(s, d, "usmin_sn"), read(s, d, "deposit_types"), "rec_id", "deposit_type").withColumn("type_ids", F.array_join("type_ids", ","))
 
 
-@query()
+_CODES = "list_concat(" + ", list_concat(".join(f"list_transform(regexp_extract_all(text, '(?i){p}'), lambda x: trim(x, ' '))" for p in text.STANDARD_CODES[:-1]) + f", list_transform(regexp_extract_all(text, '(?i){text.STANDARD_CODES[-1]}'), lambda x: trim(x, ' '))" + ")" * (len(text.STANDARD_CODES) - 1)
+
+
+@query(f"WITH f AS (SELECT doc_id, text, {_CODES} AS l FROM documents WHERE text IS NOT NULL), u AS (SELECT *, list_transform(l, lambda x: lower(x)) AS low FROM f) SELECT doc_id, md5(CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda x, i: list_position(low, lower(x)) = i), ', ') ELSE text END) AS codes FROM u")
 def reference_material_codes(s, d):
     return read(s, d, "documents").where("text IS NOT NULL").select("doc_id", F.md5(F.encode(text.reference_materials(F.col("text")), "UTF-8")).alias("codes"))
 
@@ -688,7 +693,9 @@ def plain_deposit_names(s, d):
     return read(s, d, "sedau").select("rec_id", text.plain_deposit_name(F.col("deposit_name")).alias("plain"))
 
 
-@query()
+@query(
+    "SELECT file_id, 1::BIGINT AS table_no, 0 AS row_no, array_to_string(list_transform(columns, lambda c: trim(c, ' ')), ';') AS cells FROM raw_files UNION ALL SELECT file_id, 1, 1, array_to_string(list_transform(range(1, len(columns) + 1), lambda i: coalesce(['1', 'a', '2'][i], '')), ';') FROM raw_files UNION ALL SELECT file_id, 2, 0, 'x' FROM raw_files"
+)
 def markdown_tables(s, d):
     f = read(s, d, "raw_files").select("file_id", F.concat(F.lit("note\n| "), F.array_join("columns", " | "), F.lit(" |\n|---|:--|\n| 1 | a | 2 |\n\n| x |\n")).alias("t"))
     return text.pipe_tables(f, "file_id", "t").withColumn("cells", F.array_join("cells", ";"))
@@ -779,7 +786,7 @@ def sheet_previews(s, d):
     return t.select("file_id", F.md5(F.encode("text", "UTF-8")).alias("preview"))
 
 
-@query()
+@query("SELECT event_id, (props::JSON->>'$.k')::INT AS k FROM events")
 def model_answer_rows(s, d):
     e = read(s, d, "events")
     prompts = e.select("event_id", F.lit("extract").alias("system"), "props", F.col("props").alias("user"))
@@ -835,7 +842,11 @@ def word_lookups(s, d):
     return read(s, d, "documents").select("doc_id", enrichment.word_lookup(F.col("text"), _MINERALS, [("cpy", "chalcopyrite"), ("sph", "sphalerite"), ("as", "arsenopyrite")]).alias("mineral"))
 
 
-@query()
+@query(
+    "WITH x AS (SELECT doc_id, arg_min(full_text, (content_id, full_text)) AS full_text FROM pdf_content WHERE full_text IS NOT NULL GROUP BY 1), r AS (SELECT doc_id, row_id, zn_ppm, row_number() OVER (PARTITION BY doc_id ORDER BY md5(row_id::VARCHAR), row_id, zn_ppm) AS n FROM golden_sheet WHERE zn_ppm >= 0), "
+    "k AS (SELECT r.doc_id, contains(coalesce(x.full_text, ''), regexp_replace(printf('%.6f', zn_ppm), '[.]?0+$', '')) OR contains(coalesce(x.full_text, ''), round(zn_ppm)::BIGINT::VARCHAR) OR contains(coalesce(x.full_text, ''), printf('%.1f', zn_ppm)) OR contains(coalesce(x.full_text, ''), printf('%.2f', zn_ppm)) AS hit FROM r LEFT JOIN x ON x.doc_id = r.doc_id WHERE n <= 10), "
+    "c AS (SELECT doc_id, count(*) AS checked, count(*) FILTER (hit) AS found FROM k GROUP BY 1) SELECT doc_id, checked, found, CASE WHEN found / checked >= 0.7 THEN 'verified' WHEN found / checked < 0.4 THEN 'suspicious' ELSE 'partial' END AS verdict FROM c"
+)
 def value_verification(s, d):
     texts = read(s, d, "pdf_content").where("full_text IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("content_id", "full_text"))["full_text"].alias("full_text"))
     return enrichment.verify_values(read(s, d, "golden_sheet").select("doc_id", "row_id", "zn_ppm"), texts, "doc_id", "row_id", "zn_ppm", "full_text")

@@ -3,10 +3,11 @@
 import pytest
 from compare import same_rows, tables
 
-from lodestrata.plans import reference_queries, training_data
+from lodestrata.plans import document_queries, reference_queries, sheet_queries, training_data
 
-ALL = {**reference_queries.QUERIES, **training_data.QUERIES}
-SQL = {**reference_queries.SQL, **training_data.SQL}
+MODULES = [reference_queries, sheet_queries, document_queries, training_data]
+ALL = {k: q for m in MODULES for k, q in m.QUERIES.items()}
+SQL = {k: q for m in MODULES for k, q in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(ALL))
