@@ -169,3 +169,41 @@ def test_checkpoints_need_a_shared_folder_on_a_cluster():
     sc = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
     with pytest.raises(RuntimeError):
         checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))
+
+
+def test_golden_rows_of_queries_without_sql(spark, tiny):
+    """What SQL doesn't check is held to values: GraphML elements, greedy links, salvaged answers, lines by position, text tables."""
+    import xml.etree.ElementTree as ET
+
+    from lodestrata.operators import text
+    from lodestrata.plans import reference_queries as rq
+
+    values = [r.value for r in rq.QUERIES["graphml_elements"](spark, tiny).collect()]
+    parsed = [ET.fromstring(v) for v in values]  # each is well-formed
+    ids = {e.get("id") for e in parsed if e.tag == "node"}
+    assert len(ids) == sum(e.tag == "node" for e in parsed) and all(e.get("source") in ids and e.get("target") in ids for e in parsed if e.tag == "edge")
+    nodes = spark.createDataFrame([('a"<&', "T", {"k": "1 > 0"})], "id string, type string, properties map<string,string>")
+    edges = spark.createDataFrame([], "src string, dst string, type string, properties map<string,string>")
+    assert [r.value for r in export.graphml(nodes, edges).collect()] == ['<node id="a&quot;&lt;&amp;"><data key="type">T</data><data key="k">1 &gt; 0</data></node>']
+
+    links = rq.QUERIES["prefix_linkage"](spark, tiny).collect()
+    chosen = {tuple(r) for r in rq.QUERIES["greedy_match"](spark, tiny).collect()}
+    want, used = set(), set()
+    for r in sorted(links, key=lambda r: (str(r.doc_id), r.stage, r.truth_name, r.pred_name)):
+        if (r.doc_id, 0, r.pred_name) not in used and (r.doc_id, 1, r.truth_name) not in used:
+            used |= {(r.doc_id, 0, r.pred_name), (r.doc_id, 1, r.truth_name)}
+            want.add(tuple(r))
+    assert chosen == want
+
+    kept = {r.event_id: r.value for r in rq.QUERIES["json_salvage"](spark, tiny).collect()}
+    props = {r.event_id: json.loads(r.props) for r in spark.read.parquet(f"{tiny}/events.parquet").select("event_id", "props").collect()}
+    for i, v in kept.items():  # up to two items survive, whole ones only, and what is there is right
+        items = json.loads(v)["samples"] if v else []
+        assert items in ([], [props[i]], [props[i]] * 2) and (i % 9 > 2 or len(items) == 2)
+
+    p = spark.createDataFrame([([(10.0, 5.0, "b"), (12.0, 1.0, "a"), (16.0, 0.0, "c"), (30.0, 2.0, "e"), (30.0, 1.0, "d"), (None, 1.0, "z")],), ([],), (None,)], "w array<struct<y:double,x:double,text:string>>")
+    assert [r[0] for r in p.select(text.anchored_lines(F.col("w"))).collect()] == [["z", "a b", "c", "d e"], [], None]
+
+    doc = "Table 1\nSpot Zn Fe Cd Ge\n1 12 3.4 <0.1 5\n2 11 - 0.2 6\nword\n3 9 8 7 6\nend of it all here"
+    t = spark.createDataFrame([("d", doc), ("e", None)], "doc string, t string")
+    assert [(r.row_no, r.cells) for r in text.text_tables(t, "doc", "t").collect()] == [(0, ["Spot", "Zn", "Fe", "Cd", "Ge"]), (1, ["1", "12", "3.4", "<0.1", "5"]), (2, ["2", "11", "-", "0.2", "6"]), (3, ["3", "9", "8", "7", "6"])]
