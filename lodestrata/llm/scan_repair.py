@@ -34,58 +34,74 @@ def bare(line: str) -> str:
     return re.sub(r"^[\s#*_\x0c]+|[\s*_]+$", "", line)
 
 
+_NUMBERS, _LETTERS, _SPACE = re.compile(r"\d+"), re.compile(r"[^\W\d_]+"), re.compile(r"\s")
+_BARE = re.compile(r"^[\s#*_\x0c]+|[\s*_]+$")
+_CAPTION = re.compile(r"(?:table|figure|fig\.|plate)\s*\d+", re.I)
+_PLAIN_NUMBER = re.compile(r"[\d.,]+")
+_PAGE = re.compile(r"[-–—]\s*\d+\s*[-–—]|(?:page|p\.)\s*\d+(?:\s*(?:of|/)\s*\d+)?", re.I)
+_LEGAL = re.compile(r"https?:|www\.|©|copyright|downloaded|all rights|doi:", re.I)
+_GARBAGE = re.compile(r"[\[\]|\\/^~*&=#_{}<>]")
+_NUMBERED = re.compile(r"(?:\||,)\s*\d+$|\s\d{1,4}$")
+_COUNT = re.compile(r"n\s*=\s*(\d+)")
+
+
 def features(lines: list[str]) -> np.ndarray:
     """Categorical layout features of each line of one text, (lines, FEATURES)."""
-    plain = [bare(x) for x in lines]
-    masked = [re.sub(r"\d+", "9", p) for p in plain]
+    plain = [_BARE.sub("", x) for x in lines]
+    masked = [_NUMBERS.sub("9", p) for p in plain]
     seen = Counter(m for m in masked if m)
-    widths = sorted(len(p) for p in plain if len(p) > 20)
+    widths = sorted(n for n in map(len, plain) if n > 20)
     width = max(30, widths[(len(widths) * 3) // 4] if widths else 60)
     left = 0
     out = []
+    prose_before = False  # has the line before a word of running text?
+    last = len(lines) - 1
     for i, (line, p, m) in enumerate(zip(lines, plain, masked)):
-        words = re.findall(r"[^\W\d_]+", p)
-        letters = sum(map(len, words))
-        dense = len(re.sub(r"\s", "", p))
+        if not p:
+            # a blank line is one by its form alone
+            out.append((0, 5, 0, 0, 1 if "\x0c" in line else 2 if line.startswith("##") else 3 if line.startswith("#") else 4 if line.startswith("**") else 0, 1, int(i == 0 or not plain[i - 1]) * 2 + int(i == last or not plain[i + 1]), 0, 0))
+            prose_before = False
+            continue
+        words = _LETTERS.findall(p)
         lower = [w.lower() for w in words]
-        caps = sum(w.isupper() or (w.replace("l", "I").isupper() and len(w) > 3) for w in words)
-        small = sum(len(w) > 2 and w.islower() for w in words)
+        prose = not _PROSE_WORDS.isdisjoint(lower)
+        letters = sum(map(len, words))
+        caps = sum(w.isupper() or ("l" in w and len(w) > 3 and w.replace("l", "I").isupper()) for w in words)
+        small = sum(w.islower() and len(w) > 2 for w in words)
         before = plain[i - 1] if i else ""
-        tail = p.endswith((".", ".)")) and before and before[-1:] not in ".!?" and len(before) > 0.5 * width and any(x in _PROSE_WORDS for x in before.lower().split())
-        caption = re.match(r"(?:table|figure|fig\.|plate)\s*\d+", p, re.I)
-        if not p:
-            form = 0
-        elif re.match(r"!\[", p):
+        tail = prose_before and p.endswith((".", ".)")) and before[-1:] not in ".!?" and len(before) > 0.5 * width
+        caption = _CAPTION.match(p)
+        if p.startswith("!["):
             form = 1
         elif caption:
             form = 2
         elif tail and not caps:
             form = 11
-        elif re.fullmatch(r"[\d.,]+", p):
+        elif _PLAIN_NUMBER.fullmatch(p):
             form = 3
         elif _ROMAN.match(p):
             form = 4
-        elif re.fullmatch(r"[-–—]\s*\d+\s*[-–—]", p) or re.fullmatch(r"(?:page|p\.)\s*\d+(?:\s*(?:of|/)\s*\d+)?", p, re.I):
+        elif _PAGE.fullmatch(p):
             form = 5
-        elif re.search(r"https?:|www\.|©|copyright|downloaded|all rights|doi:", p, re.I):
+        elif _LEGAL.search(p):
             form = 6
-        elif p.startswith("|") or p.count("|") > 2 and small > 2:
+        elif p[0] == "|" or small > 2 and p.count("|") > 2:
             form = 7
-        elif dense and (letters < 0.45 * dense and small < 1 and not re.search(r"\d", p) or (len(p.split()) >= 3 and max(map(len, p.split())) <= 3 and small == 0)):
+        elif small < 1 and letters < 0.45 * len(_SPACE.sub("", p)) and not _NUMBERS.search(p) or small == 0 and len(parts := p.split()) >= 3 and max(map(len, parts)) <= 3:
             form = 8
-        elif small <= 1 and len(re.findall(r"[\[\]|\\/^~*&=#_{}<>]", p)) >= 2 and not any(x in _PROSE_WORDS for x in lower):
+        elif small <= 1 and not prose and len(_GARBAGE.findall(p)) >= 2:
             form = 8
-        elif words and caps >= 0.7 * len(words) and letters > 4:
+        elif caps and letters > 4 and caps >= 0.7 * len(words):
             form = 9
-        elif 2 <= len(words) <= 6 and p[-1:].isdigit() and sum(w[0].isupper() for w in words) >= 0.6 * len(words):
+        elif 2 <= len(words) <= 6 and p[-1].isdigit() and sum(w[0].isupper() for w in words) >= 0.6 * len(words):
             form = 10
-        elif small == 0 and len(words) <= 2 or re.search(r"(?:\||,)\s*\d+$|\s\d{1,4}$", p) and sum(x in _PROSE_WORDS for x in lower) == 0 and len(words) <= 6:
+        elif small == 0 and len(words) <= 2 or not prose and len(words) <= 6 and _NUMBERED.search(p):
             form = 10
-        elif any(x in _PROSE_WORDS for x in lower) or small >= 3:
+        elif prose or small >= 3:
             form = 11
         else:
             form = 12
-        if caption and (n := re.search(r"n\s*=\s*(\d+)", p)):
+        if caption and (n := _COUNT.search(p)):
             left = int(n[1])
             in_table = 1
         elif left and form == 3:
@@ -95,21 +111,22 @@ def features(lines: list[str]) -> np.ndarray:
             in_table = 0
             if form in (2, 7, 11):
                 left = 0
-        end = p[-1:]
+        first, end = p[0], p[-1]
         repeats = seen[m] if form in (3, 4, 5, 6, 9, 10, 12) or len(p) < 0.7 * width and end.isalnum() else 1
         out.append(
             (
                 form,
-                min(4, int(5 * len(p) / width)) if p else 5,
-                0 if not end else 1 if end in ".!?" else 2 if end in ",;:" else 3 if end in _MARKS else 4 if end.isdigit() else 5,
-                0 if not p else 1 if p[0].islower() else 2 if p[0].isupper() else 3 if p[0].isdigit() else 4,
+                min(4, int(5 * len(p) / width)),
+                1 if end in ".!?" else 2 if end in ",;:" else 3 if end in _MARKS else 4 if end.isdigit() else 5,
+                1 if first.islower() else 2 if first.isupper() else 3 if first.isdigit() else 4,
                 1 if "\x0c" in line else 2 if line.startswith("##") else 3 if line.startswith("#") else 4 if line.startswith("**") else 0,
                 min(repeats, 3),
-                int(i == 0 or not plain[i - 1]) * 2 + int(i + 1 == len(lines) or not plain[i + 1]),
+                int(i == 0 or not plain[i - 1]) * 2 + int(i == last or not plain[i + 1]),
                 in_table,
-                int(bool(lower) and len(lower) <= 4 and any(x in _SECTIONS for x in lower)),
+                int(0 < len(lower) <= 4 and not _SECTIONS.isdisjoint(lower)),
             )
         )
+        prose_before = prose or not _PROSE_WORDS.isdisjoint(p.lower().split())
     return np.array(out, dtype=np.int64).reshape(-1, 9)
 
 
