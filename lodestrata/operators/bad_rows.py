@@ -66,7 +66,7 @@ def classify_rows(
     formats = sorted(
         (r["delim"], r["n_cols"])
         for r in spec.where(F.col("delim").isin(*delimiters) & F.col("n_cols").between(1, 4096))
-        .select("delim", "n_cols").distinct().limit(max_formats).collect()
+        .select("delim", "n_cols").distinct().orderBy("delim", "n_cols").limit(max_formats).collect()
     )
 
     def choose(cases) -> Column:
