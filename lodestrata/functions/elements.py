@@ -46,13 +46,13 @@ def header_symbol(header: Column) -> Column:
     """
     h = F.lower(F.trim(header))
     names = F.create_map(*[F.lit(x) for pair in {**{s: s for s in SYMBOLS}, **NAMES}.items() for x in pair])
-    look = lambda c: F.try_element_at(names, c)
 
     def of(word: Column) -> Column:
-        # the word as it stands, else without the digits behind it, else without those before it
+        # the word as it stands, else without the digits behind it, else without those before it; the names are written out once
+        short = F.length(word) <= 6
         behind, before = F.regexp_replace(word, r"(?<=[^0-9])[0-9]{2,}$", ""), F.regexp_replace(word, r"^[0-9]{2,}(?=[^0-9])", "")
-        bare = F.when(F.length(word) <= 6, F.coalesce(look(behind), look(before)))
-        return F.coalesce(look(word), bare)
+        tried = F.transform(F.array(word, F.when(short, behind), F.when(short, before)), lambda w: F.try_element_at(names, w))
+        return F.try_element_at(F.array_compact(tried), F.lit(1))
 
     # a lambda over one item names the word, so that the pattern is written into the plan once
     word = F.regexp_extract(h, _HEADER, 1)
