@@ -18,8 +18,10 @@ def hierarchy(types: DataFrame, levels: list[str], leaf: str) -> DataFrame:
     return types.groupBy(*levels).agg(F.count(F.lit(1)).alias("n_types"), F.array_join(F.array_sort(F.collect_set(leaf)), "; ").alias("types"))
 
 
-#: What the name, the group, the environment and the words of a type's name add to its score.
+#: What the name, the group, the environment and the words of a type's name add to its score, and what a commodity
+#: in the type's name and a word of it in the deposit's name do.
 NAME_SCORE, GROUP_SCORE, ENVIRONMENT_SCORE, WORDS_SCORE, WORDS_MOST, WORDS_LEAST = 0.4, 0.2, 0.1, 0.3, 0.2, 0.05
+GOODS_SCORE, DEPOSIT_SCORE = 0.1, 0.1
 
 
 class TypeScorer:
@@ -35,6 +37,8 @@ class TypeScorer:
         self.name, self.group, self.environment = (np.array([index(t[k] or "\x00") for t in types], dtype=int) for k in (1, 2, 3))
         words = [[index(w) for w in re.split(r"[^a-z]+", (t[1] or "").lower()) if len(w) > 3] for t in types]
         self.counts = np.maximum(1, np.array([len(w) for w in words]))
+        self.names = [(t[1] or "").lower() for t in types]
+        self.name_words = [[w for w in n.split() if len(w) > 3] for n in self.names]
         self.terms = list(terms)
         self.weights = np.zeros((len(terms), len(types)))
         for j, ws in enumerate(words):
@@ -57,15 +61,27 @@ class TypeScorer:
         hit[at] = 1
         return hit
 
-    def scores(self, text: str) -> np.ndarray:
+    def extra(self, deposit: str | None, goods: list[str] | None) -> np.ndarray:
+        """What the deposit's name and its commodities add."""
+        named, listed = (deposit or "").lower(), [g.lower() for g in goods or () if g]
+        by_name = np.array([any(w in named for w in ws) for ws in self.name_words]) if named else np.zeros(len(self.names), bool)
+        by_goods = np.array([any(g in n for g in listed) for n in self.names]) if listed else np.zeros(len(self.names), bool)
+        return DEPOSIT_SCORE * by_name + GOODS_SCORE * by_goods
+
+    def scores(self, text: str, more: np.ndarray | float = 0.0) -> np.ndarray:
         hit = self.found(text)
         words = np.minimum(WORDS_MOST, hit @ self.weights / self.counts * WORDS_SCORE)
-        raw = NAME_SCORE * hit[self.name] + GROUP_SCORE * hit[self.group] + ENVIRONMENT_SCORE * hit[self.environment] + np.where(words > WORDS_LEAST, words, 0.0)
+        raw = NAME_SCORE * hit[self.name] + GROUP_SCORE * hit[self.group] + ENVIRONMENT_SCORE * hit[self.environment] + np.where(words > WORDS_LEAST, words, 0.0) + more
         return np.floor(np.minimum(1.0, raw) * 1000 + 0.5 + 1e-9) / 1000
 
 
-def score_types(docs: DataFrame, types: DataFrame, doc: str, text: str, top: int = 10, least: float = 0.05, max_types: int = 5000) -> DataFrame:
-    """``(doc, rank, type_id, score)``: the best-scoring types of each document, ties by id. The type list is a bounded dimension."""
+def score_types(
+    docs: DataFrame, types: DataFrame, doc: str, text: str, top: int = 10, least: float = 0.05, max_types: int = 5000, deposit: str | None = None, goods: str | None = None
+) -> DataFrame:
+    """``(doc, rank, type_id, score)``: the best-scoring types of each document, ties by id. The type list is a bounded dimension.
+
+    ``deposit`` (a name) and ``goods`` (an array of commodities) are columns that add to the score where given. Null texts give no row.
+    """
     listed = [tuple(r) for r in types.where("type_id IS NOT NULL").select("type_id", "deposit_type", "deposit_group", "deposit_environment").orderBy("type_id").limit(max_types + 1).collect()]
     if len(listed) > max_types:
         raise ValueError(f"more than {max_types} types")
@@ -75,8 +91,11 @@ def score_types(docs: DataFrame, types: DataFrame, doc: str, text: str, top: int
         scorer = TypeScorer(listed)
         for b in batches:
             at, ranks, ids, values = [], [], [], []
+            named = b.column("n").to_pylist() if deposit else None
+            listed_goods = b.column("g").to_pylist() if goods else None
             for i, t in enumerate(b.column("t").to_pylist()):
-                s = scorer.scores(t)
+                more = scorer.extra(named[i] if named else None, listed_goods[i] if listed_goods else None) if deposit or goods else 0.0
+                s = scorer.scores(t, more)
                 order = [j for j in np.argsort(-s, kind="stable")[:top] if s[j] > least]
                 at += [i] * len(order)
                 ranks += range(1, len(order) + 1)
@@ -87,7 +106,9 @@ def score_types(docs: DataFrame, types: DataFrame, doc: str, text: str, top: int
                 names=["d", "rank", "type_id", "score"],
             )
 
-    source = docs.where(F.col(text).isNotNull()).select(F.col(doc).alias("d"), F.col(text).alias("t"))
+    source = docs.where(F.col(text).isNotNull()).select(
+        F.col(doc).alias("d"), F.col(text).alias("t"), *([F.col(deposit).alias("n")] if deposit else []), *([F.col(goods).alias("g")] if goods else [])
+    )
     return source.mapInArrow(run, f"d {kind}, rank int, type_id string, score double").withColumnRenamed("d", doc)
 
 

@@ -314,3 +314,16 @@ def tidied_rows(s, d):
     x = read(s, d, "sedau").where("deposit_id IS NOT NULL").select("rec_id", "commodity", "deposit_name", F.concat("deposit_id", F.lit("@L1")).alias("local"))
     out = prompts.tidy_rows(x, "commodity", "deposit_name", "local", [("creek", "creek")], [("zzqq", "none")])
     return out.select("rec_id", F.col("mineral_read").alias("item"), "base_sample")
+
+
+@query(
+    "WITH t AS (SELECT *, list_filter(regexp_split_to_array(lower(deposit_type), '[^a-z]+'), lambda w: length(w) > 3) AS w, list_filter(string_split_regex(lower(deposit_type), '\\s+'), lambda w: length(w) > 3) AS nw FROM deposit_types), "
+    "p AS (SELECT rec_id, lower(deposit_model) AS low, lower(coalesce(deposit_name, '')) AS named, list_filter(list_transform(string_split(lower(coalesce(commodity, '')), ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS goods, t.* FROM sedau, t WHERE deposit_model IS NOT NULL), "
+    "s AS (SELECT rec_id, type_id, len(list_filter(w, lambda x: contains(low, x))) / len(w) * 0.3 AS o, contains(low, lower(deposit_type)) AS a, contains(low, lower(deposit_group)) AS b, contains(low, lower(deposit_environment)) AS c, len(list_filter(nw, lambda x: contains(named, x))) > 0 AS d, len(list_filter(goods, lambda g: contains(lower(deposit_type), g))) > 0 AS e FROM p), "
+    "r AS (SELECT rec_id, type_id, round(least(1, (CASE WHEN a THEN 0.4 ELSE 0 END)::DOUBLE + (CASE WHEN b THEN 0.2 ELSE 0 END)::DOUBLE + (CASE WHEN c THEN 0.1 ELSE 0 END)::DOUBLE + CASE WHEN least(0.2, o) > 0.05 THEN least(0.2, o) ELSE 0 END + (CASE WHEN d THEN 0.1 ELSE 0 END)::DOUBLE + (CASE WHEN e THEN 0.1 ELSE 0 END)::DOUBLE), 3) AS score FROM s), "
+    "k AS (SELECT *, row_number() OVER (PARTITION BY rec_id ORDER BY score DESC, type_id)::INT AS rank FROM r WHERE score > 0.05) SELECT rec_id, rank, type_id, score FROM k WHERE rank <= 10"
+)
+def type_scores_of_sites(s, d):
+    goods = F.filter(F.transform(F.split(F.coalesce("commodity", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
+    x = read(s, d, "sedau").select("rec_id", "deposit_model", "deposit_name", goods.alias("goods"))
+    return taxonomy.score_types(x, read(s, d, "deposit_types"), "rec_id", "deposit_model", deposit="deposit_name", goods="goods")
