@@ -75,16 +75,19 @@ def evaluation(pred: DataFrame, truth: DataFrame, sample_keys: list[str], report
     side = lambda df, n: df.select(*sample_keys, F.struct(*[F.col(e).cast("double").alias(e) for e in elements], *metadata).alias(n))
     both = side(pred, "_p").join(side(truth, "_t"), sample_keys, "full_outer")
     in_p, in_t = F.col("_p").isNotNull(), F.col("_t").isNotNull()
-    cells = F.array(*[F.struct(F.col(f"_p.{e}").alias("p"), F.col(f"_t.{e}").alias("t")) for e in elements])
+    both_in = in_p & in_t
 
-    def mean(scores: Column) -> Column:
-        given = F.filter(scores, lambda x: x.isNotNull())
-        return F.when(in_p & in_t, F.when(F.size(given) > 0, F.aggregate(given, F.lit(0.0), lambda a, x: a + x) / F.size(given)).otherwise(1.0))
+    def mean(score, given) -> Column:
+        # written out an element, so that it stays in generated code; a cell is scored in a tier just if its truth is, or isn't, given
+        pairs = [(F.col(f"_p.{e}"), F.col(f"_t.{e}")) for e in elements]
+        n = sum(given(t).cast("int") for _, t in pairs)
+        total = sum(F.coalesce(score(p, t).cast("double"), F.lit(0.0)) for p, t in pairs)
+        return F.when(both_in, F.when(n > 0, total / n).otherwise(1.0))
 
     same = {f: F.when(in_p & in_t & F.col(f"_t.{f}").isNotNull(), (F.lower(f"_t.{f}") == F.lower(F.coalesce(f"_p.{f}", F.lit("")))).cast("double")) for f in metadata}
     per = both.select(
-        *report_keys, in_p.alias("_in_p"), in_t.alias("_in_t"), mean(F.transform(cells, lambda c: tier2(c["p"], c["t"], tol).cast("double"))).alias("_s2"),
-        mean(F.transform(cells, lambda c: tier4(c["p"], c["t"]))).alias("_s4"), *[x.alias(f"_m_{f}") for f, x in same.items()],
+        *report_keys, in_p.alias("_in_p"), in_t.alias("_in_t"), mean(lambda p, t: tier2(p, t, tol), lambda t: t.isNotNull()).alias("_s2"),
+        mean(tier4, lambda t: t.isNull()).alias("_s4"), *[x.alias(f"_m_{f}") for f, x in same.items()],
     )
     agg = per.groupBy(*report_keys).agg(
         F.count("_s2").alias("samples"), F.count_if("_in_p").alias("_np"), F.count_if("_in_t").alias("_nt"), F.coalesce(F.avg("_s2"), F.lit(0.0)).alias("_t2"), F.coalesce(F.avg("_s4"), F.lit(0.0)).alias("_t4"),
